@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passages.functions.text import fields, trim_ws
+from passages.functions.text import fields, let, trim_ws
 
 # Fixed values of the ranking.
 TITLE_STEP = 0.06
@@ -28,9 +28,11 @@ def title_terms(query: Column) -> Column:
 
 
 def title_boost(title: Column, query: Column) -> Column:
-    lowered = F.lower(title)
-    found = F.filter(title_terms(query), lambda w: F.contains(lowered, w))
-    return F.least(F.lit(TITLE_MAX), F.size(found) * F.lit(TITLE_STEP))
+    found = let(
+        F.lower(title),
+        lambda lowered: F.size(F.filter(title_terms(query), lambda w: F.contains(lowered, w))),
+    )
+    return F.least(F.lit(TITLE_MAX), found * F.lit(TITLE_STEP))
 
 
 def is_tabular(line: Column) -> Column:
@@ -50,12 +52,12 @@ def text_lines(text: Column) -> Column:
 
 
 def table_penalty(text: Column) -> Column:
-    # Lines without three digits in them cannot be tabular unless very short, and most prose has
-    # none at all, so the costly test runs only on lines with a digit.
-    lines = text_lines(text)
-    tabular = F.filter(F.filter(lines, lambda x: x.rlike(r"\p{Nd}")), is_tabular)
-    share = F.size(tabular) / F.nullif(F.size(lines), F.lit(0))
-    return F.coalesce(share * F.lit(TABLE_MAX), F.lit(0.0))
+    # A tabular line has a digit and most prose has none, so the costly test runs on few lines.
+    def share(lines: Column) -> Column:
+        tabular = F.filter(F.filter(lines, lambda x: x.rlike(r"\p{Nd}")), is_tabular)
+        return F.size(tabular) / F.nullif(F.size(lines), F.lit(0))
+
+    return F.coalesce(let(text_lines(text), share) * F.lit(TABLE_MAX), F.lit(0.0))
 
 
 def adjusted(similarity: Column, boost: Column, penalty: Column, cited: Column) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -54,6 +55,11 @@ DICE = (
 ELLIPSIS = "\u2026"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, WS_ENDS, "")
 
@@ -123,12 +129,18 @@ def embed_words(c: Column) -> Column:
 
 def snippet(text: Column, query: Column, width: int = 240, lead: int = 40) -> Column:
     """A window around the whole query where the text holds it, else the head of the text."""
-    flat = collapse_ws(normalize_punctuation(text))
-    at = F.instr(F.lower(flat), F.lower(trim_ws(query)))
-    start = F.greatest(at - 1 - lead, F.lit(0))
-    window = F.concat(trim_ws(F.substring(flat, start + 1, F.lit(width))), F.lit(ELLIPSIS))
-    head = F.concat(F.left(flat, F.lit(width)), F.lit(ELLIPSIS))
-    return F.when(F.length(flat) <= width, flat).when(at > 0, window).otherwise(head)
+
+    def cut(flat: Column) -> Column:
+        def around(at: Column) -> Column:
+            start = F.greatest(at - 1 - lead, F.lit(0))
+            window = F.concat(trim_ws(F.substring(flat, start + 1, F.lit(width))), F.lit(ELLIPSIS))
+            head = F.concat(F.left(flat, F.lit(width)), F.lit(ELLIPSIS))
+            return F.when(at > 0, window).otherwise(head)
+
+        found = let(F.instr(F.lower(flat), F.lower(trim_ws(query))), around)
+        return F.when(F.length(flat) <= width, flat).otherwise(found)
+
+    return let(collapse_ws(normalize_punctuation(text)), cut)
 
 
 def truncate_words(c: Column, n: int) -> Column:
@@ -152,10 +164,28 @@ def flat_preview(c: Column, n: int) -> Column:
     return preview(collapse_ws(c), n)
 
 
+def lower_all(words: Column) -> Column:
+    return F.transform(words, F.lower)
+
+
 def distinct_ignoring_case(words: Column) -> Column:
     """First spelling of every word, in order."""
-    lowered = F.transform(words, F.lower)
-    return F.filter(words, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+
+    def keep_firsts(w: Column) -> Column:
+        return let(
+            lower_all(w),
+            lambda low: F.filter(w, lambda x, i: F.array_position(low, F.lower(x)) == i + 1),
+        )
+
+    return let(words, keep_firsts)
+
+
+def unseen(words: Column, seen: Column) -> Column:
+    """Words that do not occur in ``seen``, whatever the capitals."""
+    return let(
+        lower_all(seen),
+        lambda low: F.filter(words, lambda x: ~F.array_contains(low, F.lower(x))),
+    )
 
 
 def dice_tokens(c: Column) -> Column:
@@ -165,10 +195,8 @@ def dice_tokens(c: Column) -> Column:
 def keep_dice(original: Column, merged: Column) -> Column:
     """Append the dice tokens of the original query that the merged one lost."""
     dice = dice_tokens(original)
-    words = fields(merged)
-    lowered = F.transform(words, F.lower)
-    lost = F.filter(dice, lambda x: ~F.array_contains(lowered, F.lower(x)))
-    return F.when(F.size(dice) == 0, merged).otherwise(F.array_join(F.concat(words, lost), " "))
+    whole = let(fields(merged), lambda w: F.array_join(F.concat(w, unseen(dice, w)), " "))
+    return F.when(F.size(dice) == 0, merged).otherwise(whole)
 
 
 def _unquote(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from passages.functions.text import let
+
 # Width of the hashed vector and the 32-bit FNV-1a parameters.
 DIMS = 256
 FNV_BASIS = 2166136261
@@ -15,20 +17,23 @@ _HEX = "0123456789ABCDEF"
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, as a bigint."""
-    digits = F.hex(F.encode(c, "UTF-8"))
 
-    def nibble(at: Column) -> Column:
-        return F.instr(F.lit(_HEX), F.substring(digits, at, F.lit(1))) - 1
+    def walk(digits: Column) -> Column:
+        def nibble(at: Column) -> Column:
+            return F.instr(F.lit(_HEX), F.substring(digits, at, F.lit(1))) - 1
+
+        def step(acc: Column, i: Column) -> Column:
+            byte = nibble(2 * i - 1) * 16 + nibble(2 * i)
+            return (acc.bitwiseXOR(byte.cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(
+                F.lit(0xFFFFFFFF).cast("bigint")
+            )
 
-    def step(acc: Column, i: Column) -> Column:
-        byte = nibble(2 * i - 1) * 16 + nibble(2 * i)
-        return (acc.bitwiseXOR(byte.cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(
-            F.lit(0xFFFFFFFF).cast("bigint")
-        )
+        size = F.length(digits).cast("int") / 2
+        places = F.sequence(F.lit(1), size.cast("int"))
+        start = F.lit(FNV_BASIS).cast("bigint")
+        return F.when(size > 0, F.aggregate(places, start, step)).otherwise(start)
 
-    size = F.octet_length(c)
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(FNV_BASIS).cast("bigint"), step)
+    return let(F.hex(F.encode(c, "UTF-8")), walk)
 
 
 def bucket(word: Column) -> Column:
@@ -47,6 +52,6 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine; 0 where lengths differ, a vector is empty or all zero."""
-    scale = norm(a) * norm(b)
-    usable = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (scale > 0)
-    return F.when(usable, dot(a, b) / scale).otherwise(F.lit(0.0))
+    usable = (F.size(a) > 0) & (F.size(a) == F.size(b))
+    ratio = let(norm(a) * norm(b), lambda scale: F.when(scale > 0, dot(a, b) / scale))
+    return F.when(usable, F.coalesce(ratio, F.lit(0.0))).otherwise(F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passages.functions.text import fields, trim_ws
+from passages.functions.text import distinct_ignoring_case, fields, let, trim_ws, unseen
 from passages.operators.ordering import first_by
 from passages.session import broadcast_if_small
 
@@ -79,10 +79,12 @@ def term_matches(
     )
 
     def grams(n: int) -> Column:
-        c = F.lower(F.col(text))
-        at = F.sequence(F.lit(1), F.length(c) - (n - 1))
-        cut = F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
-        return F.when(F.length(c) >= n, cut).otherwise(F.array().cast("array<string>"))
+        def cut(c: Column) -> Column:
+            at = F.sequence(F.lit(1), F.length(c) - (n - 1))
+            pieces = F.transform(at, lambda i: F.substring(c, i, F.lit(n)))
+            return F.when(F.length(c) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+        return let(F.lower(F.col(text)), cut)
 
     offered = texts.select(
         key,
@@ -138,19 +140,14 @@ def expand_queries(
         .agg(F.array_sort(F.collect_list(rank)).alias("_terms"))
     )
     matched_ids = matched.select("query_id").distinct().withColumn("_matched", F.lit(True))
-    words = fields(F.col(text))
-    seen = F.transform(words, F.lower)
-    extra = F.transform(F.col("_terms"), lambda t: t["term"])
-    fresh = F.filter(
-        F.coalesce(extra, F.array().cast("array<string>")),
-        lambda t: ~F.array_contains(seen, F.lower(t)),
-    )
+    extra = F.coalesce(F.transform("_terms", lambda t: t["term"]), F.array().cast("array<string>"))
+    widened = let(fields(F.col(text)), lambda w: F.array_join(F.concat(w, unseen(extra, w)), " "))
     return (
         queries.join(matched_ids, "query_id", "left")
         .join(added, "query_id", "left")
         .withColumn(
             "fts_text",
-            F.when(F.col("_matched"), F.array_join(F.concat(words, fresh), " ")).otherwise(F.col(text)),
+            F.when(F.col("_matched"), widened).otherwise(F.col(text)),
         )
         .drop("_matched", "_terms")
     )
@@ -194,8 +191,7 @@ def definition_queries(requests: DataFrame, features: DataFrame, glossary: DataF
         trim_ws,
     )
     kept = F.filter(words, lambda w: w != "")
-    lowered = F.transform(kept, F.lower)
-    once = F.filter(kept, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1)
+    once = distinct_ignoring_case(kept)
     return joined.select("pdf_id", "feature_id", F.array_join(once, " ").alias("query_text"))
 
 

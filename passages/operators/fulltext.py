@@ -65,7 +65,7 @@ def _openings(terms: DataFrame, n_words: int, longest: int) -> DataFrame:
     )
     ends = F.sequence(F.lit(1), F.least(F.length("run"), F.lit(longest)))
     return run.select(*_SECTION, "run", F.explode(ends).alias("end")).select(
-        *_SECTION, F.left("run", F.col("end")).alias("phrase")
+        *_SECTION, F.left("run", F.col("end")).alias("phrase"), F.lit(n_words).alias("n_words")
     )
 
 
@@ -89,9 +89,10 @@ def phrase_hits(terms: DataFrame, phrases: DataFrame) -> DataFrame:
     places = reduce(DataFrame.unionAll, parts)
     count = F.count(F.lit(1)).cast("int").alias("f")
     if small:
-        met = places.join(F.broadcast(wanted.select("phrase")), "phrase")
+        met = places.join(F.broadcast(wanted), ["phrase", "n_words"])
         return met.groupBy(*_SECTION, "phrase").agg(count)
-    return places.groupBy(*_SECTION, "phrase").agg(count).join(wanted.select("phrase"), "phrase")
+    counts = places.groupBy(*_SECTION, "phrase", "n_words").agg(count)
+    return counts.join(wanted, ["phrase", "n_words"]).drop("n_words")
 
 
 def bm25_part(f: Column, length: Column, mean_length: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passages.functions.text import distinct_ignoring_case, trim_ws
+from passages.functions.text import distinct_ignoring_case, let, trim_ws
 from passages.operators.ordering import first_by, latest_by
 
 CITATION = "struct<section_id:string,section_title:string,start_page:int,end_page:int>"
@@ -82,14 +82,17 @@ def regroup_terms(rows: Column) -> Column:
         ),
         lambda p: (p["feature_id"] != "") & (p["term"] != ""),
     )
-    ids = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["feature_id"])))
 
-    def entry(i: Column) -> Column:
-        mine = F.filter(pairs, lambda p: p["feature_id"] == i)
-        terms = F.array_sort(F.array_distinct(F.transform(mine, lambda p: p["term"])))
-        return F.struct(i.alias("feature_id"), terms.alias("terms"))
+    def grouped(given: Column) -> Column:
+        def entry(i: Column) -> Column:
+            mine = F.filter(given, lambda p: p["feature_id"] == i)
+            terms = F.array_sort(F.array_distinct(F.transform(mine, lambda p: p["term"])))
+            return F.struct(i.alias("feature_id"), terms.alias("terms"))
 
-    return F.transform(ids, entry)
+        ids = F.array_distinct(F.transform(given, lambda p: p["feature_id"]))
+        return F.transform(F.array_sort(ids), entry)
+
+    return let(pairs, grouped)
 
 
 def _upgrade_entry(e: Column) -> Column:

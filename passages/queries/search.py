@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passages.functions.ranking import (
     TITLE_STOPWORDS, is_tabular, table_penalty, text_lines, title_boost,
 )
-from passages.functions.text import WS, snippet
+from passages.functions.text import WS, embed_words, snippet
 from passages.functions.vectors import cosine, fnv1a
 from passages.operators import embedding
 from passages.operators.concepts import definition_queries, expand_queries, matched_features
@@ -169,3 +169,359 @@ def fts_prefix_match(spark, folder):
 def bm25_rank(spark, folder):
     ranked = search.candidates_only(b.sections(spark, folder), b.questions(spark, folder))
     return ranked.withColumn("fts_rank", F.round("fts_rank", 6))
+
+
+@query("fnv_hash", with_sql(SECTIONS_SQL, f"words AS (SELECT DISTINCT unnest({embed_words_sql('plain_text')}) AS word FROM sections)")
+       + f"SELECT word, CAST({fnv_sql('word')} AS BIGINT) AS hash FROM words")
+def fnv_hash(spark, folder):
+    words = F.explode(embed_words(F.col("plain_text"))).alias("word")
+    distinct = b.sections(spark, folder).select(words).distinct()
+    return distinct.select("word", fnv1a(F.col("word")).alias("hash"))
+
+
+@query("hash_embed", with_sql(SECTIONS_SQL, weights_sql("sections", "section_id", r"title || chr(10) || plain_text", "w"))
+       + "SELECT section_id, bucket, round(weight, 6) AS weight FROM w")
+def hash_embed(spark, folder):
+    texts = b.sections(spark, folder).select(
+        "section_id", F.concat_ws("\n", "title", "plain_text").alias("text")
+    )
+    cells = embedding.bucket_weights(texts, "section_id", "text")
+    return cells.withColumn("weight", F.round("weight", 6))
+
+
+@query("rebuild_vectors", with_sql(SECTIONS_SQL, weights_sql("(SELECT * FROM sections WHERE plain_text <> '')", "section_id", r"title || chr(10) || chr(10) || plain_text", "w"))
+       + """SELECT s.section_id, s.pdf_id, CAST(256 AS INTEGER) AS dims, count(w.bucket) AS filled,
+       round(coalesce(sum(w.weight), 0), 6) AS total
+FROM sections s LEFT JOIN w USING (section_id) WHERE plain_text <> '' GROUP BY s.section_id, s.pdf_id""")
+def rebuild_vectors(spark, folder):
+    indexed = b.sections(spark, folder).where("plain_text <> ''")
+    texts = indexed.select(
+        "section_id", "pdf_id", F.concat_ws("\n\n", "title", "plain_text").alias("text")
+    )
+    vectors = embedding.dense_vectors(texts, "section_id", "text").join(
+        texts.select("section_id", "pdf_id"), "section_id"
+    )
+    filled = F.filter("embedding", lambda x: x > 0)
+    return vectors.select(
+        "section_id",
+        "pdf_id",
+        F.size("embedding").alias("dims"),
+        F.size(filled).cast("bigint").alias("filled"),
+        F.round(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x), 6).alias("total"),
+    )
+
+
+@query("cosine", """SELECT a.vec_id, b.vec_id AS next_id,
+round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+      / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))
+         * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def neighbour_cosine(spark, folder):
+    a = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    following = a.select(
+        (F.col("vec_id") - 1).alias("vec_id"),
+        F.col("vec_id").alias("next_id"),
+        F.col("embedding").alias("next_embedding"),
+    )
+    return a.join(following, "vec_id").select(
+        "vec_id",
+        "next_id",
+        F.round(cosine(F.col("embedding"), F.col("next_embedding")), 6).alias("similarity"),
+    )
+
+
+@query("vector_delete", """SELECT label, count(*) AS left_over FROM embeddings
+WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY label""")
+def vector_delete(spark, folder):
+    vectors = read_table(spark, folder, "embeddings").select("vec_id", "label")
+    toxic = read_table(spark, folder, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    left = embedding.without_sections(vectors, toxic, "vec_id")
+    return left.groupBy("label").agg(F.count(F.lit(1)).alias("left_over"))
+
+
+@query("knn", with_sql(
+    SECTIONS_SQL, QUESTIONS_SQL,
+    weights_sql("sections", "section_id", r"title || chr(10) || chr(10) || plain_text", "d"),
+    weights_sql("questions", "query_id", "query_text", "q"),
+    """sims AS (SELECT query_id, section_id, round(sum(q.weight * d.weight), 9) AS similarity
+FROM q JOIN d USING (bucket) GROUP BY ALL)""")
+    + """SELECT query_id, section_id, round(similarity, 6) AS similarity, CAST(spot AS INTEGER) AS rank FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, section_id) AS spot FROM sims)
+WHERE spot <= 10""")
+def knn(spark, folder):
+    texts = b.sections(spark, folder).select(
+        "section_id", F.concat_ws("\n\n", "title", "plain_text").alias("text")
+    )
+    vectors = embedding.dense_vectors(texts, "section_id", "text")
+    asked = embedding.dense_vectors(b.questions(spark, folder), "query_id", "query_text")
+    found = embedding.nearest(vectors.withColumnRenamed("section_id", "key"), asked, 10)
+    return found.select(
+        "query_id", F.col("key").alias("section_id"), F.round("similarity", 6).alias("similarity"), "rank"
+    )
+
+
+TURNS_SQL = """turns AS (
+SELECT a.conv_id, a.turn, split_part(a.text, chr(10), 1) AS title, b.text AS asked
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)"""
+
+
+@query("title_boost", with_sql(TURNS_SQL)
+       + f"SELECT conv_id, turn, round(CAST({boost_sql('title', 'asked')} AS DOUBLE), 6) AS boost FROM turns")
+def title_boosts(spark, folder):
+    """First line of each turn as a title, the turn before it as the question."""
+    turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    boost = title_boost(F.substring_index("text", "\n", 1), F.col("asked"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(boost, 6).alias("boost"))
+
+
+ORDER_TEXT_SQL = """sections AS (
+SELECT o_orderkey AS section_id,
+       o_orderpriority || ' ' || o_orderkey || chr(10) || ' status ' || o_orderstatus || chr(10) || chr(10)
+       || o_custkey || ' ' || year(o_orderdate) || ' ' || month(o_orderdate) || ' rows' AS plain_text
+FROM orders)"""
+
+
+def order_texts(spark, folder):
+    """Short texts of the orders, some of whose lines read like table rows."""
+    number = [F.col("o_custkey"), F.year("o_orderdate"), F.month("o_orderdate")]
+    return read_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("section_id"),
+        F.concat_ws(
+            "\n",
+            F.concat_ws(" ", "o_orderpriority", F.col("o_orderkey").cast("string")),
+            F.concat(F.lit(" status "), "o_orderstatus"),
+            F.lit(""),
+            F.concat_ws(" ", *[n.cast("string") for n in number], F.lit("rows")),
+        ).alias("plain_text"),
+    )
+
+
+@query("tabular_lines", with_sql(ORDER_TEXT_SQL, LINES_SQL)
+       + "SELECT section_id, line FROM judged_lines WHERE tabular")
+def tabular_lines(spark, folder):
+    lines = order_texts(spark, folder).select("section_id", F.explode(text_lines(F.col("plain_text"))).alias("line"))
+    return lines.where(is_tabular(F.col("line")))
+
+
+@query("table_penalty", with_sql(ORDER_TEXT_SQL, LINES_SQL)
+       + """SELECT section_id, round(coalesce(penalty, 0.0), 6) AS penalty
+FROM sections LEFT JOIN penalties USING (section_id)""")
+def table_penalties(spark, folder):
+    return order_texts(spark, folder).select(
+        "section_id", F.round(table_penalty(F.col("plain_text")), 6).alias("penalty")
+    )
+
+
+@query("snippet", with_sql(SECTIONS_SQL, CITED_SQL)
+       + f"SELECT s.section_id, c.term, {snippet_sql('s.plain_text', 'c.term')} AS snippet "
+       "FROM sections s JOIN (SELECT pdf_id, feature_id, term FROM glossary) c "
+       "ON c.pdf_id = s.pdf_id AND c.feature_id = 'en'")
+def snippets(spark, folder):
+    terms = b.glossary(b.cited_sections(spark, folder)).where("feature_id = 'en'").select("pdf_id", "term")
+    return b.sections(spark, folder).join(terms, "pdf_id").select(
+        "section_id", "term", snippet(F.col("plain_text"), F.col("term")).alias("snippet")
+    )
+
+
+GLOSSARY_SCOPED_SQL = """scoped_glossary AS (
+SELECT game_id, sort_order AS pdf_order, feature_id, term FROM attached JOIN glossary USING (pdf_id))"""
+
+
+def expand_sql(source: str, glossary: str, scope: str, matched: str = "widened") -> str:
+    """source with fts_text; ``scope`` joins a glossary row g to a question q."""
+    return f"""offers AS (
+SELECT q.query_id, lower(g.term) AS k, min({{'pdf_order': g.pdf_order, 'feature_id': g.feature_id, 'term': g.term}}) AS best
+FROM {source} q JOIN {matched} m ON m.query_id = q.query_id
+JOIN {glossary} g ON g.feature_id = m.feature_id AND {scope}
+GROUP BY q.query_id, lower(g.term)),
+extra AS (
+SELECT q.query_id, string_agg((best).term, ' ' ORDER BY best) AS added
+FROM offers o JOIN {source} q USING (query_id)
+WHERE NOT list_contains(list_transform({fields_sql('q.query_text')}, lambda x: lower(x)), o.k)
+GROUP BY ALL),
+expanded AS (
+SELECT q.*, CASE WHEN q.query_id IN (SELECT query_id FROM {matched})
+            THEN array_to_string({fields_sql('q.query_text')}, ' ') || coalesce(' ' || added, '')
+            ELSE query_text END AS fts_text
+FROM {source} q LEFT JOIN extra USING (query_id))"""
+
+
+def rerank_sql(rank_scope: str, asked: str) -> str:
+    """Everything from expanded questions (query_id, game_id, …) to ranked hits."""
+    return ",\n".join([
+        TERMS_SQL,
+        phrases_sql("expanded", "fts_text"),
+        HITS_SQL,
+        RANK_SQL.format(scope=rank_scope),
+        match_sql("expanded", "query_text", "told", *asked.split("|")),
+        """cited_pairs AS (
+SELECT DISTINCT t.query_id, c.section_id FROM told t JOIN expanded e USING (query_id)
+JOIN attached a USING (game_id) JOIN citations c ON c.pdf_id = a.pdf_id AND c.feature_id = t.feature_id)""",
+        LINES_SQL,
+        weights_sql("(SELECT * FROM sections WHERE section_id IN (SELECT section_id FROM candidates))",
+                    "section_id", "title || chr(10) || plain_text", "d"),
+        weights_sql("expanded", "query_id", "query_text", "qw"),
+        """sims AS (
+SELECT query_id, section_id, sum(qw.weight * d.weight) AS score
+FROM candidates JOIN qw USING (query_id) JOIN d USING (section_id, bucket) GROUP BY ALL)""",
+        f"""judged AS (
+SELECT c.query_id, c.section_id, c.pdf_id, a.pdf_title, s.title AS section_title, s.start_page, s.end_page,
+       a.sort_order AS pdf_sort_order, coalesce(m.score, 0) AS score, c.fts_rank, c.fts_pos,
+       {snippet_sql('s.plain_text', 'e.query_text')} AS snippet,
+       round(coalesce(m.score, 0) + {boost_sql('s.title', 'e.query_text')} - coalesce(p.penalty, 0)
+             + CASE WHEN cp.section_id IS NOT NULL THEN 0.08 ELSE 0 END, 9) AS adjusted_score,
+       e.fts_text <> e.query_text AS query_rewritten,
+       count(*) OVER (PARTITION BY c.query_id) AS fts_candidates
+FROM candidates c JOIN sections s USING (section_id) JOIN expanded e USING (query_id)
+JOIN attached a ON a.game_id = e.game_id AND a.pdf_id = c.pdf_id
+LEFT JOIN sims m ON m.query_id = c.query_id AND m.section_id = c.section_id
+LEFT JOIN penalties p ON p.section_id = c.section_id
+LEFT JOIN cited_pairs cp ON cp.query_id = c.query_id AND cp.section_id = c.section_id),
+ranked AS (
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted_score DESC, pdf_sort_order DESC, fts_pos) AS INTEGER) AS rank
+FROM judged)""",
+    ])
+
+
+HITS_OUT = """SELECT query_id, rank, section_id, pdf_id, pdf_title, section_title, start_page, end_page,
+pdf_sort_order, round(score, 6) AS score, round(fts_rank, 6) AS fts_rank, snippet,
+round(adjusted_score, 6) AS adjusted_score, fts_candidates, query_rewritten
+FROM ranked WHERE rank <= 10"""
+
+SCOPED_QUESTIONS_SQL = f"""asked AS (
+SELECT query_id, game_id, {trim_sql('query_text')} AS query_text FROM game_questions)"""
+
+HYBRID_SQL = with_sql(
+    SECTIONS_SQL, ATTACHED_SQL, GAME_QUESTIONS_SQL, CITED_SQL, SYNONYMS_SQL, GLOSSARY_SCOPED_SQL,
+    SCOPED_QUESTIONS_SQL,
+    "doubled AS (SELECT query_id, game_id, query_text || ' ' || query_text AS both_text FROM asked)",
+    match_sql("doubled", "both_text", "widened", "scoped_glossary", "AND g.game_id = q.game_id"),
+    expand_sql("asked", "scoped_glossary", "g.game_id = q.game_id"),
+    rerank_sql("WHERE (query_id, pdf_id) IN (SELECT (e.query_id, a.pdf_id) FROM expanded e JOIN attached a USING (game_id))",
+               "scoped_glossary|AND g.game_id = q.game_id"),
+)
+
+
+def hybrid_hits(spark, folder, limit=search.RESULTS):
+    rows = b.cited_sections(spark, folder)
+    return search.hybrid_search(
+        b.sections(spark, folder),
+        b.game_questions(spark, folder),
+        b.attached(spark, folder),
+        synonym_rows(b.catalogue(spark)),
+        b.glossary(rows),
+        b.citations(rows),
+        limit=limit,
+    )
+
+
+def rounded_hits(hits):
+    return hits.withColumns(
+        {c: F.round(c, 6) for c in ("score", "fts_rank", "adjusted_score")}
+    )
+
+
+@query("hybrid_search", HYBRID_SQL + HITS_OUT)
+def hybrid_search(spark, folder):
+    return rounded_hits(hybrid_hits(spark, folder))
+
+
+@query("expand_query", with_sql(
+    SECTIONS_SQL, ATTACHED_SQL, GAME_QUESTIONS_SQL, CITED_SQL, SYNONYMS_SQL, GLOSSARY_SCOPED_SQL,
+    match_sql("game_questions", "query_text", "widened", "scoped_glossary", "AND g.game_id = q.game_id"),
+    expand_sql("game_questions", "scoped_glossary", "g.game_id = q.game_id"))
+    + "SELECT query_id, fts_text FROM expanded")
+def expand_query(spark, folder):
+    asked = b.game_questions(spark, folder)
+    terms = game_glossary(spark, folder, b.cited_sections(spark, folder))
+    matched = matched_features(
+        asked, "query_id", "query_text", synonym_rows(b.catalogue(spark)), terms, "game_id"
+    )
+    return expand_queries(asked, matched, terms, scope="game_id").select("query_id", "fts_text")
+
+
+def game_glossary(spark, folder, cited_rows):
+    return b.attached(spark, folder).join(b.glossary(cited_rows), "pdf_id").select(
+        "game_id", F.col("sort_order").alias("pdf_order"), "feature_id", "term"
+    )
+
+
+TRIM_KEYWORD = """regexp_replace(w, '^[.,;:?"''()\\[\\]]+|[.,;:?"''()\\[\\]]+\\z', '', 'g')"""
+
+
+def _keywords_sql(expr: str) -> str:
+    return f"list_filter(list_transform({fields_sql(expr)}, lambda w: {TRIM_KEYWORD}), lambda w: strlen(w) >= 4)"
+
+
+# Parts in order: name, synonyms, description words, question words, own terms, two fixed words.
+FEATURE_QUERY_SQL = f"""feature_parts AS (
+SELECT c.feature_id, list_concat([c.name], c.synonyms, {_keywords_sql('c.description')},
+       coalesce(flatten(list_transform(c.questions, lambda x: {_keywords_sql('x')})), [])) AS parts
+FROM catalogue c),
+own_terms AS (SELECT pdf_id, feature_id, list_sort(list(DISTINCT term)) AS terms FROM glossary GROUP BY ALL),
+feature_words AS (
+SELECT d.pdf_id, d.feature_id,
+       list_filter(list_transform(list_concat(coalesce(p.parts, []), coalesce(o.terms, []), ['rules', 'definition']),
+                                  lambda w: {trim_sql('w')}), lambda w: w <> '') AS words
+FROM requests d LEFT JOIN feature_parts p USING (feature_id) LEFT JOIN own_terms o USING (pdf_id, feature_id)),
+feature_queries AS (
+SELECT pdf_id, feature_id, array_to_string(list_filter(words, lambda w, i:
+       list_position(list_transform(words, lambda x: lower(x)), lower(w)) = i), ' ') AS query_text
+FROM feature_words)"""
+
+# Every book is asked for every feature it holds and for those it lacks.
+REQUESTS_SQL = """requests AS (
+SELECT DISTINCT a.pdf_id, c.feature_id FROM attached a, catalogue c)"""
+
+
+def feature_requests(spark, folder):
+    """(pdf_id, feature_id) for every book and catalogue feature."""
+    ids = F.array(*[F.lit(row[1]) for row in b.CATALOGUE])
+    return b.attached(spark, folder).select("pdf_id", F.explode(ids).alias("feature_id"))
+
+
+def feature_questions(spark, folder, cited_rows):
+    return definition_queries(
+        feature_requests(spark, folder), b.features(spark), b.glossary(cited_rows)
+    )
+
+
+@query("feature_query", with_sql(SECTIONS_SQL, ATTACHED_SQL, CITED_SQL, SYNONYMS_SQL, REQUESTS_SQL, FEATURE_QUERY_SQL)
+       + "SELECT pdf_id, feature_id, query_text FROM feature_queries")
+def feature_query(spark, folder):
+    return feature_questions(spark, folder, b.cited_sections(spark, folder))
+
+
+PDF_SEARCH_SQL = with_sql(
+    SECTIONS_SQL,
+    CITED_SQL, SYNONYMS_SQL,
+    """attached AS (
+SELECT DISTINCT source AS game_id, source AS pdf_id, 'Book ' || source AS pdf_title, 0 AS sort_order FROM documents)""",
+    REQUESTS_SQL, FEATURE_QUERY_SQL,
+    "scoped_glossary AS (SELECT pdf_id AS game_id, 0 AS pdf_order, feature_id, term FROM glossary)",
+    """asked AS (
+SELECT pdf_id || '/' || feature_id AS query_id, pdf_id AS game_id, query_text FROM feature_queries)""",
+    "doubled AS (SELECT query_id, game_id, query_text || ' ' || query_text AS both_text FROM asked)",
+    match_sql("doubled", "both_text", "widened", "scoped_glossary", "AND g.game_id = q.game_id"),
+    expand_sql("asked", "scoped_glossary", "g.game_id = q.game_id"),
+    rerank_sql("WHERE (query_id, pdf_id) IN (SELECT (query_id, game_id) FROM expanded)",
+               "scoped_glossary|AND g.game_id = q.game_id"),
+)
+
+
+def pdf_hits(spark, folder):
+    """Every book searched for the definition of every feature."""
+    rows = b.cited_sections(spark, folder)
+    asked = feature_questions(spark, folder, rows).select(
+        F.concat_ws("/", "pdf_id", "feature_id").alias("query_id"), "pdf_id", "query_text"
+    )
+    books = b.attached(spark, folder).select("pdf_id", "pdf_title")
+    return search.search_books(
+        b.sections(spark, folder), asked, books, synonym_rows(b.catalogue(spark)), b.glossary(rows), b.citations(rows)
+    )
+
+
+@query("pdf_search", PDF_SEARCH_SQL + HITS_OUT)
+def pdf_search(spark, folder):
+    return rounded_hits(pdf_hits(spark, folder))
