@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.functions.contents import contents_entry
 from passages.functions.status import section_fault
 from passages.functions.text import trim_ws
 from passages.operators.ordering import dense_position, first_by, int_chunk
+from passages.sources.tables import stage
 
 ALL_LEVELS = 0
+PATH_DIGITS = 12
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -29,9 +31,12 @@ def drop_repeats(entries: DataFrame) -> DataFrame:
     return first_by(keyed, ["pdf_id", "start_page", "_key"], F.col("pos")).select(*entries.columns)
 
 
-def page_ranges(entries: DataFrame, books: DataFrame) -> DataFrame:
+def page_ranges(entries: DataFrame, books: DataFrame, piece: Column | None = None) -> DataFrame:
     """Sections with ``end_page`` and 0-based ``sort_order``; books gives (pdf_id, page_count).
 
+    ``piece`` cuts the entries of one page into bounded runs that follow ``pos``; it may be left
+    out where pos is a number.
+
     A section ends before the next one starts, the last at the end of the book. The next start is
     looked up among a book's distinct start pages, of which there are no more than pages, however
     many entries share a page.
@@ -42,7 +47,7 @@ def page_ranges(entries: DataFrame, books: DataFrame) -> DataFrame:
     placed = dense_position(
         entries,
         ["pdf_id"],
-        {"_page": F.col("start_page"), "_piece": int_chunk("pos")},
+        {"_page": F.col("start_page"), "_piece": int_chunk("pos") if piece is None else piece},
         ["pos"],
         "sort_order",
     )
@@ -100,25 +105,38 @@ def bookmark_depth(max_depth: int | None = None, include_children: bool | None =
     return 1 if include_children is False else ALL_LEVELS
 
 
-def flatten_bookmarks(spark: SparkSession, nodes: DataFrame, max_depth: int = ALL_LEVELS) -> DataFrame:
-    """(pdf_id, path, depth, title, start_page) of a bookmark tree, in reading order by ``path``.
+def flatten_bookmarks(nodes: DataFrame, max_depth: int = ALL_LEVELS) -> DataFrame:
+    """(pdf_id, pos, depth, title, start_page) of a bookmark tree; ``pos`` sorts as the tree reads.
 
-    ``nodes`` is (pdf_id, node_id, parent_id, pos, title, page). The tree is walked level by level
-    with a recursive query; the path sorts as the tree reads.
+    ``nodes`` is (pdf_id, node_id, parent_id, pos, title, page). The tree is walked one level per
+    join, each level written before the next one starts, so neither depth nor size of a tree is
+    bounded by a query plan.
     """
-    nodes.createOrReplaceTempView("_passages_bookmarks")
-    stop = "true" if max_depth <= 0 else f"t.depth < {int(max_depth)}"
-    walked = spark.sql(f"""
-        WITH RECURSIVE tree(pdf_id, node_id, depth, path, title, page) AS (
-            SELECT pdf_id, node_id, 1, lpad(CAST(pos AS STRING), 12, '0'), title, page
-            FROM _passages_bookmarks WHERE parent_id IS NULL
-            UNION ALL
-            SELECT n.pdf_id, n.node_id, t.depth + 1,
-                   concat(t.path, '/', lpad(CAST(n.pos AS STRING), 12, '0')), n.title, n.page
-            FROM tree t JOIN _passages_bookmarks n
-              ON n.pdf_id = t.pdf_id AND n.parent_id = t.node_id
-            WHERE {stop}
+    step = F.lpad(F.col("pos").cast("string"), PATH_DIGITS, "0")
+    columns = ["pdf_id", "node_id", "depth", "path", "title", "page"]
+    level = nodes.where("parent_id is null").select(
+        "pdf_id", "node_id", F.lit(1).alias("depth"), step.alias("path"), "title", "page"
+    )
+    below = nodes.where("parent_id is not null").withColumn("_step", step)
+    walked, depth = level, 1
+    while max_depth <= 0 or depth < max_depth:
+        above = level.select("pdf_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_path"))
+        level = stage(
+            below.join(above, ["pdf_id", "parent_id"])
+            .withColumn("path", F.concat_ws("/", "_path", "_step"))
+            .withColumn("depth", F.lit(depth + 1))
+            .select(*columns),
+            "bookmarks",
         )
-        SELECT pdf_id, path, depth, title, page AS start_page FROM tree""")
+        if level.isEmpty():
+            break
+        walked, depth = walked.unionByName(level), depth + 1
     title = trim_ws(F.col("title"))
-    return walked.withColumn("title", title).where((title != "") & (F.col("start_page") >= 1))
+    return walked.select(
+        "pdf_id", F.col("path").alias("pos"), "depth", title.alias("title"), F.col("page").alias("start_page")
+    ).where((F.col("title") != "") & (F.col("start_page") >= 1))
+
+
+def path_piece(levels: int = 2) -> Column:
+    """Beginning of a bookmark path, the piece that page_ranges needs for bookmarks."""
+    return F.left("pos", F.lit(levels * (PATH_DIGITS + 1) - 1))
