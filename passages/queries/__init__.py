@@ -1,6 +1,6 @@
 """Queries registered over the given tables."""
 
-from passages.queries import contents, search, texts  # noqa: F401
+from passages.queries import books, concepts, contents, metas, search, texts  # noqa: F401
 from passages.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

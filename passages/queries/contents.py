@@ -247,7 +247,7 @@ SELECT n.pdf_id, n.node_id, t.depth + 1, t.path || '/' || lpad(CAST(n.pos AS VAR
 FROM tree t JOIN nodes n ON n.pdf_id = t.pdf_id AND n.parent_id = t.node_id WHERE t.depth < 2),
 books AS (
 SELECT n_regionkey AS pdf_id, CASE n_regionkey WHEN 1 THEN 0 WHEN 2 THEN max(c_custkey) + 5 ELSE count(*) + 10 END AS page_count
-FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey),
 entries AS (SELECT pdf_id, path AS pos, trim(title) AS title, page AS start_page FROM tree WHERE trim(title) <> '' AND page >= 1),
 unique_entries AS (
 SELECT pdf_id, pos, title, start_page FROM (
