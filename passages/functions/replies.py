@@ -60,8 +60,8 @@ def mend(text: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut_and_mended(texts: pd.Series) -> pd.Series:
-    cut = texts.map(first_value)
-    return pd.Series([[c, mend(c)] for c in cut], index=texts.index)
+    cut = [None if t is None else first_value(t) for t in texts]
+    return pd.Series([None if c is None else [c, mend(c)] for c in cut], index=texts.index)
 
 
 def json_candidates(stripped: Column) -> Column:

@@ -92,7 +92,7 @@ SELECT query_id, section_id, 0 AS prio, row_number() OVER (PARTITION BY query_id
 UNION ALL SELECT query_id, section_id, 1, rank, section_title, snippet, score FROM ranked WHERE rank <= 10),
 once AS (SELECT *, row_number() OVER (PARTITION BY query_id, section_id ORDER BY prio, pos) AS nth FROM both_lists),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prio, pos) AS spot FROM once WHERE nth = 1)"""])
-    + """ SELECT query_id, CAST(spot AS INTEGER) AS spot, prio = 0 AS cited, section_id, section_title, md5(snippet) AS snippet,
+    + """ SELECT query_id, CAST(spot AS INTEGER) AS spot, prio = 0 AS cited, section_id, section_title, md5(replace(snippet, '…', '...')) AS snippet,
 round(score, 6) AS score FROM placed WHERE spot <= 10""")
 def chat_context(spark, folder):
     rows = parts(spark, folder)
