@@ -28,10 +28,12 @@ def title_terms(query: Column) -> Column:
 
 
 def title_boost(title: Column, query: Column) -> Column:
-    found = let(
-        F.lower(title),
-        lambda lowered: F.size(F.filter(title_terms(query), lambda w: F.contains(lowered, w))),
-    )
+    return let(F.lower(title), lambda lowered: boost_for_terms(lowered, title_terms(query)))
+
+
+def boost_for_terms(lowered: Column, terms: Column) -> Column:
+    """Boost of a lower-case title for the terms of a query, repeated ones included."""
+    found = F.size(F.filter(terms, lambda w: F.contains(lowered, w)))
     return F.least(F.lit(TITLE_MAX), found * F.lit(TITLE_STEP))
 
 

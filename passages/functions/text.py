@@ -127,20 +127,31 @@ def embed_words(c: Column) -> Column:
     return F.filter(F.split(kept, WS_RUN), lambda x: F.octet_length(x) > 1)
 
 
+def flat_text(c: Column) -> Column:
+    """Text on one line with plain punctuation, as snippets are cut from."""
+    return collapse_ws(normalize_punctuation(c))
+
+
 def snippet(text: Column, query: Column, width: int = 240, lead: int = 40) -> Column:
     """A window around the whole query where the text holds it, else the head of the text."""
+    return let(
+        flat_text(text),
+        lambda flat: flat_snippet(flat, F.lower(flat), F.lower(trim_ws(query)), width, lead),
+    )
+
 
-    def cut(flat: Column) -> Column:
-        def around(at: Column) -> Column:
-            start = F.greatest(at - 1 - lead, F.lit(0))
-            window = F.concat(trim_ws(F.substring(flat, start + 1, F.lit(width))), F.lit(ELLIPSIS))
-            head = F.concat(F.left(flat, F.lit(width)), F.lit(ELLIPSIS))
-            return F.when(at > 0, window).otherwise(head)
+def flat_snippet(
+    flat: Column, lowered: Column, query: Column, width: int = 240, lead: int = 40
+) -> Column:
+    """The same for a flat text given with its lower-case form and a trimmed lower-case query."""
 
-        found = let(F.instr(F.lower(flat), F.lower(trim_ws(query))), around)
-        return F.when(F.length(flat) <= width, flat).otherwise(found)
+    def around(at: Column) -> Column:
+        start = F.greatest(at - 1 - lead, F.lit(0))
+        window = F.concat(trim_ws(F.substring(flat, start + 1, F.lit(width))), F.lit(ELLIPSIS))
+        head = F.concat(F.left(flat, F.lit(width)), F.lit(ELLIPSIS))
+        return F.when(at > 0, window).otherwise(head)
 
-    return let(collapse_ws(normalize_punctuation(text)), cut)
+    return F.when(F.length(flat) <= width, flat).otherwise(let(F.instr(lowered, query), around))
 
 
 def truncate_words(c: Column, n: int) -> Column:

@@ -12,28 +12,50 @@ DIMS = 256
 FNV_BASIS = 2166136261
 FNV_PRIME = 16777619
 
-_HEX = "0123456789ABCDEF"
 
+def _mix(h: Column, byte: Column) -> Column:
+    return (h.bitwiseXOR(byte) * F.lit(FNV_PRIME)).bitwiseAND(_big(0xFFFFFFFF))
 
-def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a of the UTF-8 bytes, as a bigint."""
 
-    def walk(digits: Column) -> Column:
-        def nibble(at: Column) -> Column:
-            return F.instr(F.lit(_HEX), F.substring(digits, at, F.lit(1))) - 1
+def _big(n: int) -> Column:
+    return F.lit(n).cast("bigint")
+
+
+def _mix_point(h: Column, point: Column) -> Column:
+    """Mix in the UTF-8 bytes of one code point."""
+
+    def lead(mark: int, shift: int) -> Column:
+        return F.shiftright(point, shift).bitwiseOR(_big(mark))
 
-        def step(acc: Column, i: Column) -> Column:
-            byte = nibble(2 * i - 1) * 16 + nibble(2 * i)
-            return (acc.bitwiseXOR(byte.cast("bigint")) * F.lit(FNV_PRIME)).bitwiseAND(
-                F.lit(0xFFFFFFFF).cast("bigint")
-            )
+    def tail(shift: int) -> Column:
+        return F.shiftright(point, shift).bitwiseAND(_big(0x3F)).bitwiseOR(_big(0x80))
 
-        size = F.length(digits).cast("int") / 2
-        places = F.sequence(F.lit(1), size.cast("int"))
-        start = F.lit(FNV_BASIS).cast("bigint")
-        return F.when(size > 0, F.aggregate(places, start, step)).otherwise(start)
+    def mixed(*bytes_: Column) -> Column:
+        out = h
+        for byte in bytes_:
+            out = _mix(out, byte)
+        return out
 
-    return let(F.hex(F.encode(c, "UTF-8")), walk)
+    return (
+        F.when(point < 0x80, _mix(h, point))
+        .when(point < 0x800, mixed(lead(0xC0, 6), tail(0)))
+        .when(point < 0x10000, mixed(lead(0xE0, 12), tail(6), tail(0)))
+        .otherwise(mixed(lead(0xF0, 18), tail(12), tail(6), tail(0)))
+    )
+
+
+def fnv1a(c: Column) -> Column:
+    """32-bit FNV-1a of the UTF-8 bytes, as a bigint. Plain ASCII takes a shorter way."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    plain = F.aggregate(
+        chars, _big(FNV_BASIS), lambda h, ch: _mix(h, F.ascii(ch).cast("bigint"))
+    )
+    full = F.aggregate(
+        chars,
+        _big(FNV_BASIS),
+        lambda h, ch: let(F.ascii(ch).cast("bigint"), lambda point: _mix_point(h, point)),
+    )
+    return F.when(F.octet_length(c) == F.length(c), plain).otherwise(full)
 
 
 def bucket(word: Column) -> Column:

@@ -12,6 +12,9 @@ from passages.session import broadcast_if_small
 WORD = r"[\p{L}\p{N}]+"
 EDGE = r"[^\p{L}\p{N}]"
 
+# Up to this many phrases, each text is intersected with them; the cost of that is per text.
+INTERSECT_ROWS = 2_000
+
 # Fixed values of the definition query: trimmed marks, least bytes of a word, closing words.
 DEFINITION_TRIM = r"""[.,;:?"'()\[\]]+"""
 DEFINITION_BYTES = 4
@@ -22,6 +25,22 @@ def _words(c: Column) -> Column:
     return F.array_distinct(F.split(F.lower(c), rf"{EDGE}+"))
 
 
+def _meet(texts: DataFrame, wanted: DataFrame, on: str, scope: list[str]) -> DataFrame:
+    """Pairs of texts (key…, _text, _offers) and wanted rows that share an offer.
+
+    A small catalogue is intersected with each text's offers first, so a text is repeated only for
+    what may be found in it. A larger one meets the bare keys, which are then joined to the texts.
+    """
+    keys = [c for c in texts.columns if c not in ("_text", "_offers")]
+    if wanted.limit(INTERSECT_ROWS + 1).count() <= INTERSECT_ROWS:
+        known = wanted.agg(F.collect_set(on)).scalar()
+        offered = texts.select(*keys, "_text", F.explode(F.array_intersect("_offers", known)).alias(on))
+        return offered.join(F.broadcast(wanted), [on, *scope])
+    bare = texts.select(*keys, F.explode("_offers").alias(on))
+    pairs = bare.join(broadcast_if_small(wanted), [on, *scope])
+    return pairs.join(texts.drop("_offers", *scope), [k for k in keys if k not in scope])
+
+
 def phrase_matches(texts: DataFrame, key: str, text: str, synonyms: DataFrame) -> DataFrame:
     """(key, feature_id, synonym) wherever a synonym stands in a text between non-word characters.
 
@@ -37,15 +56,17 @@ def phrase_matches(texts: DataFrame, key: str, text: str, synonyms: DataFrame) -
         "synonym",
         F.regexp_extract(phrase, WORD, 0).alias("_word"),
         pattern.alias("_pattern"),
+        phrase.rlike(rf"^{WORD}\z").alias("_single"),
     )
     offered = texts.select(
         key,
         F.lower(text).alias("_text"),
-        F.explode(F.array_distinct(F.concat(_words(F.col(text)), F.array(F.lit(""))))).alias("_word"),
+        F.array_distinct(F.concat(_words(F.col(text)), F.array(F.lit("")))).alias("_offers"),
     )
+    # A phrase of one word needs no pattern: the text offers that very word.
     return (
-        offered.join(broadcast_if_small(wanted), "_word")
-        .where(F.expr("_text rlike _pattern"))
+        _meet(offered, wanted, "_word", [])
+        .where(F.expr("_single or _text rlike _pattern"))
         .select(key, "feature_id", "synonym")
     )
 
@@ -90,10 +111,10 @@ def term_matches(
         key,
         *scoped,
         F.lower(text).alias("_text"),
-        F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_gram"),
+        F.array_distinct(F.concat(grams(1), grams(2), grams(3))).alias("_offers"),
     )
     return (
-        offered.join(broadcast_if_small(wanted), ["_gram", *scoped])
+        _meet(offered, wanted, "_gram", scoped)
         .where(F.contains("_text", F.lower("term")))
         .select(key, "feature_id", "term")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from passages.functions.text import WS, accent_table
 from passages.operators.ordering import dense_position, int_chunk
 from passages.session import broadcast_if_small
-from passages.sources.tables import CATALOGUE_SCHEMA, read_table, spread, usable_features
+from passages.sources.tables import CATALOGUE_SCHEMA, read_table, spread, stage, usable_features
 
 # A small catalogue over words of the documents: function words of their languages, one phrase of
 # several words each, one feature no text names and one without a name of its own.
@@ -109,28 +109,29 @@ def cited(spark: SparkSession, folder: str) -> DataFrame:
 def cited_sections(spark: SparkSession, folder: str) -> DataFrame:
     """(pdf_id, feature_id, has_entry, pos, section_id, section_title, start_page, end_page).
 
-    At most two rows per book and language, so it is counted before the titles are joined to it.
+    At most two rows per book and language. They are written once: glossary, cheatsheet and
+    citations are all read off them.
     """
-    ends = cited(spark, folder)
-    picked = ends.select(
+    picked = cited(spark, folder).select(
         "pdf_id",
         "feature_id",
         "has_entry",
         F.posexplode(F.array_distinct(F.array("first_id", "last_id"))).alias("pos", "section_id"),
     )
-    titles = sections(spark, folder).select(
-        "section_id", F.col("title").alias("section_title"), "start_page"
+    titles = read_table(spark, folder, "documents").select(
+        F.col("doc_id").alias("section_id"), F.substring_index("text", "\n", 1).alias("section_title")
     )
-    return titles.join(broadcast_if_small(picked), "section_id").select(
+    rows = titles.join(broadcast_if_small(picked), "section_id").select(
         "pdf_id",
         "feature_id",
         "has_entry",
         "pos",
         "section_id",
         "section_title",
-        "start_page",
+        (F.col("section_id") + 1).alias("start_page"),
         F.lit(0).cast("bigint").alias("end_page"),
     )
+    return stage(rows, "cited")
 
 
 def glossary(cited_rows: DataFrame) -> DataFrame:

@@ -64,8 +64,7 @@ FROM attached a JOIN own o USING (pdf_id) LEFT JOIN catalogue c USING (feature_i
 
 
 def parts(spark, folder):
-    """Cited sections, staged: the parts below are all read off them."""
-    return stage(b.cited_sections(spark, folder), "cited")
+    return b.cited_sections(spark, folder)
 
 
 # ---- hit lists ----------------------------------------------------------------------------------

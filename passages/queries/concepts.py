@@ -12,7 +12,7 @@ from passages.queries.bindings import (
 )
 from passages.queries.registry import query
 from passages.queries.search import GLOSSARY_SCOPED_SQL, game_glossary, match_sql
-from passages.sources.tables import read_table, synonym_rows, usable_features
+from passages.sources.tables import read_table, stage, synonym_rows, usable_features
 
 STOP_SQL = ", ".join(f"'{w}'" for w in vocabulary.STOPWORDS)
 
@@ -32,7 +32,9 @@ WHERE spot <= 1000 OR word IN (SELECT word FROM synonym_words))"""
 
 
 def counts(spark, folder):
-    return vocabulary.word_counts(vocabulary.section_samples(b.sections(spark, folder)))
+    """Word counts, written once: every use below reads them more than once."""
+    samples = vocabulary.section_samples(b.sections(spark, folder))
+    return stage(vocabulary.word_counts(samples), "word_counts")
 
 
 @query("word_frequency", with_sql(SECTIONS_SQL, SYNONYMS_SQL, COUNTS_SQL, FREQUENT_SQL) + "SELECT * FROM frequent")
