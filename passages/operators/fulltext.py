@@ -48,7 +48,7 @@ def query_phrases(queries: DataFrame, text: str = "query_text") -> DataFrame:
 
 
 def _openings(terms: DataFrame, n_words: int, longest: int) -> DataFrame:
-    """All beginnings of every run of n_words terms, up to the longest phrase asked for.
+    """(…, run, end): every run of n_words terms and each length at which it may be cut.
 
     A run never reaches from the title into the body.
     """
@@ -64,9 +64,7 @@ def _openings(terms: DataFrame, n_words: int, longest: int) -> DataFrame:
         *_SECTION, F.explode(F.concat(runs("title_terms"), runs("body_terms"))).alias("run")
     )
     ends = F.sequence(F.lit(1), F.least(F.length("run"), F.lit(longest)))
-    return run.select(*_SECTION, "run", F.explode(ends).alias("end")).select(
-        *_SECTION, F.left("run", F.col("end")).alias("phrase"), F.lit(n_words).alias("n_words")
-    )
+    return run.select(*_SECTION, "run", F.explode(ends).alias("end"))
 
 
 def phrase_hits(terms: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -74,25 +72,51 @@ def phrase_hits(terms: DataFrame, phrases: DataFrame) -> DataFrame:
 
     A prefix match is turned into an equality: every term run offers all its beginnings, and these
     meet the asked phrases in a hash join. The phrases are counted first. As long as they are few
-    they are broadcast, so terms are matched where they are read and only counts travel; past the
-    bound the beginnings are counted per section before they are shuffled to the join.
+    they are broadcast, so terms are matched where they lie; past the bound the beginnings are
+    counted per section before they are shuffled to the join.
+
+    Sections are placed by id beforehand. That moves the terms once, evenly however hot a word or a
+    book is, and all counting and scoring per section then happens in place.
     """
+    terms = terms.repartition("section_id")
     wanted = phrases.select("phrase", "n_words").distinct()
     asked = wanted.groupBy("n_words").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.length("phrase")).alias("longest")
     )
     shapes = asked.collect()  # one row per phrase length in words
     small = sum(s["n"] for s in shapes) <= BROADCAST_ROWS
-    parts = [_openings(terms, s["n_words"], s["longest"]) for s in shapes]
-    if not parts:
+    if not shapes:
         return terms.select(*_SECTION, F.lit("").alias("phrase"), F.lit(0).alias("f")).where("false")
-    places = reduce(DataFrame.unionAll, parts)
     count = F.count(F.lit(1)).cast("int").alias("f")
-    if small:
-        met = places.join(F.broadcast(wanted), ["phrase", "n_words"])
-        return met.groupBy(*_SECTION, "phrase").agg(count)
-    counts = places.groupBy(*_SECTION, "phrase", "n_words").agg(count)
-    return counts.join(wanted, ["phrase", "n_words"]).drop("n_words")
+    parts = []
+    for shape in shapes:
+        openings = _openings(terms, shape["n_words"], shape["longest"])
+        own = wanted.where(F.col("n_words") == shape["n_words"]).select("phrase")
+        if small:
+            parts.append(_met(openings, own))
+        else:
+            counted = openings.select(*_SECTION, F.left("run", F.col("end")).alias("phrase"))
+            parts.append(counted.groupBy(*_SECTION, "phrase").agg(count).join(own, "phrase"))
+    met = reduce(DataFrame.unionAll, parts)
+    return met.groupBy(*_SECTION, "phrase").agg(count) if small else met.select(*_SECTION, "phrase", "f")
+
+
+def _met(openings: DataFrame, own: DataFrame) -> DataFrame:
+    """Beginnings that are an asked phrase.
+
+    The join runs on a 64-bit hash, which probes much faster than text; the phrase itself is then
+    compared, so two texts of one hash do no harm.
+    """
+    keyed = own.select(
+        "phrase", F.xxhash64("phrase").alias("_hash"), F.length("phrase").alias("_length")
+    )
+    same = (
+        F.startswith("run", "phrase")
+        & (F.col("_length") >= F.col("end"))
+        & (F.col("_length") <= F.col("end"))
+    )
+    hashed = openings.withColumn("_hash", F.xxhash64(F.left("run", F.col("end"))))
+    return hashed.join(F.broadcast(keyed), "_hash").where(same).select(*_SECTION, "phrase")
 
 
 def bm25_part(f: Column, length: Column, mean_length: Column) -> Column:
@@ -117,9 +141,7 @@ def score_sections(
     cover all sections even so. A word given twice counts twice.
     """
     hits = phrase_hits(terms, phrases)
-    # Summing f keeps this aggregate on the very rows the scoring below reads, so both share one
-    # shuffle.
-    spread = hits.groupBy("phrase").agg(F.sum(F.sign("f").cast("bigint")).alias("n_with"))
+    spread = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_with"))
     corpus = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
     n_rows, mean_length = corpus.select("n").scalar(), corpus.select("mean").scalar()
 

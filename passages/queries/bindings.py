@@ -57,7 +57,7 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
         ["doc_id"],
         "spot",
     )
-    texts = read_table(spark, folder, "documents").select("doc_id", "text")
+    texts = spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return numbered.join(texts, "doc_id").select(
         F.col("source").alias("pdf_id"),
         (F.col("spot") + 1).alias("page_no"),

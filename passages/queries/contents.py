@@ -378,8 +378,8 @@ def same_page_groups(spark, folder):
 @query("heading_split", with_sql(PAGES_SQL, HEADINGS_SQL, SHARED_SQL, SPLIT_SQL)
        + "SELECT section_id, length(text) AS n_chars, md5(text) AS digest FROM cut")
 def heading_split(spark, folder):
-    pages = stage(b.page_texts(spark, folder), "pages")
-    cut = assembly.split_by_headings(stage(heading_sections(pages), "headings"), pages)
+    pages = stage(b.page_texts(spark, folder), "pages", "section_id")
+    cut = assembly.split_by_headings(stage(heading_sections(pages), "headings", "section_id"), pages)
     return cut.select("section_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -396,8 +396,8 @@ vec AS (SELECT section_id, count(DISTINCT bucket) AS n_buckets FROM vec_words JO
 CAST(len({terms_sql('title')}) + len({terms_sql('plain_text')}) AS INTEGER) AS n_terms,
 coalesce(n_buckets, 0) AS n_buckets FROM filled LEFT JOIN vec USING (section_id)""")
 def index_build(spark, folder):
-    pages = stage(b.page_texts(spark, folder), "pages")
-    built = imports.build_index(stage(heading_sections(pages), "headings"), pages)
+    pages = stage(b.page_texts(spark, folder), "pages", "section_id")
+    built = imports.build_index(stage(heading_sections(pages), "headings", "section_id"), pages)
     cells = built["vectors"].groupBy("section_id").agg(F.count(F.lit(1)).alias("n_buckets"))
     return (
         built["sections"]

@@ -19,14 +19,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """Write a step's result to the shared folder and go on from the written table.
 
     It cuts the lineage, survives lost executors, and gives the next step real sizes to plan with.
+    With ``key``, a result written in few pieces is spread over the cores again.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    return spread(written, key) if key else written
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
