@@ -267,3 +267,9 @@ def fnv_sql(expr: str) -> str:
 
 def with_sql(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def marked_sql(expr: str) -> str:
+    """Lower-case text with a mark at every word edge, so that whole phrases are plain substrings."""
+    edges = f"regexp_replace(lower({expr}), '([^\\p{{L}}\\p{{N}}])', chr(1) || '\\1' || chr(1), 'g')"
+    return f"chr(1) || {edges} || chr(1)"

@@ -8,7 +8,7 @@ from passages.operators import concepts, vocabulary
 from passages.queries import bindings as b
 from passages.queries.bindings import (
     ATTACHED_SQL, CITED_SQL, GAME_QUESTIONS_SQL, QUESTIONS_SQL, SECTIONS_SQL, SYNONYMS_SQL,
-    count_words_sql, trim_sql, with_sql,
+    count_words_sql, marked_sql, trim_sql, with_sql,
 )
 from passages.queries.registry import query
 from passages.queries.search import GLOSSARY_SCOPED_SQL, game_glossary, match_sql
@@ -63,16 +63,15 @@ def feature_candidates(spark, folder):
     return vocabulary.feature_candidates(counts(spark, folder), synonym_rows(b.catalogue(spark)), own)
 
 
-@query("scan_text", with_sql(SECTIONS_SQL, SYNONYMS_SQL) + r"""SELECT section_id, feature_id, synonym
-FROM sections JOIN synonyms ON contains(lower(plain_text), lower(synonym)) AND regexp_matches(lower(plain_text),
-'(^|[^\p{L}\p{N}])' || regexp_escape(lower(synonym)) || '($|[^\p{L}\p{N}])')""")
+@query("scan_text", with_sql(SECTIONS_SQL, SYNONYMS_SQL, f"marked AS (SELECT section_id, {marked_sql('plain_text')} AS m FROM sections)")
+       + f"SELECT section_id, feature_id, synonym FROM marked JOIN synonyms ON contains(m, {marked_sql('synonym')})")
 def scan_text(spark, folder):
     return concepts.scan_text(b.sections(spark, folder), synonym_rows(b.catalogue(spark)))
 
 
-@query("match_query_features", with_sql(QUESTIONS_SQL, SYNONYMS_SQL) + r"""SELECT DISTINCT query_id, feature_id
-FROM questions JOIN synonyms ON regexp_matches(lower(query_text),
-'(^|[^\p{L}\p{N}])' || regexp_escape(lower(synonym)) || '($|[^\p{L}\p{N}])')""")
+@query("match_query_features", with_sql(QUESTIONS_SQL, SYNONYMS_SQL)
+       + f"""SELECT DISTINCT query_id, feature_id FROM questions
+JOIN synonyms ON contains({marked_sql('query_text')}, {marked_sql('synonym')})""")
 def match_query_features(spark, folder):
     return concepts.synonym_features(
         b.questions(spark, folder), "query_id", "query_text", synonym_rows(b.catalogue(spark))

@@ -16,7 +16,7 @@ from passages.plans import search
 from passages.queries import bindings as b
 from passages.queries.bindings import (
     ATTACHED_SQL, CITED_SQL, GAME_QUESTIONS_SQL, QUESTIONS_SQL, SECTIONS_SQL, SYNONYMS_SQL,
-    collapse_sql, embed_words_sql, fields_sql, fnv_sql, terms_sql, trim_sql, with_sql,
+    collapse_sql, embed_words_sql, fields_sql, fnv_sql, marked_sql, terms_sql, trim_sql, with_sql,
 )
 from passages.queries.registry import query
 from passages.sources.tables import read_table, synonym_rows
@@ -75,9 +75,8 @@ candidates AS (
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fts_rank, section_id) AS fts_pos
                FROM scored) WHERE fts_pos <= 100)"""
 
-MATCH_SQL = r"""by_synonym AS (
-SELECT query_id, s.feature_id FROM {texts} q JOIN synonyms s
-ON regexp_matches(lower(q.{text}), '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(lower(s.synonym)) || '($|[^\p{{L}}\p{{N}}])')),
+MATCH_SQL = """by_synonym AS (
+SELECT query_id, s.feature_id FROM {texts} q JOIN synonyms s ON contains({marked}, {phrase})),
 by_term AS (
 SELECT query_id, g.feature_id FROM {texts} q JOIN {glossary} g
 ON contains(lower(q.{text}), lower(g.term)) {scope}),
@@ -85,7 +84,10 @@ ON contains(lower(q.{text}), lower(g.term)) {scope}),
 
 
 def match_sql(texts: str, text: str, name: str = "matched", glossary: str = "glossary", scope: str = "") -> str:
-    body = MATCH_SQL.format(texts=texts, text=text, glossary=glossary, scope=scope, name=name)
+    body = MATCH_SQL.format(
+        texts=texts, text=text, glossary=glossary, scope=scope, name=name,
+        marked=marked_sql(f"q.{text}"), phrase=marked_sql("s.synonym"),
+    )
     return body.replace("by_synonym", f"{name}_s").replace("by_term", f"{name}_t")
 
 
