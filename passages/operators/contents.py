@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.contents import contents_entry
 from passages.functions.status import section_fault
 from passages.functions.text import trim_ws
-from passages.operators.ordering import dense_position, first_by, int_chunk
+from passages.operators.ordering import dense_position, first_by, int_chunk, next_in_group
 from passages.sources.tables import stage
 
 ALL_LEVELS = 0
@@ -38,12 +38,10 @@ def page_ranges(entries: DataFrame, books: DataFrame, piece: Column | None = Non
     out where pos is a number.
 
     A section ends before the next one starts, the last at the end of the book. The next start is
-    looked up among a book's distinct start pages, of which there are no more than pages, however
-    many entries share a page.
+    looked up among a book's distinct start pages, however many entries share a page.
     """
     starts = entries.groupBy("pdf_id", "start_page").agg(F.max("pos").alias("_last_pos"))
-    following = F.lead("start_page").over(Window.partitionBy("pdf_id").orderBy("start_page"))
-    nexts = starts.withColumn("_next", following)
+    nexts = next_in_group(starts, ["pdf_id"], "start_page", "_next")
     placed = dense_position(
         entries,
         ["pdf_id"],

@@ -46,6 +46,28 @@ def dense_position(
     )
 
 
+def next_in_group(
+    df: DataFrame, group: Sequence[str], column: str, name: str, width: int = CHUNK
+) -> DataFrame:
+    """df, whose ``column`` is a distinct whole number per group, with the next larger one.
+
+    Numbers are compared within bounded pieces; the last of a piece takes the first of the next
+    piece that has any. Only one row per piece is ordered per whole group.
+    """
+    keys = [*group, "_piece"]
+    pieces = df.withColumn("_piece", int_chunk(column, width))
+    later = F.lead("_first").over(Window.partitionBy(*group).orderBy("_piece"))
+    firsts = (
+        pieces.groupBy(*keys).agg(F.min(column).alias("_first")).select(*keys, later.alias("_after"))
+    )
+    inside = F.lead(column).over(Window.partitionBy(*keys).orderBy(column))
+    return (
+        pieces.join(firsts, keys)
+        .withColumn(name, F.coalesce(inside, F.col("_after")))
+        .drop("_after", "_piece")
+    )
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """First row of each key. An aggregate, so hot keys shrink before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

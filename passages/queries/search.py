@@ -19,7 +19,7 @@ from passages.queries.bindings import (
     collapse_sql, embed_words_sql, fields_sql, fnv_sql, marked_sql, terms_sql, trim_sql, with_sql,
 )
 from passages.queries.registry import query
-from passages.sources.tables import read_table, synonym_rows
+from passages.sources.tables import read_table, stage, synonym_rows
 
 # ---- oracle fragments ---------------------------------------------------------------------------
 
@@ -410,7 +410,7 @@ def hybrid_hits(spark, folder, limit=search.RESULTS):
     return search.hybrid_search(
         b.sections(spark, folder),
         b.game_questions(spark, folder),
-        b.attached(spark, folder),
+        stage(b.attached(spark, folder), "attached"),
         synonym_rows(b.catalogue(spark)),
         b.glossary(rows),
         b.citations(rows),
@@ -518,7 +518,7 @@ def pdf_hits(spark, folder):
     asked = feature_questions(spark, folder, rows).select(
         F.concat_ws("/", "pdf_id", "feature_id").alias("query_id"), "pdf_id", "query_text"
     )
-    books = b.attached(spark, folder).select("pdf_id", "pdf_title")
+    books = stage(b.attached(spark, folder).select("pdf_id", "pdf_title"), "books")
     return search.search_books(
         b.sections(spark, folder), asked, books, synonym_rows(b.catalogue(spark)), b.glossary(rows), b.citations(rows)
     )

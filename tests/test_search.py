@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from passages import session
 from passages.operators import concepts, embedding, fulltext, hits
-from passages.operators.ordering import dense_position, int_chunk
+from passages.operators.ordering import dense_position, int_chunk, next_in_group
 from passages.plans import search
 from passages.queries import bindings
 from passages.sources.tables import read_table, usable_features
@@ -159,3 +159,9 @@ def test_dense_position_over_many_pieces(spark):
     df = spark.range(0, 1000).select((F.col("id") * 3).alias("n"), F.lit("hot").alias("g"))
     placed = dense_position(df, ["g"], {"_p": int_chunk("n", 64)}, ["n"], "at")
     assert placed.where("at <> n / 3").count() == 0 and placed.count() == 1000
+
+
+def test_next_over_many_pieces(spark):
+    df = spark.range(0, 500).select((F.col("id") * 37).alias("n"), F.lit("hot").alias("g"))
+    found = next_in_group(df, ["g"], "n", "after", 64).orderBy("n").collect()
+    assert [r["after"] for r in found] == [n * 37 for n in range(1, 500)] + [None]
