@@ -19,7 +19,7 @@ def books(spark, folder):
 
 
 def attached(spark, folder):
-    """Books of odd pages are attached; the position follows the book number."""
+    """Suppliers in good standing are attached; the position follows the book number."""
     rows = read_table(spark, folder, "supplier").where("s_acctbal >= 2000").select(
         F.col("s_nationkey").alias("game_id"), F.col("s_suppkey").alias("pdf_id")
     )

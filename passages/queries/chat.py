@@ -8,7 +8,7 @@ from passages.operators import hits, replies, reports
 from passages.plans import chat, learnings
 from passages.plans.search import TOOL_RESULTS
 from passages.queries import bindings as b
-from passages.queries.bindings import fields_sql, trim_sql, with_sql
+from passages.queries.bindings import fields_sql, trim_sql
 from passages.queries.concepts import (
     CANDIDATES_SQL, COUNTS_SQL, FREQUENT_SQL, MATCHED_SQL, matched,
 )

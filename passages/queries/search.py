@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passages.functions.ranking import (
     TITLE_STOPWORDS, is_tabular, table_penalty, text_lines, title_boost,
 )
-from passages.functions.text import WS, embed_words, snippet
+from passages.functions.text import embed_words, snippet
 from passages.functions.vectors import cosine, fnv1a
 from passages.operators import embedding
 from passages.operators.concepts import definition_queries, expand_queries, matched_features
@@ -91,11 +91,6 @@ def match_sql(texts: str, text: str, name: str = "matched", glossary: str = "glo
     return body.replace("by_synonym", f"{name}_s").replace("by_term", f"{name}_t")
 
 
-BUCKETS_SQL = """word_buckets AS (
-SELECT word, CAST({fnv} % 256 AS INTEGER) AS bucket
-FROM (SELECT DISTINCT unnest(words) AS word FROM embed_texts))""".format(fnv=fnv_sql("word"))
-
-
 def weights_sql(texts: str, key: str, text: str, name: str) -> str:
     """(key, bucket, weight) of a relation of texts."""
     return f"""{name}_words AS (SELECT {key}, unnest({embed_words_sql(text)}) AS word FROM {texts}),
