@@ -30,3 +30,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_components(read_table(spark, folder, "documents"))
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+@query("op10_embeddings")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of each label."""
+    from passages.llm.embeddings import near_vectors
+
+    return near_vectors(read_table(spark, folder, "embeddings"))
