@@ -38,3 +38,60 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from passages.llm.embeddings import near_vectors
 
     return near_vectors(read_table(spark, folder, "embeddings"))
+
+
+# Given rules of the query: verdict, host, path. Fixed values.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+URL_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, strpos(url, '://') > 0 AS whole,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query
+  FROM cut
+), kept AS (
+  SELECT *, list_filter(list_sort(string_split(query, '&')),
+                        lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')) AS asked
+  FROM parts
+), named AS (
+  SELECT page_id, host, path,
+         CASE WHEN whole THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+           || regexp_replace(path, '/+$', '') || '/'
+           || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS canonical
+  FROM kept
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+    count(*) OVER (PARTITION BY canonical) AS seen
+  FROM named
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN canonical IS NOT NULL AND seen > 1 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query("op8_urls", URL_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url against the rules; listed are the canonical URLs that several pages share."""
+    from passages.llm.urls import canonical_url, judge_urls
+
+    pages = read_table(spark, folder, "pages")
+    shared = pages.groupBy(canonical_url(F.col("url")).alias("canonical")).count().where("count > 1")
+    return judge_urls(pages, shared, URL_RULES)
