@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.queries.registry import Query
@@ -141,3 +141,74 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+def _secrets_sql() -> str:
+    from passages.llm.secrets import ALLOWED, CLASSES, PATTERNS
+
+    def quoted(regex: str) -> str:
+        return "'" + regex.replace("'", "''") + "'"
+
+    def matches(kind: str, regex: str) -> str:
+        q = quoted(regex)
+        return f"""{kind}_m AS (
+  SELECT rid, i, m, sum(gap) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT rid, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(list_transform(gaps[1:len(ms)], lambda x: length(x))) AS gap
+        FROM (SELECT rid, regexp_extract_all(t, {q}, 0) AS ms, string_split_regex(t, {q}) AS gaps FROM d WHERE regexp_matches(t, {q})))
+  WINDOW w AS (PARTITION BY rid ORDER BY i)
+)"""
+
+    parts, spans = [], []
+    for rank, p in enumerate(PATTERNS):
+        parts.append(matches(p.kind, p.regex))
+        spans.append(
+            f"SELECT rid, {rank} AS rank, '{p.kind}' AS kind, start, start + length(m) AS stop FROM {p.kind}_m "
+            f"WHERE length(regexp_extract(m, {quoted(p.regex)}, {p.group})) >= {p.shortest}"
+        )
+    for rank, c in enumerate(CLASSES, len(PATTERNS)):
+        parts.append(matches(c.kind, c.regex))
+        parts.append(f"""{c.kind}_w AS (
+  SELECT *, pos > coalesce(lag(pos) OVER (PARTITION BY rid, i ORDER BY pos) + {c.window}, -1) AS fresh
+  FROM (SELECT rid, i, m, start, unnest(range(0, length(m) - {c.window} + 1)) AS pos FROM {c.kind}_m)
+  WHERE list_aggregate(string_split(substr(m, pos + 1, {c.window}), ''), 'entropy') >= {c.threshold}
+), {c.kind}_r AS (
+  SELECT rid, i, m, start, min(pos) AS low, max(pos) + {c.window} AS high
+  FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY rid, i ORDER BY pos) AS run FROM {c.kind}_w)
+  GROUP BY rid, i, m, start, run
+)""")
+        allowed = " AND ".join(f"NOT regexp_matches(substr(m, low + 1, high - low), {quoted(a)})" for a in ALLOWED)
+        spans.append(
+            f"SELECT rid, {rank} AS rank, '{c.kind}' AS kind, start + low AS start, start + high AS stop FROM {c.kind}_r WHERE {allowed}"
+        )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{", ".join(parts)},
+spans AS ({" UNION ALL ".join(spans)}),
+told AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         string_agg(concat_ws(':', kind, CAST(start AS BIGINT), CAST(stop AS BIGINT)), ',' ORDER BY start, rank) FILTER (rank < {len(PATTERNS)}) AS base,
+         string_agg(concat_ws(':', kind, CAST(start AS BIGINT), CAST(stop AS BIGINT)), ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (rid)
+"""
+
+
+@query("op5_secrets", _secrets_sql())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document's text."""
+    from passages.llm.secrets import PATTERNS, all_spans, find_secrets, spans_text
+
+    found = find_secrets(read_table(spark, folder, "documents"))
+
+    def count(kind: str) -> Column:
+        own = F.filter("base_spans", lambda s: s["kind"] == kind)
+        return F.size(own).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(p.kind) for p in PATTERNS]
+    return found.select(
+        "doc_id", *counts, F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        spans_text(all_spans(F.col("base_spans"), F.col("entropy_spans"))).alias("spans"),
+    )
