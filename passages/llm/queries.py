@@ -212,3 +212,19 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *counts, F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
         spans_text(all_spans(F.col("base_spans"), F.col("entropy_spans"))).alias("spans"),
     )
+
+
+@query("op2_pieces")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """SentencePiece ids of every document, and the text they decode to, as digests."""
+    import public_tokenizers
+
+    from passages.llm.pieces import encode_documents
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = encode_documents(read_table(spark, folder, "documents"), model)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
