@@ -228,3 +228,34 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), h AS (
+  SELECT page_id, strlen(html) AS payload_bytes, upper(sha1(html)) AS hex, max(page_id) OVER (PARTITION BY html) AS response_id FROM p
+), b AS (
+  SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS parts FROM h
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([32768, 1024, 32, 1],
+         lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // d) % 32 + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM response_id AND response_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response_id THEN response_id END AS refers_to
+FROM b
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives, read back and assembled."""
+    from passages.llm.warc import assemble_captures, new_archive_folder, read_archives, write_archives
+
+    path = new_archive_folder(spark)
+    write_archives(read_table(spark, folder, "pages"), path)
+    captures = assemble_captures(read_archives(spark, path, payloads=False))
+    return captures.select(
+        F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("answer.type").alias("record_type"), F.col("refers_to")["page-id"].cast("bigint").alias("refers_to"),
+    )
