@@ -259,3 +259,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("answer.type").alias("record_type"), F.col("refers_to")["page-id"].cast("bigint").alias("refers_to"),
     )
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """A fifth of the documents, which no model learns from. Rows without an id are held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))
+
+
+@query("op7_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    from passages.llm.language import identify, train
+
+    docs = read_table(spark, folder, "documents")
+    found = identify(docs, train(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
