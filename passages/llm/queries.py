@@ -274,3 +274,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     found = identify(docs, train(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    from passages.llm.toxicity import toxicity, train
+
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    found = toxicity(docs, train(docs, labels.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
