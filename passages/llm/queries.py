@@ -284,3 +284,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
     found = toxicity(docs, train(docs, labels.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op9_substrings")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that repeat, as counts and a digest."""
+    from passages.llm.substrings import cut_repeats
+
+    found = cut_repeats(read_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_sentences", "n_removed", F.length("kept").cast("bigint").alias("n_chars_kept"),
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
