@@ -4,14 +4,14 @@ Where no piece of a model goes on past a word into the next white-space marker,
 those of its chunks: words with the markers before them. Documents are taken in blocks of bounded
 size. Each block offers its distinct chunks, all blocks' chunks are dealt out by hash, and every
 distinct chunk is segmented once; ids and decoded text then go back to the blocks that asked, where
-they are put in the order of the text. What travels is each block's texts once, compressed, and its
-distinct chunks twice.
+they are put in the order of the text. What travels, compressed, is each block's texts, its distinct
+chunks and their ids, each once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 from zlib import crc32
@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 MARK = "▁"
 # Characters of text in a block, unless one document has more.
-BLOCK = 1 << 23
+BLOCK = 1 << 25
+# A chunk's ids as 32-bit numbers, and what they decode to if that is not the chunk itself.
+Piece = tuple[bytes, str | None]
 _CHUNK = re.compile(" *[^ ]+| +$")
 
 
@@ -90,7 +93,6 @@ def encode_documents(
     """
     check_model(model)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
     key_type = to_arrow_type(docs.schema[key].dataType)
     # As many buckets as keep one bucket's chunks to a small part of a block's.
     buckets = max(64, 4 * rows.rdd.getNumPartitions())
@@ -98,99 +100,122 @@ def encode_documents(
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for number, _, texts in _blocks(batches, block):
-            distinct = sorted(set(chain.from_iterable(map(chunks_of, texts))))
-            lists: dict[int, list[str]] = {}
-            for chunk in distinct:
-                lists.setdefault(crc32(chunk.encode()) % buckets, []).append(chunk)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part] * len(lists), pa.int32()),
-                    "number": pa.array([number] * len(lists), pa.int32()),
-                    "bucket": pa.array(list(lists), pa.int32()),
-                    "chunks": pa.array(list(lists.values()), pa.list_(pa.string())),
-                }
-            )
+            lists = _by_bucket(set(chain.from_iterable(map(chunks_of, texts))), buckets)
+            packed = [_pack(chunks=pa.array(chunks, pa.string())) for chunks in lists.values()]
+            yield _rows(part=[part] * len(lists), number=[number] * len(lists), bucket=list(lists), packed=packed)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[str, tuple[bytes, str | None]] = {}
+        table: dict[str, Piece] = {}
         at = None
-        for batch in batches:
-            found: dict[str, list] = {"part": [], "number": [], "chunks": [], "ids": [], "changed": []}
-            for row in batch.to_pylist():
-                if row["bucket"] != at:
-                    at, table = row["bucket"], {}
-                _add(table, model, row["chunks"])
-                ids = [table[c][0] for c in row["chunks"]]
-                changed = [table[c][1] for c in row["chunks"]]
-                found["part"].append(row["part"])
-                found["number"].append(row["number"])
-                found["chunks"].append(row["chunks"])
-                found["ids"].append(ids)
-                found["changed"].append(changed if any(x is not None for x in changed) else None)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array(found["part"], pa.int32()),
-                    "number": pa.array(found["number"], pa.int32()),
-                    "chunks": pa.array(found["chunks"], pa.list_(pa.string())),
-                    "ids": pa.array(found["ids"], pa.list_(pa.binary())),
-                    "changed": pa.array(found["changed"], pa.list_(pa.string())),
-                }
-            )
+        for row in chain.from_iterable(batch.to_pylist() for batch in batches):
+            if row["bucket"] != at:
+                at, table = row["bucket"], {}
+            chunks = _unpack(row["packed"])["chunks"].to_pylist()
+            _add(table, model, chunks)
+            row["packed"] = _answer(chunks, table)
+            yield _rows(**{name: [value] for name, value in row.items()})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for number, keys, texts in _blocks(batches, block):
-            held = pa.record_batch(
-                [pa.array([k.as_py() for k in keys], key_type), pa.array(texts, pa.large_string())], ["key", "text"]
-            )
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(held)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part], pa.int32()),
-                    "number": pa.array([number], pa.int32()),
-                    "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                }
-            )
+            held = _pack(key=pa.array([k.as_py() for k in keys], key_type), text=pa.array(texts, pa.large_string()))
+            yield _rows(part=[part], number=[number], bucket=[-1], packed=[held])
 
     def assemble(own: pa.Table, answers: pa.Table) -> pa.Table:
-        table: dict[str, tuple[bytes, str | None]] = {}
-        for row in answers.to_batches():
-            for chunks, ids, changed in zip(*(row.column(c).to_pylist() for c in ("chunks", "ids", "changed")), strict=True):
-                table.update(zip(chunks, zip(ids, changed or [None] * len(chunks), strict=True), strict=True))
-        keys, ids, ends, decoded = [], [], [0], []
-        for packed in own.column("texts").to_pylist():
-            held = pa.ipc.open_stream(packed).read_all()
-            keys.append(held.column("key"))
-            for text in held.column("text").to_pylist():
-                chunks = chunks_of(text)
-                # A block whose rows came in another order when it was read again may hold other words.
-                _add(table, model, chunks)
+        keys, ids, decoded = [], [], []
+        for packed in own["packed"].to_pylist():
+            held = _unpack(packed)
+            keys.append(held["key"].combine_chunks())
+            texts = [chunks_of(t) for t in held["text"].to_pylist()]
+            lists = _by_bucket(set(chain.from_iterable(texts)), buckets)
+            table: dict[str, Piece] = {}
+            for bucket, answer in zip(answers["bucket"].to_pylist(), answers["packed"].to_pylist(), strict=True):
+                _take(table, lists.get(bucket, []), answer)
+            # Blocks are cut by the order of the rows. Should that have changed when the rows were read
+            # again, some answers are for other chunks, and what is missing is segmented here.
+            _add(table, model, chain.from_iterable(lists.values()))
+            for chunks in texts:
                 found = [table[c] for c in chunks]
-                ids.append(b"".join(f[0] for f in found))
-                ends.append(ends[-1] + len(ids[-1]) // 4)
+                ids.append(b"".join([f[0] for f in found]))
                 decoded.append(" ".join([c if f[1] is None else f[1] for c, f in zip(chunks, found, strict=True)]))
-        if not keys:
-            return pa.table({"key": pa.array([], key_type), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())})
+        ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
         flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
         listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        return pa.table({"key": pa.concat_arrays([c for k in keys for c in k.chunks]), "ids": listed, "decoded": pa.array(decoded, pa.string())})
-
-    asked = (
-        rows.mapInArrow(offer, "part int, number int, bucket int, chunks array<string>")
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket")
+        whole = pa.concat_arrays(keys) if keys else pa.array([], key_type)
+        return pa.table({"key": whole, "ids": listed, "decoded": pa.array(decoded, pa.string())})
+
+    schema = "part int, number int, bucket int, packed binary"
+    asked = rows.mapInArrow(offer, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(look_up, schema)
+    out = rows.mapInArrow(pack, schema).groupBy("part", "number").cogroup(answers.groupBy("part", "number"))
+    returned = T.StructType(
+        [
+            T.StructField("key", docs.schema[key].dataType),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.StringType()),
+        ]
     )
-    answers = asked.mapInArrow(
-        look_up, "part int, number int, chunks array<string>, ids array<binary>, changed array<string>"
+    return out.applyInArrow(assemble, returned).withColumnRenamed("key", key)
+
+
+def _pack(**columns: pa.Array) -> bytes:
+    """Columns as a compressed Arrow stream."""
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    kinds = {"packed": pa.binary()}
+    arrays = [pa.array(values, kinds.get(name, pa.int32())) for name, values in columns.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
+def _by_bucket(chunks: set[str], buckets: int) -> dict[int, list[str]]:
+    """Chunks of each bucket in order."""
+    lists: dict[int, list[str]] = {}
+    for chunk in sorted(chunks):
+        lists.setdefault(crc32(chunk.encode()) % buckets, []).append(chunk)
+    return lists
+
+
+def _answer(chunks: list[str], table: dict[str, Piece]) -> bytes:
+    """Ids of a list of chunks, what they decode to where that differs, and a check of the list."""
+    found = [table[c] for c in chunks]
+    ids = np.frombuffer(b"".join(f[0] for f in found), np.int32)
+    ends = np.cumsum([0, *(len(f[0]) // 4 for f in found)])
+    small = ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids
+    return _pack(
+        ids=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(small)),
+        changed=pa.array([f[1] for f in found], pa.string()),
+        check=pa.array([_check(chunks)] * len(chunks), pa.int64()),
     )
-    packed = rows.mapInArrow(pack, "part int, number int, texts binary")
-    out = packed.groupBy("part", "number").cogroup(answers.groupBy("part", "number"))
-    return out.applyInArrow(assemble, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
-def _add(table: dict[str, tuple[bytes, str | None]], model: str, chunks: list[str]) -> None:
+def _take(table: dict[str, Piece], chunks: list[str], answer: bytes) -> None:
+    """Add an answer to the table if it is for exactly these chunks."""
+    held = _unpack(answer)
+    if held.num_rows != len(chunks) or not chunks or held["check"][0].as_py() != _check(chunks):
+        return
+    lists = held["ids"].combine_chunks()
+    ends = (lists.offsets.to_numpy() * 4).tolist()
+    flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
+    ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    table.update(zip(chunks, zip(ids, held["changed"].to_pylist(), strict=True), strict=True))
+
+
+def _check(chunks: list[str]) -> int:
+    return crc32("\0".join(chunks).encode())
+
+
+def _add(table: dict[str, Piece], model: str, chunks: Iterable[str]) -> None:
     """Segment the chunks that the table lacks: their ids, and what they decode to where that differs."""
     new = list({c: None for c in chunks if c not in table})
     if new:

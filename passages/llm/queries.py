@@ -214,15 +214,19 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def piece_model() -> str:
+    """Path of the public SentencePiece model, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op2_pieces")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """SentencePiece ids of every document, and the text they decode to, as digests."""
-    import public_tokenizers
-
     from passages.llm.pieces import encode_documents
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    found = encode_documents(read_table(spark, folder, "documents"), model)
+    found = encode_documents(read_table(spark, folder, "documents"), piece_model())
     return found.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

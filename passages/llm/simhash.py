@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passages.llm.components import component_of
 from passages.session import broadcast_if_small
@@ -64,8 +65,6 @@ def fingerprint(text: bytes, size: int) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
     """(key, fingerprint) of every row. A null text counts as empty; without words the fingerprint is 0."""
-    kind = docs.schema[key].dataType
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
@@ -74,7 +73,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 [batch.column(0), pa.array(found, pa.int64())], ["key", "fingerprint"]
             )
 
-    schema = f"key {kind.simpleString()}, fingerprint bigint"
+    schema = T.StructType(
+        [T.StructField("key", docs.schema[key].dataType), T.StructField("fingerprint", T.LongType())]
+    )
     pairs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return pairs.mapInArrow(fold, schema).withColumnRenamed("key", key)
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passages.llm.samples import about
 from passages.session import broadcast_if_small
@@ -339,22 +340,24 @@ def train(
     return model
 
 
-def decisions(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
-    """(key, more..., decision, next, score) of every row: see ToxicityModel.worst."""
+def decisions(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, decision, next, score) of every row: see ToxicityModel.worst. The key may be of any type."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [key, *more]
-    rows = docs.select(F.col(text).alias("_text"), *names)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.worst(batch.column(0).to_pylist())
+            found = shared.value.worst(batch.column(1).to_pylist())
             numbers = [found[:, 0], found[:, 1], shared.value.score(found)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *(pa.array(n, pa.float64()) for n in numbers)], [*names, "decision", "next", "score"]
+                [batch.column(0), *(pa.array(n, pa.float64()) for n in numbers)], ["key", "decision", "next", "score"]
             )
 
-    return rows.mapInArrow(judge, f"{kinds}, decision double, next double, score double")
+    schema = T.StructType(
+        [T.StructField("key", docs.schema[key].dataType)]
+        + [T.StructField(name, T.DoubleType()) for name in ("decision", "next", "score")]
+    )
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(judge, schema).withColumnRenamed("key", key)
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
