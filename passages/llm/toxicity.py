@@ -180,25 +180,41 @@ class ToxicityModel:
 
         There are more next ones in a longer text. A single chunk stands for them too, the bias for none.
         """
-        held = [chunks_of(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(dict.fromkeys(c for chunks in held for c in chunks if c not in self.known))
-        if new:
-            self.known.update(zip(new, self.decide([marked(clean(c)) for c in new]).tolist(), strict=True))
-        out = np.full((len(held), 2), self.bias)
-        for i, chunks in enumerate(held):
-            found = np.fromiter(map(self.known.__getitem__, chunks), float, len(chunks))
-            if len(found):
-                count = 1 + max(LOOKED_AT, len(found) // PER_CHUNKS)
-                top = np.sort(np.partition(found, -count)[-count:] if len(found) > count else found)
-                out[i] = top[-1], top[:-1].mean() if len(top) > 1 else top[-1]
-        return out
+        out = []
+        for some in _portions(texts):
+            held = [chunks_of(t) for t in some]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            new = list(dict.fromkeys(c for chunks in held for c in chunks if c not in self.known))
+            if new:
+                self.known.update(zip(new, self.decide([marked(clean(c)) for c in new]).tolist(), strict=True))
+            out += map(self._top, held)
+        return np.array(out).reshape(-1, 2)
+
+    def _top(self, chunks: list[str]) -> tuple[float, float]:
+        if not chunks:
+            return self.bias, self.bias
+        found = np.fromiter(map(self.known.__getitem__, chunks), float, len(chunks))
+        count = 1 + max(LOOKED_AT, len(found) // PER_CHUNKS)
+        top = np.sort(np.partition(found, -count)[-count:] if len(found) > count else found)
+        return top[-1], top[:-1].mean() if len(top) > 1 else top[-1]
 
     def score(self, decisions: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(decisions @ np.array(self.slopes) + self.shift, -30, 30)))
 
 
+def _portions(texts: Iterable[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, so many at a time that their chunks need bounded memory."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text or "")
+        held += len(some[-1])
+        if held >= size:
+            yield some
+            some, held = [], 0
+    yield some
+
+
 def _fit_line(points: np.ndarray, labels: np.ndarray, weights: np.ndarray, strength: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the points within the margin."""
     wide = np.hstack([points, np.ones((len(points), 1))])
@@ -346,7 +362,7 @@ def decisions(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.worst(batch.column(1).to_pylist())
+            found = shared.value.worst(t.as_py() for t in batch.column(1))
             numbers = [found[:, 0], found[:, 1], shared.value.score(found)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(n, pa.float64()) for n in numbers)], ["key", "decision", "next", "score"]
