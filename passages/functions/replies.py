@@ -71,7 +71,11 @@ def json_candidates(stripped: Column) -> Column:
 
 
 def first_fitting(candidates: Column, kind: Column) -> Column:
-    """First candidate that is JSON of the shape the pass asks for; a bare feature list is wrapped."""
+    """First candidate that is JSON of the shape the pass asks for; a bare feature list is wrapped.
+
+    features: a list of texts. glossary: objects of a feature_id and a list of terms. cheatsheet: a
+    feature_id and citations with a title. Each may be missing or null, none may have another type.
+    """
     wrapped = F.transform(
         F.filter(candidates, lambda c: (kind == "features") & F.startswith(c, F.lit("["))),
         lambda c: F.concat(F.lit('{"features":'), c, F.lit("}")),
@@ -79,11 +83,29 @@ def first_fitting(candidates: Column, kind: Column) -> Column:
 
     def fits(c: Column) -> Column:
         value = F.try_parse_json(c)
-        shape = F.schema_of_variant(value)
-        object_like = F.startswith(shape, F.lit("OBJECT"))
-        features = F.try_variant_get(value, "$.features", "array<string>").isNotNull()
-        no_features = F.get_json_object(c, "$.features").isNull()
-        return F.coalesce(object_like & ((kind != "features") | features | no_features), F.lit(False))
+
+        def shape(path: str) -> Column:
+            return F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("VOID"))
+
+        def rows(path: str, fields: dict[str, str]) -> Column:
+            """A list of objects whose named fields have the wanted types, or none at all."""
+            given = shape(path)
+            typed = given.rlike(r"^ARRAY<OBJECT<")
+            for field, wanted in fields.items():
+                typed = typed & ~given.rlike(rf"[<\s]{field}: (?!(?:{wanted}|VOID)[,>])")
+            return given.isin("VOID", "ARRAY<VOID>") | typed
+
+        words = "ARRAY<(?:STRING|VOID)>"
+        shapes = (
+            F.when(kind == "features", shape("$.features").isin("VOID", "ARRAY<VOID>", "ARRAY<STRING>"))
+            .when(kind == "glossary", rows("$.glossary", {"feature_id": "STRING", "terms": words}))
+            .when(
+                kind == "cheatsheet",
+                shape("$.feature_id").isin("VOID", "STRING") & rows("$.citations", {"section_title": "STRING"}),
+            )
+            .otherwise(True)
+        )
+        return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")) & shapes, F.lit(False))
 
     return F.get(F.filter(F.concat(candidates, wrapped), fits), F.lit(0))
 

@@ -16,7 +16,8 @@ EDGE = r"[^\p{L}\p{N}]"
 INTERSECT_ROWS = 2_000
 
 # Fixed values of the definition query: trimmed marks, least bytes of a word, closing words.
-DEFINITION_TRIM = r"""[.,;:?"'()\[\]]+"""
+DESCRIPTION_TRIM = r"""[.,;:"'()\[\]]+"""
+QUESTION_TRIM = r"""[.,;:?"'()\[\]]+"""
 DEFINITION_BYTES = 4
 DEFINITION_TAIL = ["rules", "definition"]
 
@@ -182,19 +183,16 @@ def definition_queries(requests: DataFrame, features: DataFrame, glossary: DataF
     capitals, followed by two fixed words.
     """
 
-    def keywords(c: Column) -> Column:
-        bare = F.transform(
-            fields(c),
-            lambda w: F.regexp_replace(w, rf"^{DEFINITION_TRIM}|{DEFINITION_TRIM}\z", ""),
-        )
+    def keywords(c: Column, marks: str) -> Column:
+        bare = F.transform(fields(c), lambda w: F.regexp_replace(w, rf"^{marks}|{marks}\z", ""))
         return F.filter(bare, lambda w: F.octet_length(w) >= DEFINITION_BYTES)
 
     none = F.array().cast("array<string>")
     parts = F.concat(
         F.array("name"),
         F.coalesce("synonyms", none),
-        keywords(F.coalesce("description", F.lit(""))),
-        F.coalesce(F.flatten(F.transform("questions", keywords)), none),
+        keywords(F.coalesce("description", F.lit("")), DESCRIPTION_TRIM),
+        F.coalesce(F.flatten(F.transform("questions", lambda q: keywords(q, QUESTION_TRIM))), none),
     )
     catalogue = features.select("feature_id", parts.alias("_parts"))
     terms = glossary.groupBy("pdf_id", "feature_id").agg(

@@ -12,7 +12,6 @@ from passages.operators.ordering import dense_position, first_by, int_chunk, nex
 from passages.sources.tables import stage
 
 ALL_LEVELS = 0
-PATH_DIGITS = 12
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -104,16 +103,18 @@ def bookmark_depth(max_depth: int | None = None, include_children: bool | None =
 
 
 def flatten_bookmarks(nodes: DataFrame, max_depth: int = ALL_LEVELS) -> DataFrame:
-    """(pdf_id, pos, depth, title, start_page) of a bookmark tree; ``pos`` sorts as the tree reads.
+    """(pdf_id, pos, depth, title, start_page) of a bookmark tree.
+
+    ``pos`` is the list of positions from the root down, which sorts as the tree reads.
 
     ``nodes`` is (pdf_id, node_id, parent_id, pos, title, page). The tree is walked one level per
     join, each level written before the next one starts, so neither depth nor size of a tree is
     bounded by a query plan.
     """
-    step = F.lpad(F.col("pos").cast("string"), PATH_DIGITS, "0")
+    step = F.col("pos").cast("bigint")
     columns = ["pdf_id", "node_id", "depth", "path", "title", "page"]
     level = nodes.where("parent_id is null").select(
-        "pdf_id", "node_id", F.lit(1).alias("depth"), step.alias("path"), "title", "page"
+        "pdf_id", "node_id", F.lit(1).alias("depth"), F.array(step).alias("path"), "title", "page"
     )
     below = nodes.where("parent_id is not null").withColumn("_step", step)
     walked, depth = level, 1
@@ -121,7 +122,7 @@ def flatten_bookmarks(nodes: DataFrame, max_depth: int = ALL_LEVELS) -> DataFram
         above = level.select("pdf_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_path"))
         level = stage(
             below.join(above, ["pdf_id", "parent_id"])
-            .withColumn("path", F.concat_ws("/", "_path", "_step"))
+            .withColumn("path", F.concat("_path", F.array("_step")))
             .withColumn("depth", F.lit(depth + 1))
             .select(*columns),
             "bookmarks",
@@ -137,4 +138,4 @@ def flatten_bookmarks(nodes: DataFrame, max_depth: int = ALL_LEVELS) -> DataFram
 
 def path_piece(levels: int = 2) -> Column:
     """Beginning of a bookmark path, the piece that page_ranges needs for bookmarks."""
-    return F.left("pos", F.lit(levels * (PATH_DIGITS + 1) - 1))
+    return F.slice("pos", 1, levels)

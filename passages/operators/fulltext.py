@@ -24,12 +24,13 @@ _SECTION = ["section_id", "pdf_id", "n_terms"]
 
 def section_terms(sections: DataFrame) -> DataFrame:
     """(section_id, pdf_id, title_terms, body_terms, n_terms); row by row, nothing is shuffled."""
-    return sections.select(
-        "section_id",
-        "pdf_id",
-        index_terms(F.col("title")).alias("title_terms"),
-        index_terms(F.col("plain_text")).alias("body_terms"),
-    ).withColumn("n_terms", F.size("title_terms") + F.size("body_terms"))
+    return with_terms(sections).select("section_id", "pdf_id", "title_terms", "body_terms", "n_terms")
+
+
+def with_terms(sections: DataFrame) -> DataFrame:
+    """sections with ``title_terms``, ``body_terms`` and their number ``n_terms``."""
+    terms = {"title_terms": index_terms(F.col("title")), "body_terms": index_terms(F.col("plain_text"))}
+    return sections.withColumns(terms).withColumn("n_terms", F.size("title_terms") + F.size("body_terms"))
 
 
 def query_phrases(queries: DataFrame, text: str = "query_text") -> DataFrame:

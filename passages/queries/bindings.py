@@ -14,13 +14,13 @@ from passages.session import broadcast_if_small
 from passages.sources.tables import CATALOGUE_SCHEMA, read_table, spread, stage, usable_features
 
 # A small catalogue over words of the documents: function words of their languages, one phrase of
-# several words each, one feature no text names and one without a name of its own.
+# several words each, one feature no text names, one without a name of its own and one named as its id.
 CATALOGUE = [
     (0, "en", "English prose", "Sentences built on common English words.",
      ["Which words open a sentence?", "How often does the article occur?"], ["the", "of the", "and"]),
     (1, "fr", "French prose", "Sentences built on common French words.",
      ["Which words open a sentence?"], ["les", "dans", "de la"]),
-    (2, "de", "German prose", "Sentences built on common German words.",
+    (2, "de", "de", "Really what? Sentences built on common German words.",
      ["Which words are written with a capital letter?"], ["und", "der", "in der"]),
     (3, "es", "", "Sentences built on common Spanish words.", [], ["los", "que", "de los"]),
     (4, "rare", "Rare words", "", [], ["zyzzyva", "is-not"]),
@@ -85,59 +85,42 @@ def attached(spark: SparkSession, folder: str) -> DataFrame:
 
 def game_questions(spark: SparkSession, folder: str) -> DataFrame:
     """Every question asked in every game."""
-    games = F.explode(F.array(F.lit("game4"), F.lit("game5"))).alias("game_id")
+    ids = attached(spark, folder).agg(F.collect_set("game_id")).scalar()
+    games = F.explode(ids).alias("game_id")
     return questions(spark, folder).select(
         F.col("query_id").alias("item_id"), games, "query_text"
     ).select(F.format_string("%s/%d", "game_id", "item_id").alias("query_id"), "game_id", "query_text")
 
 
-def cited(spark: SparkSession, folder: str) -> DataFrame:
-    """Per book and language with good documents: the first and last of them, and whether an entry exists."""
-    docs = read_table(spark, folder, "documents").select("doc_id", "source", "lang")
-    good = read_table(spark, folder, "labels").where("quality = 1").select("doc_id", "toxic")
-    return (
-        docs.join(good, "doc_id")
-        .groupBy(F.col("source").alias("pdf_id"), F.col("lang").alias("feature_id"))
-        .agg(
-            F.min("doc_id").alias("first_id"),
-            F.max("doc_id").alias("last_id"),
-            F.max("toxic").alias("has_entry"),
-        )
-    )
-
-
 def cited_sections(spark: SparkSession, folder: str) -> DataFrame:
-    """(pdf_id, feature_id, has_entry, pos, section_id, section_title, start_page, end_page).
+    """(pdf_id, feature_id, has_entry, defines, pos, section_id, section_title, start_page, end_page).
 
-    At most two rows per book and language. They are written once: glossary, cheatsheet and
-    citations are all read off them.
+    Every good document is a citation of its book and language, in id order. A book and language has
+    an entry where one of them is toxic; those documents stand for the ones that define a term. The
+    rows are written once: glossary, cheatsheet and citations are all read off them.
     """
-    picked = cited(spark, folder).select(
-        "pdf_id",
-        "feature_id",
-        "has_entry",
-        F.posexplode(F.array_distinct(F.array("first_id", "last_id"))).alias("pos", "section_id"),
-    )
-    titles = read_table(spark, folder, "documents").select(
-        F.col("doc_id").alias("section_id"), F.substring_index("text", "\n", 1).alias("section_title")
-    )
-    rows = titles.join(broadcast_if_small(picked), "section_id").select(
-        "pdf_id",
-        "feature_id",
-        "has_entry",
-        "pos",
-        "section_id",
-        "section_title",
-        (F.col("section_id") + 1).alias("start_page"),
-        F.lit(0).cast("bigint").alias("end_page"),
+    docs = read_table(spark, folder, "documents").select(
+        F.col("doc_id").alias("section_id"), F.col("source").alias("pdf_id"), F.col("lang").alias("feature_id"),
+        F.substring_index("text", "\n", 1).alias("section_title"),
+    )
+    good = read_table(spark, folder, "labels").where("quality = 1").select(
+        F.col("doc_id").alias("section_id"), (F.col("toxic") == 1).alias("defines")
     )
+    picked = stage(docs.join(good, "section_id"), "good")
+    group = ["pdf_id", "feature_id"]
+    entries = picked.groupBy(*group).agg(F.max(F.col("defines").cast("int")).alias("has_entry"))
+    placed = dense_position(picked, group, {"_piece": int_chunk("section_id")}, ["section_id"], "pos")
+    rows = placed.join(entries, group).select(
+        *group, "has_entry", "defines", F.col("pos").cast("int").alias("pos"), "section_id", "section_title",
+        (F.col("section_id") + 1).alias("start_page"), F.lit(0).cast("bigint").alias("end_page"),
+    )
     return stage(rows, "cited")
 
 
 def glossary(cited_rows: DataFrame) -> DataFrame:
-    """(pdf_id, feature_id, term): opening words of the cited sections."""
+    """(pdf_id, feature_id, term): opening words of the sections that define a term."""
     word = F.regexp_extract("section_title", r"\p{L}+", 0)
-    return cited_rows.select("pdf_id", "feature_id", word.alias("term")).where("term <> ''").distinct()
+    return cited_rows.where("defines").select("pdf_id", "feature_id", word.alias("term")).where("term <> ''").distinct()
 
 
 def cheatsheet(cited_rows: DataFrame) -> DataFrame:
@@ -148,7 +131,7 @@ def cheatsheet(cited_rows: DataFrame) -> DataFrame:
 
 
 def citations(cited_rows: DataFrame) -> DataFrame:
-    return cited_rows.where("has_entry = 1").drop("has_entry")
+    return cited_rows.where("has_entry = 1").drop("has_entry", "defines")
 
 
 def detected(cited_rows: DataFrame) -> DataFrame:
@@ -193,22 +176,17 @@ FROM documents)"""
 
 GAME_QUESTIONS_SQL = """game_questions AS (
 SELECT g.game_id || '/' || item_id AS query_id, g.game_id, text AS query_text
-FROM benchmark, (VALUES ('game4'), ('game5')) g(game_id))"""
-
-CITED_SQL = """cited_ends AS (
-SELECT source AS pdf_id, lang AS feature_id, min(doc_id) AS first_id, max(doc_id) AS last_id,
-       max(toxic) AS has_entry
-FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY ALL),
-cited_ids AS (
-SELECT pdf_id, feature_id, has_entry, 0 AS pos, first_id AS section_id FROM cited_ends
-UNION ALL
-SELECT pdf_id, feature_id, has_entry, 1, last_id FROM cited_ends WHERE last_id <> first_id),
-cited_rows AS (
-SELECT c.*, s.title AS section_title, s.start_page, CAST(0 AS BIGINT) AS end_page
-FROM cited_ids c JOIN sections s USING (section_id)),
+FROM benchmark, (SELECT DISTINCT 'game' || length(source) AS game_id FROM documents) g)"""
+
+CITED_SQL = """cited_rows AS (
+SELECT s.pdf_id, d.lang AS feature_id, max(toxic) OVER g AS has_entry, toxic = 1 AS defines,
+       CAST(row_number() OVER (PARTITION BY s.pdf_id, d.lang ORDER BY doc_id) - 1 AS INTEGER) AS pos,
+       doc_id AS section_id, s.title AS section_title, s.start_page, CAST(0 AS BIGINT) AS end_page
+FROM documents d JOIN labels USING (doc_id) JOIN sections s ON s.section_id = doc_id WHERE quality = 1
+WINDOW g AS (PARTITION BY s.pdf_id, d.lang)),
 glossary AS (
 SELECT DISTINCT pdf_id, feature_id, regexp_extract(section_title, '\\p{L}+') AS term
-FROM cited_rows WHERE regexp_extract(section_title, '\\p{L}+') <> ''),
+FROM cited_rows WHERE defines AND regexp_extract(section_title, '\\p{L}+') <> ''),
 cheatsheet AS (
 SELECT pdf_id, feature_id, section_title AS definition FROM cited_rows
 WHERE has_entry = 1 AND pos = 0),

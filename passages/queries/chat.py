@@ -58,7 +58,7 @@ FROM attached a JOIN named n USING (pdf_id) LEFT JOIN cited_lines c USING (pdf_i
 LINES_SQL = """own AS (SELECT pdf_id, feature_id, string_agg(term, ', ' ORDER BY term) AS terms FROM glossary GROUP BY ALL),
 glossary_lines AS (
 SELECT a.game_id, o.feature_id, a.sort_order, a.pdf_title,
-'- ' || a.pdf_title || ' / ' || CASE WHEN trim(c.name) <> '' AND c.name <> o.feature_id THEN c.name || ' (' || o.feature_id || ')' ELSE o.feature_id END
+'- ' || a.pdf_title || ' / ' || CASE WHEN trim(c.name) <> '' THEN c.name || ' (' || o.feature_id || ')' ELSE o.feature_id END
 || ': ' || o.terms AS line, o.terms
 FROM attached a JOIN own o USING (pdf_id) LEFT JOIN catalogue c USING (feature_id))"""
 
@@ -329,6 +329,7 @@ def rebuild_plan(spark, folder):
 
 # Replies in the ways models misspell them, one per part and size.
 REPLY_KINDS = 8
+TYPED_KINDS = 5
 
 
 def messy_replies(spark, folder):
@@ -351,6 +352,52 @@ def messy_replies(spark, folder):
     return read_table(spark, folder, "part").select("p_partkey", F.lit("features").alias("pass"), raw.alias("raw"))
 
 
+def typed_replies(spark, folder):
+    """Replies of the other two passes; some are JSON of a type the pass does not take."""
+    kind, name, size = F.col("p_size") % TYPED_KINDS, F.col("p_name"), F.col("p_size").cast("string")
+    entry = F.concat(F.lit('{"feature_id":"'), name, F.lit('","terms":["s'), size, F.lit('"]}'))
+    cited = F.concat(F.lit('[{"section_title":"'), name, F.lit('","start_page":"'), size, F.lit('"}]'))
+    forms = {
+        "glossary": [
+            F.concat(F.lit('{"glossary":['), entry, F.lit(",{\"feature_id\":null}]}")),
+            F.concat(F.lit('```json\n{"glossary": ['), entry, F.lit(",]}\n```")),
+            F.concat(F.lit('{"glossary":"'), name, F.lit('"}')),
+            F.concat(F.lit('{"glossary":[{"feature_id":['), size, F.lit("]}]}")),
+            F.concat(F.lit('{"glossary":[{"feature_id":"a","terms":['), size, F.lit("]}]}")),
+        ],
+        "cheatsheet": [
+            F.concat(F.lit('{"feature_id":"'), name, F.lit('","definition":{"text":"s'), size, F.lit('"},"citations":'), cited, F.lit("}")),
+            F.concat(F.lit('Here: {"feature_id":"'), name, F.lit('","definition":"s'), size, F.lit('"}')),
+            F.concat(F.lit('{"feature_id":['), size, F.lit("]}")),
+            F.concat(F.lit('{"feature_id":"a","citations":"'), name, F.lit('"}')),
+            F.concat(F.lit('{"feature_id":"a","citations":[{"section_title":'), size, F.lit("}]}")),
+        ],
+    }
+    parts, both = read_table(spark, folder, "part"), None
+    for pass_name, given in forms.items():
+        raw = given[-1]
+        for i, form in enumerate(given[:-1]):
+            raw = F.when(kind == i, form).otherwise(raw)
+        rows = parts.select("p_partkey", F.lit(pass_name).alias("pass"), raw.alias("raw"))
+        both = rows if both is None else both.unionByName(rows)
+    return both
+
+
+@query("parse_typed_responses", f"""WITH k AS (SELECT p_partkey, p_name, 's' || p_size AS term, p_size % {TYPED_KINDS} AS kind FROM part)
+SELECT p_partkey, pass, CASE WHEN kind < 2 THEN p_name || ' ' || term END AS entry, CASE WHEN kind >= 2 THEN 'no fitting JSON' END AS reason
+FROM k, (VALUES ('glossary'), ('cheatsheet')) p(pass)""")
+def parse_typed_responses(spark, folder):
+    read = replies.parse_replies(typed_replies(spark, folder))
+
+    def at(*paths):
+        return F.coalesce(*[F.get_json_object("parsed", p) for p in paths])
+
+    name = at("$.glossary[0].feature_id", "$.feature_id")
+    text = at("$.glossary[0].terms[0]", "$.definition.text", "$.definition")
+    entry = F.when(F.col("reason").isNull(), F.concat(name, F.lit(" "), text))
+    return read.select("p_partkey", "pass", entry.alias("entry"), "reason")
+
+
 @query("parse_responses", f"""SELECT p_partkey, CASE WHEN p_size % {REPLY_KINDS} < {REPLY_KINDS - 1} THEN p_name || ',s' || p_size END AS features,
 CASE WHEN p_size % {REPLY_KINDS} = {REPLY_KINDS - 1} THEN 'no fitting JSON' END AS reason FROM part""")
 def parse_responses(spark, folder):

@@ -229,21 +229,22 @@ def bookmark_nodes(spark, folder):
 
 @query("bookmarks_flatten", "WITH RECURSIVE " + NODES_SQL + """,
 tree AS (
-SELECT pdf_id, node_id, 1 AS depth, lpad(CAST(pos AS VARCHAR), 12, '0') AS path, title, page FROM nodes WHERE parent_id IS NULL
+SELECT pdf_id, node_id, 1 AS depth, [CAST(pos AS BIGINT)] AS path, title, page FROM nodes WHERE parent_id IS NULL
 UNION ALL
-SELECT n.pdf_id, n.node_id, t.depth + 1, t.path || '/' || lpad(CAST(n.pos AS VARCHAR), 12, '0'), n.title, n.page
+SELECT n.pdf_id, n.node_id, t.depth + 1, list_append(t.path, CAST(n.pos AS BIGINT)), n.title, n.page
 FROM tree t JOIN nodes n ON n.pdf_id = t.pdf_id AND n.parent_id = t.node_id)
-SELECT pdf_id, path AS pos, CAST(depth AS INTEGER) AS depth, trim(title) AS title, page AS start_page
+SELECT pdf_id, array_to_string(path, '/') AS pos, CAST(depth AS INTEGER) AS depth, trim(title) AS title, page AS start_page
 FROM tree WHERE trim(title) <> '' AND page >= 1""")
 def bookmarks_flatten(spark, folder):
-    return contents.flatten_bookmarks(bookmark_nodes(spark, folder))
+    flat = contents.flatten_bookmarks(bookmark_nodes(spark, folder))
+    return flat.withColumn("pos", F.array_join(F.col("pos").cast("array<string>"), "/"))
 
 
 @query("bookmarks_import", "WITH RECURSIVE " + NODES_SQL + """,
 tree AS (
-SELECT pdf_id, node_id, 1 AS depth, lpad(CAST(pos AS VARCHAR), 12, '0') AS path, title, page FROM nodes WHERE parent_id IS NULL
+SELECT pdf_id, node_id, 1 AS depth, [CAST(pos AS BIGINT)] AS path, title, page FROM nodes WHERE parent_id IS NULL
 UNION ALL
-SELECT n.pdf_id, n.node_id, t.depth + 1, t.path || '/' || lpad(CAST(n.pos AS VARCHAR), 12, '0'), n.title, n.page
+SELECT n.pdf_id, n.node_id, t.depth + 1, list_append(t.path, CAST(n.pos AS BIGINT)), n.title, n.page
 FROM tree t JOIN nodes n ON n.pdf_id = t.pdf_id AND n.parent_id = t.node_id WHERE t.depth < 2),
 books AS (
 SELECT n_regionkey AS pdf_id, CASE n_regionkey WHEN 1 THEN 0 WHEN 2 THEN max(c_custkey) + 5 ELSE count(*) + 10 END AS page_count
@@ -280,7 +281,8 @@ def bookmarks_import(spark, folder):
 
 # ---- assembly -----------------------------------------------------------------------------------
 
-SPANS_SQL = "spans AS (SELECT section_id, pdf_id, page_no AS start_page, page_no + 2 AS end_page FROM page_texts)"
+SPANS_SQL = """spans AS (
+SELECT section_id, pdf_id, page_no AS start_page, page_no + CASE WHEN page_no % 7 = 0 THEN -1 ELSE 2 END AS end_page FROM page_texts)"""
 RANGE_TEXT_SQL = f"""range_text AS (
 SELECT s.section_id, {normalize_sql(trim_sql("string_agg(p.text, chr(10) ORDER BY p.page_no)"))} AS text
 FROM SPANS s JOIN page_texts p ON p.pdf_id = s.pdf_id AND p.page_no BETWEEN s.start_page AND s.end_page
@@ -288,12 +290,14 @@ GROUP BY s.section_id)"""
 
 
 @query("section_text", with_sql(PAGES_SQL, SPANS_SQL, RANGE_TEXT_SQL.replace("SPANS", "spans"))
-       + "SELECT section_id, length(text) AS n_chars, md5(text) AS digest FROM range_text")
+       + """SELECT section_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest
+FROM spans LEFT JOIN range_text USING (section_id)""")
 def section_text(spark, folder):
-    """Every page starts a section of three pages."""
+    """Every page starts a section of three pages; some ranges are the wrong way round and have no text."""
     pages = b.page_texts(spark, folder)
+    step = F.when(F.col("page_no") % 7 == 0, -1).otherwise(2)
     spans = pages.select(
-        "section_id", "pdf_id", F.col("page_no").alias("start_page"), (F.col("page_no") + 2).alias("end_page")
+        "section_id", "pdf_id", F.col("page_no").alias("start_page"), (F.col("page_no") + step).alias("end_page")
     )
     texts = assembly.page_range_text(spans, pages)
     return texts.select(
@@ -311,10 +315,10 @@ FROM (SELECT section_id, pdf_id, page_no, {normalize_sql(trim_sql('text'))} AS t
 heading_lines AS (
 SELECT * FROM page_lines WHERE {trim_sql('line')} <> '' AND len({fields_sql('line')}) <= {HEADING_WORDS}),
 heads AS (
-SELECT page_id * 100000 + line_no AS section_id, pdf_id, page_no AS start_page, page_no AS end_page,
+SELECT page_id || '/' || line_no AS section_id, pdf_id, page_no AS start_page, page_no AS end_page,
        line_no AS sort_order, ' ' || replace(lower(line), ' ', '  ') AS title FROM heading_lines
 UNION ALL
-SELECT page_id * 100000 + 99999, pdf_id, any_value(page_no), any_value(page_no) + 1, 0, 'Page ' || page_id
+SELECT page_id || '/', pdf_id, any_value(page_no), any_value(page_no) + 1, 0, 'Page ' || page_id
 FROM page_lines GROUP BY page_id, pdf_id
 HAVING page_id NOT IN (SELECT page_id FROM heading_lines))"""
 
@@ -349,7 +353,7 @@ def heading_sections(pages):
     )
     short = (F.size(fields(F.col("line"))) <= HEADING_WORDS) & ~is_blank(F.col("line"))
     heads = lines.where(short).select(
-        (F.col("page_id") * 100000 + F.col("line_no")).alias("section_id"),
+        F.concat_ws("/", "page_id", "line_no").alias("section_id"),
         "pdf_id",
         F.col("page_no").alias("start_page"),
         F.col("page_no").alias("end_page"),
@@ -360,7 +364,7 @@ def heading_sections(pages):
         lines.where(short).select("page_id").distinct(), "page_id", "left_anti"
     )
     whole = plain.select(
-        (F.col("page_id") * 100000 + 99999).alias("section_id"),
+        F.concat_ws("/", "page_id", F.lit("")).alias("section_id"),
         "pdf_id",
         F.col("page_no").alias("start_page"),
         (F.col("page_no") + 1).alias("end_page"),

@@ -312,10 +312,9 @@ def table_penalties(spark, folder):
 
 @query("snippet", with_sql(SECTIONS_SQL, CITED_SQL)
        + f"SELECT s.section_id, c.term, {snippet_sql('s.plain_text', 'c.term')} AS snippet "
-       "FROM sections s JOIN (SELECT pdf_id, feature_id, term FROM glossary) c "
-       "ON c.pdf_id = s.pdf_id AND c.feature_id = 'en'")
+       "FROM sections s JOIN (SELECT DISTINCT pdf_id, term FROM glossary) c ON c.pdf_id = s.pdf_id")
 def snippets(spark, folder):
-    terms = b.glossary(b.cited_sections(spark, folder)).where("feature_id = 'en'").select("pdf_id", "term")
+    terms = b.glossary(b.cited_sections(spark, folder)).select("pdf_id", "term").distinct()
     return b.sections(spark, folder).join(terms, "pdf_id").select(
         "section_id", "term", snippet(F.col("plain_text"), F.col("term")).alias("snippet")
     )
@@ -444,17 +443,16 @@ def game_glossary(spark, folder, cited_rows):
     )
 
 
-TRIM_KEYWORD = """regexp_replace(w, '^[.,;:?"''()\\[\\]]+|[.,;:?"''()\\[\\]]+\\z', '', 'g')"""
-
-
-def _keywords_sql(expr: str) -> str:
-    return f"list_filter(list_transform({fields_sql(expr)}, lambda w: {TRIM_KEYWORD}), lambda w: strlen(w) >= 4)"
+def _keywords_sql(expr: str, question: str = "") -> str:
+    marks = f"[.,;:{question}\"''()\\[\\]]+"
+    bare = f"regexp_replace(w, '^{marks}|{marks}\\z', '', 'g')"
+    return f"list_filter(list_transform({fields_sql(expr)}, lambda w: {bare}), lambda w: strlen(w) >= 4)"
 
 
 # Parts in order: name, synonyms, description words, question words, own terms, two fixed words.
 FEATURE_QUERY_SQL = f"""feature_parts AS (
 SELECT c.feature_id, list_concat([c.name], c.synonyms, {_keywords_sql('c.description')},
-       coalesce(flatten(list_transform(c.questions, lambda x: {_keywords_sql('x')})), [])) AS parts
+       coalesce(flatten(list_transform(c.questions, lambda x: {_keywords_sql('x', '?')})), [])) AS parts
 FROM catalogue c),
 own_terms AS (SELECT pdf_id, feature_id, list_sort(list(DISTINCT term)) AS terms FROM glossary GROUP BY ALL),
 feature_words AS (

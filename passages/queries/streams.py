@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passages.functions.status import is_active, progress_percent
 from passages.operators.library import game_states
-from passages.queries.bindings import SECTIONS_SQL, count_words_sql, with_sql
+from passages.queries.bindings import SECTIONS_SQL, count_words_sql, terms_sql, with_sql
 from passages.queries.books import COMMANDS_SQL, STATES_SQL, game_commands
 from passages.queries.registry import query
 from passages.queries.search import weights_sql
@@ -15,7 +15,8 @@ from passages.streaming import jobs
 
 
 @query("stream_index", with_sql(SECTIONS_SQL, weights_sql("sections", "section_id", "title || chr(10) || chr(10) || plain_text", "w"))
-       + f"""SELECT s.section_id, s.pdf_id, CAST(len({count_words_sql('s.plain_text')}) AS INTEGER) AS n_words, coalesce(c.n, 0) AS n_cells
+       + f"""SELECT s.section_id, s.pdf_id, CAST(len({count_words_sql('s.plain_text')}) AS INTEGER) AS n_words,
+CAST(len({terms_sql('s.title')}) + len({terms_sql('s.plain_text')}) AS INTEGER) AS n_terms, coalesce(c.n, 0) AS n_cells
 FROM sections s LEFT JOIN (SELECT section_id, count(*) AS n FROM w GROUP BY ALL) c USING (section_id)""")
 def stream_index(spark, folder):
     texts = jobs.read_changes(spark, folder, "documents").select(
@@ -25,8 +26,8 @@ def stream_index(spark, folder):
     )
     log = jobs.index_sections(texts, jobs.new_log(spark, "index"))
     cells = F.coalesce(F.size("vector"), F.lit(0))
-    return jobs.current(log, ["section_id"]).select(
-        "section_id", "pdf_id", "n_words", F.greatest(cells, F.lit(0)).cast("bigint").alias("n_cells")
+    return jobs.current_index(log).select(
+        "section_id", "pdf_id", "n_words", "n_terms", F.greatest(cells, F.lit(0)).cast("bigint").alias("n_cells")
     )
 
 

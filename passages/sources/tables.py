@@ -23,14 +23,22 @@ def stage(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """Write a step's result to the shared folder and go on from the written table.
 
     It cuts the lineage, survives lost executors, and gives the next step real sizes to plan with.
-    With ``key``, a result written in few pieces is spread over the cores again.
+    The table is removed when the driver ends. With ``key``, a result written in few pieces is spread over the cores again.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     return spread(written, key) if key else written
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system that holds ``path`` remove it when the driver's session with it ends."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Concept catalogue kept as one JSON document per feature."""
     return spark.read.schema(CATALOGUE_SCHEMA).json(path)

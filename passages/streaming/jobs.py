@@ -12,9 +12,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passages.functions.text import count_words
-from passages.operators.embedding import bucket_weights
+from passages.operators.embedding import vector_cells
+from passages.operators.fulltext import with_terms
 from passages.operators.library import game_marks
 from passages.operators.ordering import latest_by
 from passages.session import shared_dir
@@ -34,9 +36,12 @@ def read_changes(spark, folder: str, table: str) -> DataFrame:
 def run_to_log(changes: DataFrame, log: str, mode: str = "append", prepare=None) -> DataFrame:
     """Run a stream over what is there now and return its change log, with ``batch_id``."""
     spark = changes.sparkSession
+    shape = None
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        nonlocal shape
         rows = prepare(batch) if prepare else batch
+        shape = rows.schema
         rows.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
 
     stream = (
@@ -47,7 +52,15 @@ def run_to_log(changes: DataFrame, log: str, mode: str = "append", prepare=None)
         .start()
     )
     stream.awaitTermination()
-    return spark.read.parquet(log)
+    if shape is None:  # nothing came in, or only what an earlier run had read
+        shape = prepare(_empty(changes)).schema if prepare else changes.schema
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{log}/batch_id=-1")
+    logged = T.StructType([*shape.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(logged).parquet(log)
+
+
+def _empty(changes: DataFrame) -> DataFrame:
+    return changes.sparkSession.createDataFrame([], changes.schema)
 
 
 def new_log(spark, name: str) -> str:
@@ -65,25 +78,27 @@ def compact(log: DataFrame, keys: list[str], path: str) -> None:
 
 
 def index_sections(texts: DataFrame, log: str) -> DataFrame:
-    """Index arriving section texts (section_id, pdf_id, title, plain_text, seq); the last text wins.
+    """Index arriving section texts (section_id, pdf_id, title, plain_text, seq); the last by seq wins.
 
-    Each batch is reduced to the last text per section and written with its words and vector cells.
+    Each batch is reduced to the last text per section and written with its terms, word count and
+    vector cells. What of it holds now, whatever batch it came in, is read with ``current_index``.
     """
 
     def prepare(batch: DataFrame) -> DataFrame:
         last = latest_by(batch, ["section_id"], F.col("seq"))
-        content = last.select("section_id", F.concat_ws("\n\n", "title", "plain_text").alias("content"))
-        cells = (
-            bucket_weights(content, "section_id", "content")
-            .groupBy("section_id")
-            .agg(F.collect_list(F.struct("bucket", "weight")).alias("vector"))
-        )
+        content = F.concat_ws("\n\n", "title", "plain_text")
+        last = last.withColumn("vector", vector_cells(content))
         words = last.withColumn("n_words", F.size(count_words(F.col("plain_text"))))
-        return words.join(cells, "section_id", "left")
+        return with_terms(words)
 
     return run_to_log(texts, log, prepare=prepare)
 
 
+def current_index(log: DataFrame) -> DataFrame:
+    """Latest text of each section: the highest seq, the later batch among equals. Search can read its terms."""
+    return current(log, ["section_id"], F.struct("seq", "batch_id"))
+
+
 def progress_log(progress: DataFrame, log: str) -> DataFrame:
     """Latest progress (pdf_id, phase, current, total) per book, by time and event."""
     state = F.struct("event_id", "phase", "current", "total")
