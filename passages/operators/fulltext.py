@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passages.functions.ranking import table_penalty
 from passages.functions.text import fields, index_terms
+from passages.operators.embedding import vector_cells
 from passages.operators.ordering import top_rows
 from passages.session import BROADCAST_ROWS, broadcast_if_small
+from passages.sources.tables import stage
 
 # Fixed values of the ranking function.
 K1 = 1.2
@@ -48,76 +51,85 @@ def query_phrases(queries: DataFrame, text: str = "query_text") -> DataFrame:
     )
 
 
-def _openings(terms: DataFrame, n_words: int, longest: int) -> DataFrame:
-    """(…, run, end): every run of n_words terms and each length at which it may be cut.
+class TextIndex(NamedTuple):
+    """Inverted index of a collection of sections, as written tables.
 
-    A run never reaches from the title into the body.
+    postings: term, section_id, pdf_id, n_terms, places (positions in the section; the body starts
+    one further on than the title ends, so that no phrase reaches across)
+    vocabulary: term, n_with (sections)
+    cells: section_id, cells (bucket, weight of the section's vector), penalty (of tabular text)
+    n_sections, mean_terms: size of the collection
     """
 
-    def runs(column: str) -> Column:
-        if n_words == 1:
-            return F.col(column)
-        at = F.sequence(F.lit(1), F.size(column) - n_words + 1)
-        joined = F.transform(at, lambda i: F.array_join(F.slice(column, i, n_words), " "))
-        return F.when(F.size(column) >= n_words, joined).otherwise(F.array().cast("array<string>"))
+    postings: DataFrame
+    vocabulary: DataFrame
+    cells: DataFrame
+    n_sections: int
+    mean_terms: float
 
-    run = terms.select(
-        *_SECTION, F.explode(F.concat(runs("title_terms"), runs("body_terms"))).alias("run")
-    )
-    ends = F.sequence(F.lit(1), F.least(F.length("run"), F.lit(longest)))
-    return run.select(*_SECTION, "run", F.explode(ends).alias("end"))
 
+def build_text_index(sections: DataFrame) -> TextIndex:
+    """Write the index of (section_id, pdf_id, title, plain_text); later searches read it only.
 
-def phrase_hits(terms: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(section_id, pdf_id, n_terms, phrase, f): how often each phrase begins a place in a section.
+    Postings are spread by term and section, so a term of very many sections is no hot partition.
+    """
+    terms = stage(section_terms(sections), "terms", "section_id")
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean")).first()
+    gap = F.array(F.lit(None).cast("string"))
+    each = terms.select(*_SECTION, F.posexplode(F.concat("title_terms", gap, "body_terms")).alias("place", "term"))
+    postings = (
+        each.where("term is not null").groupBy("term", *_SECTION).agg(F.collect_list("place").alias("places"))
+    )
+    postings = stage(postings, "postings")
+    content = F.concat_ws("\n", "title", "plain_text")
+    cells = sections.select(
+        "section_id", vector_cells(content).alias("cells"), table_penalty(F.col("plain_text")).alias("penalty")
+    )
+    vocabulary = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_with")), "vocabulary")
+    return TextIndex(postings, vocabulary, stage(cells, "cells"), size["n"], size["mean"] or 0.0)
 
-    A prefix match is turned into an equality: every term run offers all its beginnings, and these
-    meet the asked phrases in a hash join. The phrases are counted first. As long as they are few
-    they are broadcast, so terms are matched where they lie; past the bound the beginnings are
-    counted per section before they are shuffled to the join.
 
-    Sections are placed by id beforehand. That moves the terms once, evenly however hot a word or a
-    book is, and all counting and scoring per section then happens in place.
+def resolve_phrases(index: TextIndex, phrases: DataFrame) -> DataFrame:
+    """(phrase, n_words, nth, term): the terms that may stand at each place of a phrase.
+
+    All but the last are themselves; the last stands for every term that begins with it. A prefix is
+    found by equality: the distinct terms of the vocabulary offer all their beginnings.
     """
-    terms = terms.repartition("section_id")
     wanted = phrases.select("phrase", "n_words").distinct()
-    asked = wanted.groupBy("n_words").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.length("phrase")).alias("longest")
+    pieces = wanted.select("phrase", "n_words", F.posexplode(F.split("phrase", " ")).alias("nth", "piece"))
+    last = F.col("nth") == F.col("n_words") - 1
+    longest = pieces.agg(F.max(F.length("piece"))).scalar()
+    ends = F.sequence(F.lit(1), F.least(F.length("term"), F.coalesce(longest, F.lit(1))))
+    openings = index.vocabulary.select("term", F.explode(ends).alias("end")).select(
+        "term", F.left("term", F.col("end")).alias("piece")
     )
-    shapes = asked.collect()  # one row per phrase length in words
-    small = sum(s["n"] for s in shapes) <= BROADCAST_ROWS
-    if not shapes:
-        return terms.select(*_SECTION, F.lit("").alias("phrase"), F.lit(0).alias("f")).where("false")
-    count = F.count(F.lit(1)).cast("int").alias("f")
-    parts = []
-    for shape in shapes:
-        openings = _openings(terms, shape["n_words"], shape["longest"])
-        own = wanted.where(F.col("n_words") == shape["n_words"]).select("phrase")
-        if small:
-            parts.append(_met(openings, own))
-        else:
-            counted = openings.select(*_SECTION, F.left("run", F.col("end")).alias("phrase"))
-            parts.append(counted.groupBy(*_SECTION, "phrase").agg(count).join(own, "phrase"))
-    met = reduce(DataFrame.unionAll, parts)
-    return met.groupBy(*_SECTION, "phrase").agg(count) if small else met.select(*_SECTION, "phrase", "f")
+    ended = pieces.where(last)
+    begun = openings.join(broadcast_if_small(ended.select("piece").distinct()), "piece")
+    columns = ["phrase", "n_words", "nth", "term"]
+    whole = pieces.where(~last).withColumnRenamed("piece", "term").select(*columns)
+    return ended.join(begun, "piece").select(*columns).unionByName(whole)
 
 
-def _met(openings: DataFrame, own: DataFrame) -> DataFrame:
-    """Beginnings that are an asked phrase.
+def phrase_hits(index: TextIndex, phrases: DataFrame) -> DataFrame:
+    """(section_id, pdf_id, n_terms, phrase, f): how often each phrase begins a place in a section.
 
-    The join runs on a 64-bit hash, which probes much faster than text; the phrase itself is then
-    compared, so two texts of one hash do no harm.
+    Only the postings of the asked terms are read on. They move once, to their section, evenly
+    however hot a word or a book is; all counting and scoring per section then happens in place.
     """
-    keyed = own.select(
-        "phrase", F.xxhash64("phrase").alias("_hash"), F.length("phrase").alias("_length")
-    )
-    same = (
-        F.startswith("run", "phrase")
-        & (F.col("_length") >= F.col("end"))
-        & (F.col("_length") <= F.col("end"))
+    resolved = stage(resolve_phrases(index, phrases), "resolved")
+    met = index.postings.join(broadcast_if_small(resolved, BROADCAST_ROWS), "term")
+    columns = [*_SECTION, "phrase", "n_words", "nth"]
+    single = met.where("n_words = 1").select(*columns, F.lit(0).alias("start"), F.size("places").alias("f"))
+    several = met.where("n_words > 1").select(*columns, F.explode("places").alias("place"))
+    several = several.select(*columns, (F.col("place") - F.col("nth")).alias("start"), F.lit(1).alias("f"))
+    placed = single.unionByName(several).repartition("section_id")
+    # A phrase of several words stands where all of them follow each other.
+    runs = placed.groupBy(*_SECTION, "phrase", "n_words", "start").agg(
+        F.count(F.lit(1)).alias("words"), F.sum("f").alias("f")
     )
-    hashed = openings.withColumn("_hash", F.xxhash64(F.left("run", F.col("end"))))
-    return hashed.join(F.broadcast(keyed), "_hash").where(same).select(*_SECTION, "phrase")
+    whole = runs.where((F.col("n_words") == 1) | (F.col("words") == F.col("n_words")))
+    count = F.sum(F.when(F.col("n_words") == 1, F.col("f")).otherwise(1)).cast("int")
+    return whole.groupBy(*_SECTION, "phrase").agg(count.alias("f"))
 
 
 def bm25_part(f: Column, length: Column, mean_length: Column) -> Column:
@@ -130,7 +142,7 @@ def inverse_frequency(n_rows: Column, n_with: Column) -> Column:
 
 
 def score_sections(
-    terms: DataFrame,
+    index: TextIndex,
     phrases: DataFrame,
     asked_in: DataFrame | None = None,
     scope_books: DataFrame | None = None,
@@ -141,10 +153,9 @@ def score_sections(
     pdf_id) names the books of a scope; without it a scope is one book. Counts over the corpus
     cover all sections even so. A word given twice counts twice.
     """
-    hits = phrase_hits(terms, phrases)
+    hits = stage(phrase_hits(index, phrases), "hits")
     spread = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_with"))
-    corpus = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
-    n_rows, mean_length = corpus.select("n").scalar(), corpus.select("mean").scalar()
+    n_rows, mean_length = F.lit(index.n_sections), F.lit(float(index.mean_terms))
 
     asked = phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
     on = ["phrase"]
@@ -159,8 +170,7 @@ def score_sections(
     weights = asked.join(spread, "phrase").select(
         "query_id", *on, (F.col("times") * inverse_frequency(n_rows, F.col("n_with"))).alias("weight")
     )
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        weights = F.broadcast(weights)
+    weights = broadcast_if_small(weights, BROADCAST_ROWS)
     part = F.col("weight") * bm25_part(F.col("f"), F.col("n_terms"), mean_length)
     return (
         placed.join(weights, on)
@@ -170,12 +180,12 @@ def score_sections(
 
 
 def best_sections(
-    terms: DataFrame,
+    index: TextIndex,
     phrases: DataFrame,
     asked_in: DataFrame | None = None,
     scope_books: DataFrame | None = None,
     limit: int = CANDIDATES,
 ) -> DataFrame:
     """Best sections of each query with ``fts_pos`` counted from 1; ties go to the lower id."""
-    scored = score_sections(terms, phrases, asked_in, scope_books)
+    scored = score_sections(index, phrases, asked_in, scope_books)
     return top_rows(scored, ["query_id"], [F.col("fts_rank"), F.col("section_id")], limit, "fts_pos")

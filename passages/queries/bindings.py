@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.functions.text import WS, accent_table
+from passages.operators.fulltext import TextIndex, build_text_index
 from passages.operators.ordering import dense_position, int_chunk
 from passages.session import broadcast_if_small
 from passages.sources.tables import CATALOGUE_SCHEMA, read_table, spread, stage, usable_features
@@ -48,6 +49,17 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     return spread(rows, "section_id")
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, folder: str) -> TextIndex:
+    """Index of the sections, built by the first search of a session and read by the later ones."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _indexes:
+        _indexes[key] = build_text_index(sections(spark, folder))
+    return _indexes[key]
+
+
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(pdf_id, page_no, section_id, text): documents as the numbered pages of their book."""
     numbered = dense_position(

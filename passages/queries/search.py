@@ -11,7 +11,7 @@ from passages.functions.text import embed_words, snippet
 from passages.functions.vectors import cosine, fnv1a
 from passages.operators import embedding
 from passages.operators.concepts import definition_queries, expand_queries, matched_features
-from passages.operators.fulltext import phrase_hits, query_phrases, section_terms
+from passages.operators.fulltext import phrase_hits, query_phrases
 from passages.plans import search
 from passages.queries import bindings as b
 from passages.queries.bindings import (
@@ -157,14 +157,15 @@ def fts_terms(spark, folder):
 @query("fts_prefix_match", with_sql(SECTIONS_SQL, QUESTIONS_SQL, TERMS_SQL, phrases_sql("questions", "query_text"), HITS_SQL)
        + "SELECT section_id, phrase, f FROM hits")
 def fts_prefix_match(spark, folder):
-    terms = section_terms(b.sections(spark, folder))
-    return phrase_hits(terms, query_phrases(b.questions(spark, folder))).select("section_id", "phrase", "f")
+    return phrase_hits(b.text_index(spark, folder), query_phrases(b.questions(spark, folder))).select("section_id", "phrase", "f")
 
 
 @query("bm25_rank", with_sql(SECTIONS_SQL, QUESTIONS_SQL, TERMS_SQL, phrases_sql("questions", "query_text"), HITS_SQL, RANK_SQL.format(scope=""))
        + "SELECT query_id, section_id, pdf_id, round(fts_rank, 6) AS fts_rank, CAST(fts_pos AS INTEGER) AS fts_pos FROM candidates")
 def bm25_rank(spark, folder):
-    ranked = search.candidates_only(b.sections(spark, folder), b.questions(spark, folder))
+    ranked = search.candidates_only(
+        b.sections(spark, folder), b.questions(spark, folder), index=b.text_index(spark, folder)
+    )
     return ranked.withColumn("fts_rank", F.round("fts_rank", 6))
 
 
@@ -399,7 +400,7 @@ HYBRID_SQL = with_sql(
 )
 
 
-def hybrid_hits(spark, folder, limit=search.RESULTS):
+def hybrid_hits(spark, folder, limit=search.RESULTS, **hooks):
     rows = b.cited_sections(spark, folder)
     return search.hybrid_search(
         b.sections(spark, folder),
@@ -409,6 +410,8 @@ def hybrid_hits(spark, folder, limit=search.RESULTS):
         b.glossary(rows),
         b.citations(rows),
         limit=limit,
+        index=b.text_index(spark, folder),
+        **hooks,
     )
 
 
@@ -513,7 +516,8 @@ def pdf_hits(spark, folder):
     )
     books = stage(b.attached(spark, folder).select("pdf_id", "pdf_title"), "books")
     return search.search_books(
-        b.sections(spark, folder), asked, books, synonym_rows(b.catalogue(spark)), b.glossary(rows), b.citations(rows)
+        b.sections(spark, folder), asked, books, synonym_rows(b.catalogue(spark)), b.glossary(rows), b.citations(rows),
+        index=b.text_index(spark, folder),
     )
 
 

@@ -50,7 +50,7 @@ def test_bm25_like_sqlite(spark, sections, query, bound, monkeypatch):
     phrases = fulltext.query_phrases(ask(spark, query))
     got = {
         r["section_id"]: r["fts_rank"]
-        for r in fulltext.score_sections(fulltext.section_terms(sections), phrases).collect()
+        for r in fulltext.score_sections(fulltext.build_text_index(sections), phrases).collect()
     }
     wanted = sqlite_ranks(query)
     assert got.keys() == wanted.keys()
@@ -66,7 +66,7 @@ def test_bm25_like_sqlite_on_documents(spark):
     local = [tuple(r) for r in rows.collect()]
     query = "that on bles 2 ére"
     phrases = fulltext.query_phrases(ask(spark, query))
-    terms = fulltext.section_terms(spark.createDataFrame(local, SCHEMA))
+    terms = fulltext.build_text_index(spark.createDataFrame(local, SCHEMA))
     got = {r["section_id"]: r["fts_rank"] for r in fulltext.score_sections(terms, phrases).collect()}
     wanted = sqlite_ranks(query, local)
     assert got.keys() == wanted.keys()
