@@ -1,12 +1,14 @@
-"""Prompts for a book's glossary, features and cheatsheet, and what a rebuild has to redo."""
+"""What a model is told about a book, the passes that ask it, and what a rebuild has to redo."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passages.functions.text import trim_ws, truncate_words
-from passages.operators.reports import ordered_text
+from passages.operators.replies import generate, parse_replies
 from passages.operators.vocabulary import (
     TOP_WORDS, feature_candidates, frequent_words, section_samples, unique_words, word_counts,
 )
@@ -16,16 +18,6 @@ from passages.sources.tables import stage
 EXCERPT_WORDS = 800
 
 
-def catalogue_block(features: DataFrame) -> DataFrame:
-    """One row with the catalogue as text; the catalogue is a small configuration table."""
-    line = F.format_string(
-        "- %s (%s): %s; synonyms: %s\n",
-        "feature_id", "name", F.coalesce("description", F.lit("")), F.array_join("synonyms", ", "),
-    )
-    rows = F.collect_list(F.struct("feature_id", line.alias("line")))
-    return features.agg(ordered_text(rows, "line", "").alias("catalogue"))
-
-
 def word_tables(counts: DataFrame, synonyms: DataFrame, n: int = TOP_WORDS) -> DataFrame:
     """(pdf_id, table): each book's frequency table as tab-separated text, commonest words first."""
     words = frequent_words(counts, synonyms, n)
@@ -38,115 +30,117 @@ def word_tables(counts: DataFrame, synonyms: DataFrame, n: int = TOP_WORDS) -> D
     )
 
 
-def term_prompts(
+def book_terms(glossary: DataFrame) -> DataFrame:
+    """(pdf_id, own): the book's terms as a list of (feature_id, terms), bounded by the catalogue."""
+    entries = glossary.groupBy("pdf_id", "feature_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return entries.groupBy("pdf_id").agg(
+        F.array_sort(F.collect_list(F.struct("feature_id", "terms"))).alias("own")
+    )
+
+
+def term_facts(
     sections: DataFrame, features: DataFrame, synonyms: DataFrame, glossary: DataFrame
 ) -> DataFrame:
-    """(pdf_id, pass, prompt) for the glossary and the features pass of every book.
+    """What a model is told about each book to find its terms and features, as columns.
 
-    Word counts are made once, written, and serve both passes.
+    (pdf_id, unique_tokens, table, catalogue, own, hints): number of distinct words, word table,
+    the catalogue's entries, the book's terms so far, and features whose words occur. How they are
+    put into words is up to the caller: see ``ask``. Word counts are made once and written.
     """
     counts = stage(word_counts(section_samples(sections)), "word_counts")
     base = word_tables(counts, synonyms).join(unique_words(counts), "pdf_id")
-    block = catalogue_block(features).scalar()
-    head = F.concat(
-        F.format_string("Distinct words in the book: %d. The commonest %d follow.\n\n", "unique_tokens", F.lit(TOP_WORDS)),
-        F.lit("Canonical features:\n"), block,
-    )
-    words = F.concat(F.lit("\nWord frequencies:\n"), "table")
-    first = base.select(
-        "pdf_id",
-        F.lit("glossary").alias("pass"),
-        F.concat(
-            F.lit("Match the book's own terms to the canonical features, using its word frequencies.\n"),
-            head, words, F.lit("\nGive each term in the capitals the book would use.\n"),
-        ).alias("prompt"),
-    )
-    own = glossary.groupBy("pdf_id", "feature_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    own_line = F.format_string("- %s: %s\n", "feature_id", F.array_join("terms", ", "))
-    own_block = own.groupBy("pdf_id").agg(
-        ordered_text(F.collect_list(F.struct("feature_id", own_line.alias("line"))), "line", "").alias("own")
-    )
+    # The catalogue is a small configuration table.
+    entries = features.select(F.struct("feature_id", "name", "description", "synonyms").alias("entry"))
+    catalogue = entries.agg(F.array_sort(F.collect_list("entry"))).scalar()
     hints = feature_candidates(counts, synonyms, glossary).groupBy("pdf_id").agg(
-        F.array_join(F.array_sort(F.collect_set("feature_id")), "\n- ").alias("hints")
+        F.array_sort(F.collect_set("feature_id")).alias("hints")
     )
-    second = (
-        base.join(own_block, "pdf_id", "left")
+    return (
+        base.withColumn("catalogue", catalogue)
+        .join(book_terms(glossary), "pdf_id", "left")
         .join(hints, "pdf_id", "left")
-        .select(
-            "pdf_id",
-            F.lit("features").alias("pass"),
-            F.concat(
-                F.lit("Name the canonical features that the book really uses.\n"), head,
-                F.lit("\nGlossary of the first pass:\n"), F.coalesce("own", F.lit("")),
-                F.coalesce(F.concat(F.lit("\nCandidates by word match (hints only):\n- "), "hints", F.lit("\n")), F.lit("")),
-                words, F.lit("\nGive only feature ids with clear evidence.\n"),
-            ).alias("prompt"),
-        )
-    )
-    return first.unionByName(second)
+        .select("pdf_id", "unique_tokens", "table", "catalogue", "own", "hints")
+    )
 
 
-def cheatsheet_prompts(
+def cheatsheet_facts(
     hits: DataFrame, sections: DataFrame, detected: DataFrame, glossary: DataFrame, features: DataFrame
 ) -> DataFrame:
-    """(pdf_id, feature_id, prompt) from the best hits of each feature's search.
+    """What a model is told to write a feature's entry, as columns.
 
-    ``hits`` is (pdf_id, feature_id, rank, section_id, section_title, start_page, end_page, snippet).
+    (pdf_id, feature_id, name, description, synonyms, questions, others, terms, excerpts): the
+    catalogue entry, the book's other features, its own terms, and the best hits of the feature's
+    search with the beginning of their texts. ``hits`` is (pdf_id, feature_id, rank, section_id,
+    section_title, start_page, end_page, snippet).
     """
     best = hits.where(F.col("rank") <= TOOL_RESULTS)
     bodies = sections.select("section_id", truncate_words(F.col("plain_text"), EXCERPT_WORDS).alias("_body"))
     # Hits are few; sections are matched to them where they are read.
-    excerpt = F.format_string(
-        "\n## [%d] %s [section_id=%s] (pages %d-%d)\n%s\n", "rank", "section_title",
-        F.col("section_id").cast("string"), "start_page", "end_page",
-        F.coalesce(F.nullif("_body", F.lit("")), F.col("snippet")),
-    )
+    text = F.coalesce(F.nullif("_body", F.lit("")), F.col("snippet")).alias("text")
+    excerpt = F.struct("rank", "section_id", "section_title", "start_page", "end_page", text)
     found = (
         best.join(bodies, "section_id", "left")
-        .select("pdf_id", "feature_id", "rank", excerpt.alias("line"))
         .groupBy("pdf_id", "feature_id")
-        .agg(ordered_text(F.collect_list(F.struct("rank", "line")), "line", "").alias("excerpts"))
+        .agg(F.array_sort(F.collect_list(excerpt)).alias("excerpts"))
     )
     described = features.select("feature_id", "name", trim_ws(F.col("description")).alias("description"))
-    known = detected.join(described, "feature_id")
-    line = F.format_string("- %s (%s): %s\n", "feature_id", "name", "description")
-    rows = F.collect_list(F.struct("feature_id", line.alias("line")))
-    per_book = known.groupBy("pdf_id").agg(F.array_sort(rows).alias("others"))
-    own = glossary.groupBy("pdf_id", "feature_id").agg(
-        F.concat(F.lit("- "), F.array_join(F.array_sort(F.collect_set("term")), ", "), F.lit("\n")).alias("terms")
-    )
-    target = features.select("feature_id", "name", "description", "questions", "synonyms")
-    asked = F.when(
-        F.size("questions") > 0,
-        F.concat(
-            F.lit("\nQuestions to answer where the excerpts allow:\n"),
-            F.array_join(F.transform("questions", lambda q: F.concat(F.lit("- "), q, F.lit("\n"))), ""),
-        ),
-    ).otherwise(F.lit(""))
-    listed = F.array_join(
-        F.transform(F.filter("others", lambda o: o["feature_id"] != F.col("feature_id")), lambda o: o["line"]), ""
+    other = F.struct("feature_id", "name", "description")
+    per_book = detected.join(described, "feature_id").groupBy("pdf_id").agg(
+        F.array_sort(F.collect_set(other)).alias("others")
     )
-    cross = F.when(
-        F.coalesce(listed, F.lit("")) != "",
-        F.concat(F.lit("\nOther features found in this game's books:\n"), listed),
-    ).otherwise(F.lit(""))
-    prompt = F.concat(
-        F.format_string("Write the cheatsheet entry for feature_id=%s.\nCatalogue entry:\n", "feature_id"),
-        F.format_string(
-            "- %s (%s): %s; synonyms: %s\n", "feature_id", "name", F.coalesce("description", F.lit("")),
-            F.array_join("synonyms", ", "),
-        ),
-        asked, cross, F.lit("\nTerms of this book:\n"), F.coalesce("terms", F.lit("")),
-        F.lit("\nBest matching sections, best first:\n"), "excerpts",
-    )
+    own = glossary.groupBy("pdf_id", "feature_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    target = features.select("feature_id", "name", "description", "synonyms", "questions")
     return (
         found.join(target, "feature_id")
         .join(per_book, "pdf_id", "left")
         .join(own, ["pdf_id", "feature_id"], "left")
-        .select("pdf_id", "feature_id", prompt.alias("prompt"))
+        .withColumn("others", F.filter("others", lambda o: o["feature_id"] != F.col("feature_id")))
+        .select("pdf_id", "feature_id", "name", "description", "synonyms", "questions", "others", "terms", "excerpts")
     )
 
 
+def ask(facts: DataFrame, wording: Column, keys: list[str], reply: Callable[[str], str], kind: str) -> DataFrame:
+    """(keys…, parsed, reason): one pass over a table of facts.
+
+    ``wording`` makes the prompt of the facts' columns, ``reply`` is the caller's model. The read
+    replies are written, so a later pass, or a lost executor, never asks again.
+    """
+    prompts = facts.select(*keys, wording.alias("prompt"))
+    raw = generate(prompts, keys, reply).withColumn("pass", F.lit(kind))
+    return stage(parse_replies(raw).select(*keys, "parsed", "reason"), f"replies-{kind}")
+
+
+def learn_terms(
+    facts: DataFrame, stored: DataFrame, features: DataFrame, wording: Column, reply: Callable[[str], str]
+) -> DataFrame:
+    """(pdf_id, feature_id, term) after a glossary pass over every book.
+
+    A book whose reply fits gets the terms of the reply that name catalogue features; a book whose
+    call failed, or whose reply does not fit, keeps what it had.
+    """
+    read = ask(facts, wording, ["pdf_id"], reply, "glossary")
+    entries = F.from_json(F.get_json_object("parsed", "$.glossary"), "array<struct<feature_id:string,terms:array<string>>>")
+    said = read.where("reason is null").select("pdf_id", F.inline(entries))
+    terms = said.select("pdf_id", trim_ws(F.col("feature_id")).alias("feature_id"), F.explode("terms").alias("term"))
+    fresh = terms.withColumn("term", trim_ws(F.col("term"))).where("term <> ''")
+    known = fresh.join(features.select("feature_id"), "feature_id", "left_semi").distinct()
+    kept = stored.join(read.where("reason is null").select("pdf_id"), "pdf_id", "left_anti")
+    return stage(kept.select("pdf_id", "feature_id", "term").unionByName(known.select("pdf_id", "feature_id", "term")), "glossary")
+
+
+def learn_features(
+    facts: DataFrame, stored: DataFrame, features: DataFrame, wording: Column, reply: Callable[[str], str]
+) -> DataFrame:
+    """(pdf_id, feature_id) after a features pass; as with terms, a failed book keeps what it had."""
+    read = ask(facts, wording, ["pdf_id"], reply, "features")
+    ids = F.from_json(F.get_json_object("parsed", "$.features"), "array<string>")
+    said = read.where("reason is null").select("pdf_id", F.explode(ids).alias("feature_id"))
+    named = said.withColumn("feature_id", trim_ws(F.col("feature_id")))
+    known = named.join(features.select("feature_id"), "feature_id", "left_semi").distinct()
+    kept = stored.join(read.where("reason is null").select("pdf_id"), "pdf_id", "left_anti")
+    return stage(kept.select("pdf_id", "feature_id").unionByName(known.select("pdf_id", "feature_id")), "features")
+
+
 def rebuild_plan(
     requests: DataFrame, books: DataFrame, detected: DataFrame, cheatsheet: DataFrame
 ) -> DataFrame:
