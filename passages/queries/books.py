@@ -60,14 +60,19 @@ def games_filtered(spark, folder):
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
-@query("game_pdf_list", with_sql(ATTACHED) + """SELECT a.game_id, a.pdf_id, a.sort_order, s.s_name AS title, coalesce(c.n, 0) AS section_count
+@query("game_pdf_list", with_sql(ATTACHED) + """SELECT a.game_id, a.pdf_id, a.sort_order, s.s_name AS title, coalesce(c.n, 0) AS section_count,
+CASE WHEN a.pdf_id IN (SELECT p_partkey FROM part WHERE p_size > 10) THEN 'ok' ELSE 'missing' END AS path_status
 FROM attached a JOIN supplier s ON s.s_suppkey = a.pdf_id
 LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) c ON c.l_suppkey = a.pdf_id""")
 def game_pdf_list(spark, folder):
     lines = read_table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("pdf_id"))
     counted = library.count_by(lines, "pdf_id", "section_count")
-    rows = library.game_books(attached(spark, folder), books(spark, folder), counted)
-    return rows.select("game_id", "pdf_id", "sort_order", "title", "section_count").orderBy("game_id", "sort_order")
+    path = lambda key: F.format_string("/books/%d.pdf", key)
+    files = read_table(spark, folder, "part").where("p_size > 10").select(path("p_partkey").alias("path"))
+    filed = library.path_status(books(spark, folder).withColumn("file_path", path("pdf_id")), files)
+    rows = library.game_books(attached(spark, folder), filed, counted)
+    columns = ["game_id", "pdf_id", "sort_order", "title", "section_count", "path_status"]
+    return rows.select(*columns).orderBy("game_id", "sort_order")
 
 
 @query("library_summary", with_sql(ATTACHED) + """SELECT s_suppkey AS pdf_id, s_name AS title, coalesce(c.n, 0) AS section_count,
@@ -226,12 +231,35 @@ def section_upsert(spark, folder):
     return library.latest_texts(stored, arrived)
 
 
-@query("path_status")
+FILES_SQL = """wanted AS (SELECT o_orderkey AS pdf_id, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE '/books/' || o_custkey || '.pdf' END AS file_path FROM orders),
+files AS (SELECT DISTINCT '/books/' || c_custkey || '.pdf' AS path FROM customer WHERE c_acctbal > 0)"""
+
+
+@query("path_status", with_sql(FILES_SQL) + """SELECT pdf_id, file_path, CASE WHEN trim(file_path) <> '' AND file_path IN (SELECT path FROM files)
+THEN 'ok' ELSE 'missing' END AS path_status FROM wanted""")
 def path_status(spark, folder):
-    """Tables of the data folder as book files: those given exist, their backups do not."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
-    named = files.select("path", F.col("length").alias("n_bytes"))
-    wanted = named.select(F.col("path").alias("file_path")).unionAll(
-        named.select(F.concat("path", F.lit(".bak"))).withColumnRenamed("concat(path, .bak)", "file_path")
-    )
-    return library.path_status(wanted, named)
+    """Orders name the file of a book, customers with money are the files that exist."""
+    orders, customers = read_table(spark, folder, "orders"), read_table(spark, folder, "customer")
+    path = lambda key: F.format_string("/books/%d.pdf", key)
+    named = F.when(F.col("o_orderkey") % 11 == 0, F.lit(" ")).otherwise(path("o_custkey"))
+    wanted = orders.select(F.col("o_orderkey").alias("pdf_id"), named.alias("file_path"))
+    files = customers.where("c_acctbal > 0").select(path("c_custkey").alias("path"))
+    return library.path_status(wanted, files).select("pdf_id", "file_path", "path_status")
+
+
+@query("game_upsert", """WITH rows AS (
+SELECT CAST(n_nationkey AS BIGINT) AS game_id, n_name AS name, '' AS notes, CAST(-1 AS BIGINT) AS seq FROM nation
+UNION ALL SELECT c_custkey % 40, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE ' ' || c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN c_name END, c_custkey FROM customer)
+SELECT game_id, arg_max(nullif(trim(name), ''), seq) AS name, arg_max(notes, seq) AS notes FROM rows GROUP BY game_id HAVING max(nullif(trim(name), '')) IS NOT NULL""")
+def game_upsert(spark, folder):
+    """Nations as stored games, customers as changes to them and to new ones; blank names change nothing."""
+    stored = read_table(spark, folder, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("game_id"), F.col("n_name").alias("name"), F.lit("").alias("notes"),
+        F.lit(-1).cast("bigint").alias("seq"),
+    )
+    name = F.when(F.col("c_custkey") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), "c_mktsegment"))
+    changed = read_table(spark, folder, "customer").select(
+        (F.col("c_custkey") % 40).cast("bigint").alias("game_id"), name.alias("name"),
+        F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("notes"), F.col("c_custkey").cast("bigint").alias("seq"),
+    )
+    return library.upsert_games(stored, changed)

@@ -426,6 +426,29 @@ def hybrid_search(spark, folder):
     return rounded_hits(hybrid_hits(spark, folder))
 
 
+# A stand-in for a model's vectors: length, and how often two letters occur. Blank texts have none.
+VECTOR_SQL = "[CAST(length({t}) AS DOUBLE), length({t}) - length(replace({t}, 'e', '')), length({t}) - length(replace({t}, 'n', ''))]"
+SIMS_SQL = """sims AS (
+SELECT query_id, section_id, sum(qw.weight * d.weight) AS score
+FROM candidates JOIN qw USING (query_id) JOIN d USING (section_id, bucket) GROUP BY ALL)"""
+EMBEDDED_SQL = f"""sims AS (
+SELECT c.query_id, c.section_id, list_cosine_similarity({VECTOR_SQL.format(t="e.query_text")}, {VECTOR_SQL.format(t="(s.title || chr(10) || s.plain_text)")}) AS score
+FROM candidates c JOIN expanded e USING (query_id) JOIN sections s USING (section_id))"""
+
+
+@query("hybrid_embedded", HYBRID_SQL.replace(SIMS_SQL, EMBEDDED_SQL) + HITS_OUT)
+def hybrid_embedded(spark, folder):
+    """Search with a caller's vectors in place of the hashed ones."""
+
+    def embed(texts):
+        def count(letter):
+            return (F.length("text") - F.length(F.replace("text", F.lit(letter), F.lit("")))).cast("double")
+
+        return texts.select("key", F.array(F.length("text").cast("double"), count("e"), count("n")).alias("vector"))
+
+    return rounded_hits(hybrid_hits(spark, folder, embed=embed))
+
+
 @query("expand_query", with_sql(
     SECTIONS_SQL, ATTACHED_SQL, GAME_QUESTIONS_SQL, CITED_SQL, SYNONYMS_SQL, GLOSSARY_SCOPED_SQL,
     match_sql("game_questions", "query_text", "widened", "scoped_glossary", "AND g.game_id = q.game_id"),
