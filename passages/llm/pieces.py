@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 MARK = "▁"
 # Characters of text in a block, unless one document has more.
-BLOCK = 1 << 25
+BLOCK = 3 << 23
 # A chunk's ids as 32-bit numbers, and what they decode to if that is not the chunk itself.
 Piece = tuple[bytes, str | None]
 _CHUNK = re.compile(" *[^ ]+| +$")
@@ -126,15 +126,17 @@ def encode_documents(
         for packed in own["packed"].to_pylist():
             held = _unpack(packed)
             keys.append(held["key"].combine_chunks())
-            texts = [chunks_of(t) for t in held["text"].to_pylist()]
-            lists = _by_bucket(set(chain.from_iterable(texts)), buckets)
+            texts = held["text"]
+            # Texts are cut twice, as the chunks of a whole block would need much more memory than its texts.
+            lists = _by_bucket(set(chain.from_iterable(chunks_of(t.as_py()) for t in texts)), buckets)
             table: dict[str, Piece] = {}
-            for bucket, answer in zip(answers["bucket"].to_pylist(), answers["packed"].to_pylist(), strict=True):
-                _take(table, lists.get(bucket, []), answer)
+            for bucket, answer in zip(answers["bucket"].to_pylist(), answers["packed"], strict=True):
+                _take(table, lists.get(bucket, []), answer.as_py())
             # Blocks are cut by the order of the rows. Should that have changed when the rows were read
             # again, some answers are for other chunks, and what is missing is segmented here.
             _add(table, model, chain.from_iterable(lists.values()))
-            for chunks in texts:
+            for text in texts:
+                chunks = chunks_of(text.as_py())
                 found = [table[c] for c in chunks]
                 ids.append(b"".join([f[0] for f in found]))
                 decoded.append(" ".join([c if f[1] is None else f[1] for c, f in zip(chunks, found, strict=True)]))
