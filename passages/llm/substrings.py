@@ -15,9 +15,8 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 SENTENCES = 3
 WORDS = 20
@@ -71,37 +70,37 @@ def runs(text: str, count: int = SENTENCES, words: int = WORDS) -> tuple[np.ndar
     return full[starts], full[ends - 1] - full[starts] + 1, hashes
 
 
-def sentence_runs(docs: DataFrame, key: Column, text: str, count: int, words: int) -> DataFrame:
-    """(doc, at, length, high, low): every run of every document; ``doc`` is the given key."""
-    rows = docs.where(F.col(text).isNotNull()).select(key.alias("doc"), F.col(text).alias("text"))
-    kind = rows.schema["doc"].dataType
-    arrow = to_arrow_type(kind)
+def sentence_runs(docs: DataFrame, count: int, words: int) -> DataFrame:
+    """(key, hash, at, length, high, low): every run of every document (key, hash, text)."""
+    rows = docs.where(F.col("text").isNotNull()).select("key", "hash", "text")
+    kind = rows.schema["key"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, found, held = [], [], 0
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 own = runs(text.as_py(), count, words)
                 if len(own[0]):
                     at.append(np.full(len(own[0]), i))
                     found.append(own)
                     held += len(own[0])
                 if held >= ROWS:
-                    yield _runs(batch.column(0), at, found, arrow)
+                    yield _runs(batch, at, found)
                     at, found, held = [], [], 0
             if held:
-                yield _runs(batch.column(0), at, found, arrow)
+                yield _runs(batch, at, found)
 
-    return rows.mapInArrow(find, f"doc {kind.simpleString()}, at int, length int, high bigint, low bigint")
+    return rows.mapInArrow(find, f"key {kind}, hash bigint, at int, length int, high bigint, low bigint")
 
 
-def _runs(docs: pa.Array, at: list, found: list, arrow: pa.DataType) -> pa.RecordBatch:
+def _runs(docs: pa.RecordBatch, at: list, found: list) -> pa.RecordBatch:
     starts, lengths, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows = pa.array(np.concatenate(at))
     columns = [
-        docs.take(pa.array(np.concatenate(at))).cast(arrow), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()),
+        docs.column(0).take(rows), docs.column(1).take(rows), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()),
         pa.array(hashes[:, 0]), pa.array(hashes[:, 1]),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["doc", "at", "length", "high", "low"])
+    return pa.RecordBatch.from_arrays(columns, ["key", "hash", "at", "length", "high", "low"])
 
 
 def cut_repeats(
@@ -115,22 +114,22 @@ def cut_repeats(
     sentences and stays null.
     """
     # Smallest first by the key; the hash tells different texts with one key apart.
-    doc = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
-    found = sentence_runs(docs, doc, text, count, words)
-    place = F.struct("doc", "at")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    found = sentence_runs(rows, count, words)
+    place = F.struct("key", "hash", "at")
     firsts = (
         found.groupBy("high", "low")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first != last")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+        .where("times > 1")
         .select("high", "low", "first")
     )
+    doc = F.struct("key", "hash").alias("doc")
     repeats = (
         found.join(firsts, ["high", "low"])
         .where(place != F.col("first"))
-        .groupBy("doc")
+        .groupBy(doc)
         .agg(F.collect_set(F.struct("at", "length")).alias("repeats"))
     )
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), doc.alias("doc"))
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +149,6 @@ def cut_repeats(
                 ["key", "n_sentences", "n_removed", "kept"],
             )
 
-    joined = rows.join(repeats, "doc", "left").select("key", "text", "repeats")
+    joined = rows.select("key", "text", doc).join(repeats, "doc", "left").select("key", "text", "repeats")
     out = joined.mapInArrow(cut, f"key {kind}, n_sentences bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("key", key)
