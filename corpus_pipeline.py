@@ -22,9 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by SimHash links, the one with the smallest id stays; of equal rows, one."""
+    """Of documents joined by links, the one with the smallest id stays; of equal rows, one.
+
+    Links are wider than the default, to find copies with several changes: up to 7 bits, checked by a
+    similarity of at least 0.8 on five-word shingles.
+    """
     named = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
-    groups = simhash_components(named, "row").groupBy("row", "component_id").count()
+    groups = simhash_components(named, "row", radius=7, count=4, least=0.8).groupBy("row", "component_id").count()
     heads = groups.where("row = component_id").select("row", "count")
     kept = named.join(heads, "row").drop("row")
     # Only rows that are repeated as a whole are compared with each other.

@@ -17,7 +17,7 @@ those of all links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,10 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passages.functions.text import let
 from passages.llm.components import component_of
 from passages.session import broadcast_if_small
 from passages.sources.tables import stage
 
+# Keeps some of the rows (a, b, …) of a table of pairs.
+Check = Callable[[DataFrame], DataFrame]
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WHITE = r"[\x20\x09-\x0D]+"
 SEED = 42
 # Shingles hashed at a time, so that a text of any length needs bounded memory.
 PIECE = 1 << 16
@@ -113,11 +119,48 @@ def _entry(fp: Column, n: int, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1) + F.lit(n << 40)
 
 
+def alike(docs: DataFrame, found: DataFrame, key: str, text: str, least: float, size: int = 5) -> Check:
+    """Keeps pairs of fingerprints whose texts have at least the share ``least`` of their shingles in common.
+
+    The text of a fingerprint is that of its smallest key. Only the texts of the pairs are read.
+    """
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "simhash-pairs")
+        ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
+        heads = found.join(ends, "fingerprint").groupBy("fingerprint").agg(F.min(key).alias(key))
+        words = F.split(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), WHITE, " ")), " ")
+        texts = docs.select(key, F.col(text)).join(broadcast_if_small(heads), key).groupBy("fingerprint").agg(F.first(text).alias(text))
+        sets = stage(texts.select("fingerprint", F.array_distinct(_shingles(words, size)).alias("set")), "simhash-sets")
+        met = pairs.join(sets.select(F.col("fingerprint").alias("a"), F.col("set").alias("_x")), "a").join(
+            sets.select(F.col("fingerprint").alias("b"), F.col("set").alias("_y")), "b"
+        )
+        common = F.size(F.array_intersect("_x", "_y"))
+        return met.where(common >= least * (F.size("_x") + F.size("_y") - common)).drop("_x", "_y")
+
+    return keep
+
+
+def _shingles(words: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words, or of all words where there are fewer."""
+    return let(
+        words,
+        lambda w: F.when(
+            F.size(w) >= size,
+            F.transform(
+                F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
+            ),
+        ).otherwise(F.array(F.xxhash64(w))),
+    )
+
+
 def near_components(
-    prints: DataFrame, radius: int = 4, count: int = 3, entry_rows: int = 4096
+    prints: DataFrame, radius: int = 4, count: int = 3, entry_rows: int = 4096, check: Check | None = None
 ) -> DataFrame:
     """(fingerprint, root) for every fingerprint; links join those within ``radius`` bits.
 
+    With ``check``, a link also has to be among the pairs (a, b, …) that it keeps.
+
     ``prints`` has distinct, non-null fingerprints. root is the smallest fingerprint reachable by
     links. With N fingerprints the tables have about N / 2^(64/count) rows an entry, so ``count``
     should fall as N grows: 3 up to some ten million fingerprints, 2 beyond. Entries with more than
@@ -138,6 +181,7 @@ def near_components(
         .where((fp != F.col("a")) & (F.bit_count(fp.bitwiseXOR(F.col("a"))) <= radius))
         .select("a", fp.alias("b"))
     )
+    stars = check(stars.distinct()) if check else stars
     joined = stage(component_of(stars), "simhash-joined")
     known = prints.join(
         joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
@@ -172,8 +216,10 @@ def near_components(
         .where(fp < F.col("other"))
         .where(F.col("group") != F.col("other_group"))
         .where(F.bit_count(fp.bitwiseXOR(F.col("other"))) <= radius)
-        .select(F.col("group").alias("a"), F.col("other_group").alias("b"))
+        .select(fp.alias("a"), F.col("other").alias("b"), "group", "other_group")
     )
+    matches = check(matches.distinct()) if check else matches
+    matches = matches.select(F.col("group").alias("a"), F.col("other_group").alias("b"))
     merged = component_of(matches).withColumnRenamed("node", "group")
     return known.join(merged, "group", "left").select(
         "fingerprint", F.coalesce("component", "group").alias("root")
@@ -181,17 +227,22 @@ def near_components(
 
 
 def simhash_components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, count: int = 3
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, count: int = 3,
+    least: float | None = None,
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row of ``docs``.
 
     fingerprint is a signed 64-bit number; component_id is the smallest key reachable by links. A
     null text has the empty text's fingerprint 0, which is linked like any other. Repeated rows each
-    get their row. Null keys take part in linking but are never the smallest.
-    """
+    get their row. Null keys take part in linking but are never the smallest. With ``least``, links
+    are also checked on the texts: see ``alike``.
+    """
     found = stage(fingerprints(docs, key, text, size), "simhash-prints")
-    least = stage(found.groupBy("fingerprint").agg(F.min(key).alias("least")), "simhash-distinct")
-    roots = stage(near_components(least.select("fingerprint"), radius, count).join(least, "fingerprint"), "simhash-roots")
-    heads = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    firsts = stage(found.groupBy("fingerprint").agg(F.min(key).alias("first")), "simhash-distinct")
+    check = None if least is None else alike(docs, found, key, text, least)
+    roots = stage(
+        near_components(firsts.select("fingerprint"), radius, count, check=check).join(firsts, "fingerprint"), "simhash-roots"
+    )
+    heads = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(heads, "root").select("fingerprint", "component_id")
     return found.join(named, "fingerprint").select(key, "fingerprint", "component_id")

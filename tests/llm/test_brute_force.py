@@ -33,6 +33,11 @@ def plain_fingerprint(text, size=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def five_words(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def smallest_reachable(nodes, linked):
     parent = {n: n for n in nodes}
 
@@ -194,7 +199,11 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
         assert rows.keys() <= before.keys() and len(rows) == after.count()
         if name == "simhash":
             prints = {i: plain_fingerprint(r.text) for i, r in before.items()}
-            links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
+            sets = {i: five_words(r.text) for i, r in before.items()}
+            links = [
+                (a, b) for a in prints for b in prints
+                if a < b and (prints[a] ^ prints[b]).bit_count() <= 7 and (prints[a] == prints[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+            ]
             assert rows.keys() == set(smallest_reachable(sorted(prints), links).values())
         elif name == "secrets":
             assert rows.keys() == before.keys()
