@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.queries.registry import Query
-from passages.sources.tables import read_table
+from passages.sources.tables import read_table, stage
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -258,7 +258,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
     path = new_archive_folder(spark)
     write_archives(read_table(spark, folder, "pages"), path)
-    captures = assemble_captures(read_archives(spark, path, payloads=False))
+    records = stage(read_archives(spark, path, payloads=False), "warc-records")
+    captures = assemble_captures(records)
     return captures.select(
         F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("answer.type").alias("record_type"), F.col("refers_to")["page-id"].cast("bigint").alias("refers_to"),

@@ -209,7 +209,7 @@ def assemble_captures(records: DataFrame) -> DataFrame:
     Records belong together when they are concurrent to the same record, or to each other: a record's
     capture is the record it names, or itself if it names none. A revisit takes length, digest and
     metadata fields of the response it refers to; they stay null where that is not in the archives.
-    Records of other types, and those without an id, are left out.
+    The records are gone through several times, so hand over a written table. Records of other types, and those without an id, are left out.
     """
     hub = records.where(F.col("record_id").isNotNull()).withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
 
