@@ -1,9 +1,10 @@
 """Substring duplicates: every run of consecutive sentences is hashed, and repeats are cut out.
 
-A text is cut into sentences. From each sentence on, the shortest run of several sentences with
-enough words is hashed; where the same run occurs again anywhere in the table, all but its first
-occurrence are repeats, and every sentence that a repeat covers is removed. Runs start at every
-sentence, so a repeated passage is covered from its first whole sentence on wherever it stands.
+A text is cut into sentences, and these into pieces of a few words at places that depend on the
+words around them only. From each piece on, the shortest run of several pieces with enough words is
+hashed; where the same run occurs again anywhere in the table, all but its first occurrence are
+repeats, and every piece that a repeat covers is removed. Runs start at every piece, so a repeated
+passage is covered from its first whole piece on wherever it stands, also within longer sentences.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCES = 3
 WORDS = 20
-# Longer sentences are also cut after some of their words, which are chosen by their hash so that
-# the cuts are the same wherever the words stand.
-LONG = 24
-CUT_EVERY = 8
+# Sentences are also cut after the word of the smallest hash in every window of so many words. A cut
+# depends on the WINDOW - 1 words to either side only, and no piece has more than WINDOW words. So of
+# a stretch that is repeated anywhere, the words from WINDOW - 1 on to as far from its end are cut
+# alike; the first cut among them is at most WINDOW words on, and the run behind it has at most
+# WORDS + WINDOW - 1 words: 49 words in a row surely hold a whole run.
+WINDOW = 8
 # Runs emitted at a time.
 ROWS = 1 << 17
 
@@ -32,19 +35,35 @@ _WORD = re.compile(r"\S+\s*")
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences with the marks and white space behind them; joined they are the text."""
+    """Sentences, long ones in pieces, with the marks and white space behind them; joined they are the text."""
+    parts = _SENTENCE.findall(text)
+    words = [p.lower().split() for p in parts]
+    sizes = np.fromiter(map(len, words), np.int64, len(parts))
+    if not len(parts) or sizes.max() < WINDOW:
+        return parts
+    hashes = np.fromiter((crc32(w.encode()) for own in words for w in own), np.uint32, sizes.sum())
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    # Windows do not reach over the end of a sentence.
+    within = np.nonzero(owner[: 1 - WINDOW] == owner[WINDOW - 1 :])[0]
+    least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[within].argmin(axis=1)
+    cuts = np.unique(within + least)
+    ends: dict[int, list[int]] = {}
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    for i, end in zip(owner[cuts].tolist(), (cuts + 1 - first[owner[cuts]]).tolist(), strict=True):
+        ends.setdefault(i, []).append(end)
     out = []
-    for sentence in _SENTENCE.findall(text):
-        if sentence.count(" ") < LONG:
-            out.append(sentence)
+    for i, part in enumerate(parts):
+        if i not in ends:
+            out.append(part)
             continue
+        own = _WORD.findall(part)
+        own[0] = part[: len(part) - len(part.lstrip())] + own[0]
         at = 0
-        for word in _WORD.finditer(sentence):
-            if crc32(word.group().strip().lower().encode()) % CUT_EVERY == 0:
-                out.append(sentence[at : word.end()])
-                at = word.end()
-        if at < len(sentence):
-            out.append(sentence[at:])
+        for end in ends[i]:
+            out.append("".join(own[at:end]))
+            at = end
+        if at < len(own):
+            out.append("".join(own[at:]))
     return out
 
 
@@ -116,16 +135,12 @@ def cut_repeats(
     # Smallest first by the key; the hash tells different texts with one key apart.
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     found = sentence_runs(rows, count, words)
+    # All occurrences of a run meet in one exchange, which serves both to find the first and to drop it.
     place = F.struct("key", "hash", "at")
-    firsts = (
-        found.groupBy("high", "low")
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1")
-        .select("high", "low", "first")
-    )
+    first = F.min(place).over(Window.partitionBy("high", "low"))
     doc = F.struct("key", "hash").alias("doc")
     repeats = (
-        found.join(firsts, ["high", "low"])
+        found.withColumn("first", first)
         .where(place != F.col("first"))
         .groupBy(doc)
         .agg(F.collect_set(F.struct("at", "length")).alias("repeats"))

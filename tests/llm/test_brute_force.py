@@ -226,3 +226,29 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     )
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", rows[0][1]), ("3", None), ("None", "x y z")], key=str)
+
+
+def test_any_repeat_of_fifty_words_holds_a_run():
+    """Passages in the midst of sentences of different hosts: sentences of 17 words, one long one, words seldom or always cut."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = ["".join(rng.choices(letters, k=6)) for _ in range(5000)]
+    rare = [w for w in many if crc32(w.encode()) % 8]
+    for trial in range(300):
+        words = rng.choices((many, rare, many[:3], many[:1])[trial % 4], k=51)
+        if trial % 3 == 0:
+            words = [w + "." if i % 17 == 16 else w for i, w in enumerate(words)]
+        hosts = [" ".join([*rng.choices(many, k=rng.randint(0, 30)), *words, *rng.choices(many, k=rng.randint(0, 30))]) for _ in range(2)]
+        assert all("".join(substrings.sentences(h)) == h for h in hosts)
+        first, second = ({tuple(h) for h in substrings.runs(host)[2].tolist()} for host in hosts)
+        assert first & second
+
+
+def test_cut_repeat_within_sentences(spark):
+    rng = random.Random(8)
+    passage, *other = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n)) for n in (51, 40, 40, 40, 40)]
+    rows = [(1, f"{other[0]} {passage} {other[1]}"), (2, f"{other[2]} {passage} {other[3]}")]
+    got = {r.doc_id: r for r in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].n_removed == 0 and got[1].kept == rows[0][1]
+    kept = got[2].kept.split()
+    assert got[2].n_removed > 0 and kept[:40] == other[2].split() and kept[-40:] == other[3].split() and len(kept) <= 80 + 51 - 20
