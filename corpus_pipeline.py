@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links, the one with the smallest id stays; of equal rows, one.
 
-    Links are wider than the default, to find copies with several changes: up to 7 bits, checked by a
-    similarity of at least 0.8 on five-word shingles.
+    Links are wider than the default, to find copies with several changes: a similarity of at least 0.8
+    on five-word shingles, sought among texts that share a MinHash band or differ in up to 7 bits.
     """
     named = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
     groups = simhash_components(named, "row", radius=7, count=4, least=0.8).groupBy("row", "component_id").count()

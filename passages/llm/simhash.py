@@ -13,6 +13,10 @@ table entry all fingerprints are first compared with the entry's smallest one on
 bulk of every dense group one component at linear cost; the full lookup then verifies only pairs
 that are not yet connected. No link between different components is lost, so the components are
 those of all links.
+
+Links that are checked on the texts are sought more widely, as 64 bits do not tell a similarity of
+0.8 from much lower ones. Their nodes are distinct texts, and texts also meet in one more table per
+band of MinHash values, whatever their fingerprints.
 """
 
 from __future__ import annotations
@@ -40,6 +44,14 @@ WHITE = r"[\x20\x09-\x0D]+"
 SEED = 42
 # Shingles hashed at a time, so that a text of any length needs bounded memory.
 PIECE = 1 << 16
+# Texts with a similarity of 0.8 share one of the bands, each of so many MinHash values, with
+# probability 1 - (1 - 0.8 ** 6) ** 20 = 0.998.
+BANDS, VALUES = 20, 6
+_XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * VALUES), np.uint64)
+_FACTORS |= np.uint64(1)
+# Entries with more texts than this are compared with several of them before all unconnected pairs are.
+CROWD = 32
+HEADS = 3
 
 
 def fingerprint(text: bytes, size: int) -> int:
@@ -69,6 +81,48 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(packed.view(">i8")[0])
 
 
+def outline(text: bytes, size: int = 5) -> tuple[int, list[int]]:
+    """Hash of a text's words, and a negative number for each band of MinHash values of its distinct shingles.
+
+    Words are those of ``fingerprint``, shingles those of ``alike``.
+    """
+    words = text.lower().split()
+    joined = b" ".join(words)
+    size = min(size, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends + 1])[: max(1, len(words) - size + 1)].tolist()
+    ends = ends[size - 1 :].tolist() if words else [0]
+    least = np.full(BANDS * VALUES, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(starts), PIECE >> 5):
+        cuts = map(slice, starts[at : at + (PIECE >> 5)], ends[at : at + (PIECE >> 5)])
+        digests = map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED))
+        hashes = np.fromiter(digests, np.uint64)
+        least = np.minimum(least, ((hashes[:, None] ^ _XORS) * _FACTORS).min(axis=0))
+    bands = [
+        (xxhash.xxh64_intdigest(band.tobytes(), n) >> 1) - (1 << 63) for n, band in enumerate(least.reshape(BANDS, VALUES))
+    ]
+    return _signed(xxhash.xxh64_intdigest(joined, SEED + 1)), bands
+
+
+def outlines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
+    """(key, fingerprint, bands) of every row, where fingerprint is a struct with the hash of the text's words."""
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            found = [outline(t) for t in texts]
+            prints = pa.array([fingerprint(t, size) for t in texts], pa.int64())
+            nodes = pa.StructArray.from_arrays([prints, pa.array([h for h, _ in found], pa.int64())], ["fingerprint", "hash"])
+            bands = pa.array([b for _, b in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, bands], ["key", "fingerprint", "bands"])
+
+    node = T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("hash", T.LongType())])
+    schema = T.StructType(
+        [T.StructField("key", docs.schema[key].dataType), T.StructField("fingerprint", node), T.StructField("bands", T.ArrayType(T.LongType()))]
+    )
+    pairs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return pairs.mapInArrow(fold, schema).withColumnRenamed("key", key)
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
     """(key, fingerprint) of every row. A null text counts as empty; without words the fingerprint is 0."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +174,9 @@ def _entry(fp: Column, n: int, shift: int, width: int) -> Column:
 
 
 def alike(docs: DataFrame, found: DataFrame, key: str, text: str, least: float, size: int = 5) -> Check:
-    """Keeps pairs of fingerprints whose texts have at least the share ``least`` of their shingles in common.
+    """Keeps pairs of ``outlines``' nodes whose texts have at least the share ``least`` of their shingles in common.
 
-    The text of a fingerprint is that of its smallest key. Only the texts of the pairs are read.
+    All texts of a node have the same words; that of its smallest key is read, and only for nodes of the pairs.
     """
 
     def keep(pairs: DataFrame) -> DataFrame:
@@ -159,7 +213,8 @@ def near_components(
 ) -> DataFrame:
     """(fingerprint, root) for every fingerprint; links join those within ``radius`` bits.
 
-    With ``check``, a link also has to be among the pairs (a, b, …) that it keeps.
+    With ``check``, ``prints`` are those of ``outlines``: (fingerprint, bands). A link is then also
+    sought between texts that share a band, and every link has to be among the pairs (a, b, …) that it keeps.
 
     ``prints`` has distinct, non-null fingerprints. root is the smallest fingerprint reachable by
     links. With N fingerprints the tables have about N / 2^(64/count) rows an entry, so ``count``
@@ -168,38 +223,51 @@ def near_components(
     """
     cut = segments(count, radius)
     fp = F.col("fingerprint")
-    table = stage(
-        prints.select(
-            fp, F.explode(F.array(*[_entry(fp, n, s, w) for n, (s, w, _) in enumerate(cut)])).alias("entry")
-        ),
-        "simhash-tables",
-    )
+
+    def bits(node: Column) -> Column:
+        return node["fingerprint"] if check else node
+
+    def near(x: Column, y: Column) -> Column:
+        close = F.bit_count(bits(x).bitwiseXOR(bits(y))) <= radius
+        return (F.col("entry") < 0) | close if check else close
+
+    entries = F.array(*[_entry(bits(fp), n, s, w) for n, (s, w, _) in enumerate(cut)])
+    entries = F.explode(F.concat(entries, "bands") if check else entries).alias("entry")
+    table = stage(prints.select(fp, entries), "simhash-tables")
     first = table.groupBy("entry").agg(F.min("fingerprint").alias("a"), F.count(F.lit(1)).alias("n"))
     first = stage(first.where("n > 1"), "simhash-entries")
-    stars = (
-        table.join(first, "entry")
-        .where((fp != F.col("a")) & (F.bit_count(fp.bitwiseXOR(F.col("a"))) <= radius))
-        .select("a", fp.alias("b"))
-    )
-    stars = check(stars.distinct()) if check else stars
+    stars = table.join(first, "entry").where((fp != F.col("a")) & near(fp, F.col("a"))).select("a", fp.alias("b"))
+    stars = stage(check(stars.distinct()), "simhash-stars") if check else stars
     joined = stage(component_of(stars), "simhash-joined")
+    if check:
+        # Texts that failed against an entry's first one are held against a few others.
+        crowds = stage(table.join(first.where(F.col("n") > CROWD).select("entry"), "entry"), "simhash-crowds")
+        for n in range(1, HEADS):
+            grouped = crowds.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+                "entry", "fingerprint", F.coalesce("component", "fingerprint").alias("group")
+            )
+            heads = grouped.groupBy("entry").agg(
+                F.min_by(F.struct("fingerprint", "group"), F.xxhash64("fingerprint", F.lit(n))).alias("head")
+            )
+            a = F.col("head.fingerprint")
+            more = grouped.join(heads, "entry").where((F.col("group") != F.col("head.group")) & near(fp, a))
+            more = check(more.select(F.least(fp, a).alias("a"), F.greatest(fp, a).alias("b")).distinct())
+            stars = stars.union(stage(more, "simhash-stars"))
+            joined = stage(component_of(stars), "simhash-joined")
     known = prints.join(
         joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
-    ).select("fingerprint", F.coalesce("component", "fingerprint").alias("group"))
+    ).select("fingerprint", F.coalesce("component", "fingerprint").alias("group"), *(["bands"] if check else []))
     known = stage(known, "simhash-known")
 
-    lookups = None
+    lookups = known.select("fingerprint", "group", F.explode("bands").alias("entry")) if check else None
     for n, (shift, width, r) in enumerate(cut):
         moves = F.explode(F.array(*[F.lit(_signed(m << shift)) for m in ball(width, r)]))
         moved = known.select("fingerprint", "group", moves.alias("move"))
         own = moved.select(
-            "fingerprint", "group", _entry(fp.bitwiseXOR(F.col("move")), n, shift, width).alias("entry")
+            "fingerprint", "group", _entry(bits(fp).bitwiseXOR(F.col("move")), n, shift, width).alias("entry")
         )
         lookups = own if lookups is None else lookups.unionAll(own)
-    rows = known.select(
-        fp.alias("other"), F.col("group").alias("other_group"),
-        F.explode(F.array(*[_entry(fp, n, s, w) for n, (s, w, _) in enumerate(cut)])).alias("entry"),
-    )
+    rows = known.select(fp.alias("other"), F.col("group").alias("other_group"), entries)
 
     hot = broadcast_if_small(
         first.where(F.col("n") > entry_rows).select("entry", F.ceil(F.col("n") / entry_rows).alias("blocks"))
@@ -215,7 +283,7 @@ def near_components(
         lookups.join(rows, ["entry", "block"])
         .where(fp < F.col("other"))
         .where(F.col("group") != F.col("other_group"))
-        .where(F.bit_count(fp.bitwiseXOR(F.col("other"))) <= radius)
+        .where(near(fp, F.col("other")))
         .select(fp.alias("a"), F.col("other").alias("b"), "group", "other_group")
     )
     matches = check(matches.distinct()) if check else matches
@@ -235,14 +303,17 @@ def simhash_components(
     fingerprint is a signed 64-bit number; component_id is the smallest key reachable by links. A
     null text has the empty text's fingerprint 0, which is linked like any other. Repeated rows each
     get their row. Null keys take part in linking but are never the smallest. With ``least``, links
-    are also checked on the texts: see ``alike``.
+    are between texts of that similarity, whose words alone can make them equal: see ``alike``.
     """
-    found = stage(fingerprints(docs, key, text, size), "simhash-prints")
-    firsts = stage(found.groupBy("fingerprint").agg(F.min(key).alias("first")), "simhash-distinct")
+    find = fingerprints if least is None else outlines
+    found = stage(find(docs, key, text, size), "simhash-prints")
+    aggs = [F.min(key).alias("first"), *([] if least is None else [F.first("bands").alias("bands")])]
+    firsts = stage(found.groupBy("fingerprint").agg(*aggs), "simhash-distinct")
     check = None if least is None else alike(docs, found, key, text, least)
     roots = stage(
-        near_components(firsts.select("fingerprint"), radius, count, check=check).join(firsts, "fingerprint"), "simhash-roots"
+        near_components(firsts.drop("first"), radius, count, check=check).join(firsts, "fingerprint"), "simhash-roots"
     )
     heads = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(heads, "root").select("fingerprint", "component_id")
-    return found.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+    bits = F.col("fingerprint") if least is None else F.col("fingerprint.fingerprint").alias("fingerprint")
+    return found.join(named, "fingerprint").select(key, bits, "component_id")

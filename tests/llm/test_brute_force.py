@@ -252,3 +252,25 @@ def test_cut_repeat_within_sentences(spark):
     assert got[1].n_removed == 0 and got[1].kept == rows[0][1]
     kept = got[2].kept.split()
     assert got[2].n_removed > 0 and kept[:40] == other[2].split() and kept[-40:] == other[3].split() and len(kept) <= 80 + 51 - 20
+
+
+def test_near_copies_at_the_limit_are_found(spark):
+    """Recall of links of the stage against exact five-word similarity, for pairs of 0.8 to 0.9."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(4000)]
+    rows, near = [], []
+    for i in range(0, 800, 2):
+        text = rng.choices(words, k=200)
+        copy = list(text)
+        for at in rng.sample(range(200), rng.randint(2, 5)):
+            copy[at] = rng.choice(words)
+        rows += [(i, " ".join(text)), (i + 1, " ".join(copy))]
+        x, y = (five_words(t) for _, t in rows[-2:])
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            near.append(i)
+        elif len(x & y) < 0.8 * len(x | y):
+            rows.pop()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert all(i in kept for i in range(0, 800, 2))
+    assert len(near) > 100 and np.mean([i + 1 not in kept for i in near]) >= 0.99
