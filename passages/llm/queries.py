@@ -301,3 +301,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_sentences", "n_removed", F.length("kept").cast("bigint").alias("n_chars_kept"),
         F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op13_licenses")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """License detections of every document."""
+    from passages.llm.licenses import scan_licenses
+
+    found = scan_licenses(read_table(spark, folder, "documents"))
+    base = F.transform("base", lambda b: b["label"])
+    starts = F.transform("base", lambda b: b["first_word"])
+    both = F.concat(base, F.transform("detections", lambda d: d["label"]))
+
+    def listed(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"), listed(both).alias("labels"), "score",
+    )
