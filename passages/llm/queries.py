@@ -321,3 +321,39 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         listed(base).alias("base_labels"), listed(both).alias("labels"), "score",
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with the faults that the query plants by a hash of conversation and turn."""
+    said = F.concat(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))
+    )
+    text = F.coalesce("text", F.lit(" "))
+    dice = F.crc32(said) % 20
+    changed = F.when(dice == 1, "").when(dice == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(dice == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    copies = F.when(dice == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.where(dice != 0).select(
+        "conv_id", "turn", role.alias("role"), changed.alias("text"), F.explode(copies).alias("copy")
+    ).drop("copy")
+
+
+@query("op11_conversations")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    from passages.llm.conversations import plan_repairs, repaired_digests
+
+    rows = read_table(spark, folder, "conversations")
+    repairs = plan_repairs(damaged(rows))
+    # The audit is one text a conversation, as asked; the operator keeps it by blocks.
+    edits = repairs.blocks.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "edits"))).alias("parts"))
+    audits = edits.select("id", F.array_join(F.transform("parts", lambda p: p["edits"]), "").alias("audit"))
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (
+        rows.select(F.struct(F.col("conv_id").alias("key")).alias("id")).distinct()
+        .join(repairs.totals, "id", "left").join(audits, "id", "left").join(repaired_digests(repairs), "id", "left")
+        .select(
+            F.col("id")["key"].alias("conv_id"), *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in numbers],
+            F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
