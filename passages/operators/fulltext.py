@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.functions.ranking import table_penalty
-from passages.functions.text import fields, index_terms
+from passages.functions.text import fields, index_terms, let
 from passages.operators.embedding import vector_cells
 from passages.operators.ordering import top_rows
 from passages.session import BROADCAST_ROWS, broadcast_if_small
@@ -21,13 +21,18 @@ MIN_IDF = 1e-6
 
 CANDIDATES = 100
 SCORE_DIGITS = 9
+# Hits of the phrases that set a query's threshold, and what rounding may take from it.
+FIRST_HITS = 5_000
+MARGIN = 1e-7
 
 _SECTION = ["section_id", "pdf_id", "n_terms"]
 
 
-def section_terms(sections: DataFrame) -> DataFrame:
-    """(section_id, pdf_id, title_terms, body_terms, n_terms); row by row, nothing is shuffled."""
-    return with_terms(sections).select("section_id", "pdf_id", "title_terms", "body_terms", "n_terms")
+def section_terms(sections: DataFrame, **more: Column) -> DataFrame:
+    """(section_id, pdf_id, title_terms, body_terms, n_terms) and ``more``; row by row, nothing is shuffled."""
+    return with_terms(sections.withColumns(more) if more else sections).select(
+        "section_id", "pdf_id", "title_terms", "body_terms", "n_terms", *more
+    )
 
 
 def with_terms(sections: DataFrame) -> DataFrame:
@@ -55,10 +60,12 @@ class TextIndex(NamedTuple):
     """Inverted index of a collection of sections, as written tables.
 
     postings: term, section_id, pdf_id, n_terms, places (positions in the section; the body starts
-    one further on than the title ends, so that no phrase reaches across)
-    vocabulary: term, n_with (sections)
-    cells: section_id, cells (bucket, weight of the section's vector), penalty (of tabular text)
+    one further on than the title ends, so that no phrase reaches across), sorted by term; ``part``
+    where the table is cut into ranges of terms
+    vocabulary: term
+    cells: section_id, n_terms, cells (bucket, weight of the section's vector), penalty (of tabular text)
     n_sections, mean_terms: size of the collection
+    ranges: part with its first and last term, in order; empty where postings are not cut
     """
 
     postings: DataFrame
@@ -66,50 +73,113 @@ class TextIndex(NamedTuple):
     cells: DataFrame
     n_sections: int
     mean_terms: float
+    ranges: tuple[tuple[int, str, str], ...] = ()
 
 
-def build_text_index(sections: DataFrame) -> TextIndex:
-    """Write the index of (section_id, pdf_id, title, plain_text); later searches read it only.
-
-    Postings are spread by term and section, so a term of very many sections is no hot partition.
-    """
-    terms = stage(section_terms(sections), "terms", "section_id")
-    size = terms.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean")).first()
+def term_places(title_terms: Column, body_terms: Column) -> Column:
+    """(term, places) of a section, one entry per distinct term; worked out within the row."""
     gap = F.array(F.lit(None).cast("string"))
-    each = terms.select(*_SECTION, F.posexplode(F.concat("title_terms", gap, "body_terms")).alias("place", "term"))
-    postings = (
-        each.where("term is not null").groupBy("term", *_SECTION).agg(F.collect_list("place").alias("places"))
+    each = F.transform(
+        F.concat(title_terms, gap, body_terms), lambda t, i: F.struct(t.alias("term"), i.alias("place"))
     )
-    postings = stage(postings, "postings")
+    placed = F.array_sort(F.filter(each, lambda c: c["term"].isNotNull()))
+
+    def grouped(cells: Column) -> Column:
+        term = lambda i: F.get(cells, i)["term"]
+        at = F.when(F.size(cells) > 0, F.sequence(F.lit(0), F.size(cells) - 1)).otherwise(F.array().cast("array<int>"))
+        firsts = F.filter(at, lambda i: (i == 0) | (term(i) != term(i - 1)))
+        return let(
+            firsts,
+            lambda starts: F.transform(
+                starts,
+                lambda i, k: F.struct(
+                    term(i).alias("term"),
+                    F.transform(
+                        F.slice(cells, i + 1, F.coalesce(F.get(starts, k + 1), F.size(cells)) - i), lambda c: c["place"]
+                    ).alias("places"),
+                ),
+            ),
+        )
+
+    return let(placed, grouped)
+
+
+def section_entries(sections: DataFrame) -> DataFrame:
+    """Everything the index holds of a section, in one row: section_id, pdf_id, n_terms, entries, cells, penalty.
+
+    A text is read once; nothing is shuffled.
+    """
     content = F.concat_ws("\n", "title", "plain_text")
-    cells = sections.select(
-        "section_id", vector_cells(content).alias("cells"), table_penalty(F.col("plain_text")).alias("penalty")
-    )
-    vocabulary = stage(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_with")), "vocabulary")
-    return TextIndex(postings, vocabulary, stage(cells, "cells"), size["n"], size["mean"] or 0.0)
+    return section_terms(
+        sections, cells=vector_cells(content), penalty=table_penalty(F.col("plain_text"))
+    ).select(*_SECTION, term_places(F.col("title_terms"), F.col("body_terms")).alias("entries"), "cells", "penalty")
+
+
+def posting_rows(entries: DataFrame) -> DataFrame:
+    """(term, section_id, pdf_id, n_terms, places) of every term of every section."""
+    return entries.select(*_SECTION, F.inline("entries")).select("term", *_SECTION, "places")
+
+
+def build_text_index(sections: DataFrame, parts: int | None = None) -> TextIndex:
+    """Write the index of (section_id, pdf_id, title, plain_text); later searches read it only.
+
+    Postings are dealt out by ranges of (term, section_id) and sorted, each range in a folder of its
+    own: a search reads the ranges of its terms, and a term of very many sections has several. There
+    are ``parts`` ranges, or as many as the session shuffles into.
+    """
+    entries = stage(section_entries(sections), "entries")
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean")).first()
+    spread = [parts] if parts else []
+    ranged = posting_rows(entries).repartitionByRange(*spread, "term", "section_id").withColumn("part", F.spark_partition_id())
+    postings = stage(ranged.sortWithinPartitions("part", "term", "section_id"), "postings", parts="part")
+    spans = postings.groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    ranges = tuple(sorted((r.part, r.low, r.high) for r in spans.collect()))
+    vocabulary = stage(postings.select("term").distinct(), "vocabulary")
+    cells = entries.select("section_id", "n_terms", "cells", "penalty")
+    return TextIndex(postings, vocabulary, cells, size["n"], size["mean"] or 0.0, ranges)
 
 
 def resolve_phrases(index: TextIndex, phrases: DataFrame) -> DataFrame:
     """(phrase, n_words, nth, term): the terms that may stand at each place of a phrase.
 
     All but the last are themselves; the last stands for every term that begins with it. A prefix is
-    found by equality: the distinct terms of the vocabulary offer all their beginnings.
+    found by equality: the distinct terms of the vocabulary offer their beginnings of the lengths asked.
     """
     wanted = phrases.select("phrase", "n_words").distinct()
     pieces = wanted.select("phrase", "n_words", F.posexplode(F.split("phrase", " ")).alias("nth", "piece"))
     last = F.col("nth") == F.col("n_words") - 1
-    longest = pieces.agg(F.max(F.length("piece"))).scalar()
-    ends = F.sequence(F.lit(1), F.least(F.length("term"), F.coalesce(longest, F.lit(1))))
-    openings = index.vocabulary.select("term", F.explode(ends).alias("end")).select(
+    ended = pieces.where(last)
+    # There are no more lengths than the longest word has letters.
+    lengths = sorted(ended.agg(F.collect_set(F.length("piece"))).first()[0])
+    asked_lengths = F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("term"))
+    openings = index.vocabulary.select("term", F.explode(asked_lengths).alias("end")).select(
         "term", F.left("term", F.col("end")).alias("piece")
     )
-    ended = pieces.where(last)
     begun = openings.join(broadcast_if_small(ended.select("piece").distinct()), "piece")
     columns = ["phrase", "n_words", "nth", "term"]
     whole = pieces.where(~last).withColumnRenamed("piece", "term").select(*columns)
     return ended.join(begun, "piece").select(*columns).unionByName(whole)
 
 
+def asked_postings(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """The index's postings less those ranges that hold none of ``terms`` (term).
+
+    What is left out follows from the ranges' first and last terms, of which there are as many as
+    the postings have parts. The scan gets the parts and the bounds of the terms as filters.
+    """
+    ends = terms.agg(F.min("term").alias("low"), F.max("term").alias("high")).first()
+    if ends.low is None:
+        return index.postings.where(F.lit(False))
+    postings = index.postings.where(F.col("term").between(ends.low, ends.high))
+    if not index.ranges:
+        return postings
+    spans = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(a).alias("low"), F.lit(z).alias("high")) for p, a, z in index.ranges])
+    within = F.filter(spans, lambda r: (r["low"] <= F.col("term")) & (F.col("term") <= r["high"]))
+    held = terms.select("term").distinct().select(F.explode(F.transform(within, lambda r: r["part"])).alias("part"))
+    parts = sorted(r.part for r in held.distinct().collect())
+    return postings.where(F.col("part").isin(parts))
+
+
 def phrase_hits(index: TextIndex, phrases: DataFrame) -> DataFrame:
     """(section_id, pdf_id, n_terms, phrase, f): how often each phrase begins a place in a section.
 
@@ -117,19 +187,18 @@ def phrase_hits(index: TextIndex, phrases: DataFrame) -> DataFrame:
     however hot a word or a book is; all counting and scoring per section then happens in place.
     """
     resolved = stage(resolve_phrases(index, phrases), "resolved")
-    met = index.postings.join(broadcast_if_small(resolved, BROADCAST_ROWS), "term")
-    columns = [*_SECTION, "phrase", "n_words", "nth"]
-    single = met.where("n_words = 1").select(*columns, F.lit(0).alias("start"), F.size("places").alias("f"))
-    several = met.where("n_words > 1").select(*columns, F.explode("places").alias("place"))
-    several = several.select(*columns, (F.col("place") - F.col("nth")).alias("start"), F.lit(1).alias("f"))
-    placed = single.unionByName(several).repartition("section_id")
+    postings = asked_postings(index, resolved)
+    met = postings.join(broadcast_if_small(resolved, BROADCAST_ROWS), "term").repartition("section_id")
+    single = met.where("n_words = 1").groupBy(*_SECTION, "phrase").agg(F.sum(F.size("places")).cast("int").alias("f"))
+    if not resolved.where("n_words > 1").head(1):
+        return single
+    columns = [*_SECTION, "phrase", "n_words"]
+    several = met.where("n_words > 1").select(*columns, "nth", F.explode("places").alias("place"))
+    starts = several.select(*columns, (F.col("place") - F.col("nth")).alias("start"))
     # A phrase of several words stands where all of them follow each other.
-    runs = placed.groupBy(*_SECTION, "phrase", "n_words", "start").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("f").alias("f")
-    )
-    whole = runs.where((F.col("n_words") == 1) | (F.col("words") == F.col("n_words")))
-    count = F.sum(F.when(F.col("n_words") == 1, F.col("f")).otherwise(1)).cast("int")
-    return whole.groupBy(*_SECTION, "phrase").agg(count.alias("f"))
+    runs = starts.groupBy(*columns, "start").agg(F.count(F.lit(1)).alias("words")).where("words = n_words")
+    whole = runs.groupBy(*_SECTION, "phrase").agg(F.count(F.lit(1)).cast("int").alias("f"))
+    return single.unionByName(whole)
 
 
 def bm25_part(f: Column, length: Column, mean_length: Column) -> Column:
@@ -141,6 +210,40 @@ def inverse_frequency(n_rows: Column, n_with: Column) -> Column:
     return F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF))
 
 
+def _weights(
+    index: TextIndex, hits: DataFrame, phrases: DataFrame, asked_in: DataFrame | None, scope_books: DataFrame | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits with their BM25 part, the same with their scope, and the asked phrases.
+
+    The last has query_id, phrase, scope_id, weight, bound and n_with;
+    ``bound`` is the most that a phrase adds to the score of any section for that query.
+    """
+    part = bm25_part(F.col("f"), F.col("n_terms"), F.lit(float(index.mean_terms)))
+    parts = hits.select("section_id", "pdf_id", "phrase", part.alias("part"))
+    placed = parts
+    spread = parts.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_with"), F.max("part").alias("most"))
+    asked = phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
+    on = ["phrase"]
+    if asked_in is not None:
+        asked = asked.join(asked_in.select("query_id", "scope_id"), "query_id")
+        on = ["phrase", "scope_id"]
+        if scope_books is None:
+            placed = placed.withColumn("scope_id", F.col("pdf_id"))
+        else:
+            placed = placed.join(broadcast_if_small(scope_books.select("scope_id", "pdf_id")), "pdf_id")
+    weight = F.col("times") * inverse_frequency(F.lit(index.n_sections), F.col("n_with"))
+    weights = asked.join(spread, "phrase").withColumn("weight", weight)
+    return parts, placed, weights.select("query_id", *on, "weight", (F.col("weight") * F.col("most")).alias("bound"), "n_with")
+
+
+def _summed(placed: DataFrame, weights: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """(query_id, section_id, pdf_id, score) over the given phrases; higher is better."""
+    keep = ["query_id", "section_id", "pdf_id", *(also or [])]
+    on = [c for c in ("phrase", "scope_id") if c in weights.columns]
+    met = placed.join(broadcast_if_small(weights, BROADCAST_ROWS), on)
+    return met.groupBy(*keep).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
 def score_sections(
     index: TextIndex,
     phrases: DataFrame,
@@ -154,29 +257,54 @@ def score_sections(
     cover all sections even so. A word given twice counts twice.
     """
     hits = stage(phrase_hits(index, phrases), "hits")
-    spread = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_with"))
-    n_rows, mean_length = F.lit(index.n_sections), F.lit(float(index.mean_terms))
+    _, placed, weights = _weights(index, hits, phrases, asked_in, scope_books)
+    found = _summed(placed, weights)
+    return found.select("query_id", "section_id", "pdf_id", F.round(-F.col("score"), SCORE_DIGITS).alias("fts_rank"))
 
-    asked = phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    on = ["phrase"]
-    placed = hits
-    if asked_in is not None:
-        asked = asked.join(asked_in.select("query_id", "scope_id"), "query_id")
-        on = ["phrase", "scope_id"]
-        if scope_books is None:
-            placed = hits.withColumn("scope_id", F.col("pdf_id"))
-        else:
-            placed = hits.join(broadcast_if_small(scope_books.select("scope_id", "pdf_id")), "pdf_id")
-    weights = asked.join(spread, "phrase").select(
-        "query_id", *on, (F.col("times") * inverse_frequency(n_rows, F.col("n_with"))).alias("weight")
+
+def contenders(
+    parts: DataFrame, placed: DataFrame, weights: DataFrame, limit: int = CANDIDATES, first_hits: int = FIRST_HITS
+) -> DataFrame:
+    """(query_id, section_id, pdf_id, score) of every section that may be among a query's best ``limit``.
+
+    MaxScore: the rarest phrases of a query, of some thousand hits together, are scored first. Its
+    limit-th best sum so far is a threshold that the best sections reach in any case. Phrases that
+    even together add less than it cannot bring a section up to it, so sections are sought by the
+    other phrases only; of these, a section goes on if its sum and all that could be added reach the
+    threshold, and only then the common phrases are looked up for it. Scores are whole and exact.
+    """
+    own = [c for c in weights.columns if c in ("query_id", "phrase", "scope_id", "weight")]
+    weights = stage(weights, "weights")
+    by_query = Window.partitionBy("query_id")
+    rarest = by_query.orderBy(F.desc("bound"), "phrase").rowsBetween(Window.unboundedPreceding, 0)
+    first = weights.withColumn("hits", F.sum("n_with").over(rarest)).withColumn("nth", F.row_number().over(by_query.orderBy(F.desc("bound"), "phrase")))
+    early = _summed(placed, first.where((F.col("hits") <= first_hits) | (F.col("nth") == 1)).select(*own))
+    best = top_rows(early, ["query_id"], [F.desc("score"), F.col("section_id")], limit, "nth")
+    reached = best.where(F.col("nth") == limit).select("query_id", (F.col("score") - MARGIN).alias("threshold"))
+    reached = stage(reached, "thresholds")
+
+    lightest = by_query.orderBy("bound", "phrase").rowsBetween(Window.unboundedPreceding, 0)
+    judged = weights.withColumn("below", F.sum("bound").over(lightest)).join(broadcast_if_small(reached), "query_id", "left")
+    judged = judged.withColumn("common", F.coalesce(F.col("below") < F.col("threshold"), F.lit(False)))
+    judged = stage(judged, "judged")
+    common = judged.where("common").select(*own)
+    rest = judged.groupBy("query_id").agg(
+        F.coalesce(F.sum(F.when(F.col("common"), F.col("bound"))), F.lit(0.0)).alias("rest"), F.max("threshold").alias("threshold")
     )
-    weights = broadcast_if_small(weights, BROADCAST_ROWS)
-    part = F.col("weight") * bm25_part(F.col("f"), F.col("n_terms"), mean_length)
-    return (
-        placed.join(weights, on)
-        .groupBy("query_id", "section_id", "pdf_id")
-        .agg(F.round(-F.sum(part), SCORE_DIGITS).alias("fts_rank"))
+    found = _summed(placed, judged.where("not common").select(*own))
+    hopeful = found.join(broadcast_if_small(rest), "query_id").where(
+        F.col("threshold").isNull() | (F.col("score") + F.col("rest") >= F.col("threshold"))
     )
+    hopeful = stage(hopeful.select("query_id", "section_id", "pdf_id", "score"), "hopeful")
+    if not common.head(1):
+        return hopeful
+    pairs = hopeful.join(broadcast_if_small(common), "query_id").select("query_id", "section_id", "phrase", "weight")
+    added = (
+        parts.select("section_id", "phrase", "part").join(pairs, ["section_id", "phrase"])
+        .groupBy("query_id", "section_id").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
+    )
+    total = F.col("score") + F.coalesce("more", F.lit(0.0))
+    return hopeful.join(added, ["query_id", "section_id"], "left").select("query_id", "section_id", "pdf_id", total.alias("score"))
 
 
 def best_sections(
@@ -186,6 +314,12 @@ def best_sections(
     scope_books: DataFrame | None = None,
     limit: int = CANDIDATES,
 ) -> DataFrame:
-    """Best sections of each query with ``fts_pos`` counted from 1; ties go to the lower id."""
-    scored = score_sections(index, phrases, asked_in, scope_books)
+    """Best sections of each query with ``fts_pos`` counted from 1; ties go to the lower id.
+
+    Arguments as for ``score_sections``; only sections that may be among the best are scored.
+    """
+    hits = stage(phrase_hits(index, phrases), "hits")
+    scored = contenders(*_weights(index, hits, phrases, asked_in, scope_books), limit).select(
+        "query_id", "section_id", "pdf_id", F.round(-F.col("score"), SCORE_DIGITS).alias("fts_rank")
+    )
     return top_rows(scored, ["query_id"], [F.col("fts_rank"), F.col("section_id")], limit, "fts_pos")

@@ -406,7 +406,7 @@ def index_build(spark, folder):
     return (
         built["sections"]
         .select("section_id", F.md5("plain_text").alias("digest"))
-        .join(built["terms"].select("section_id", "n_terms"), "section_id")
+        .join(built["index"].cells.select("section_id", "n_terms"), "section_id")
         .join(cells, "section_id", "left")
         .withColumn("n_buckets", F.coalesce("n_buckets", F.lit(0)).cast("bigint"))
     )

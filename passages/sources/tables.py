@@ -19,14 +19,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, key: str | None = None, parts: str | None = None) -> DataFrame:
     """Write a step's result to the shared folder and go on from the written table.
 
     It cuts the lineage, survives lost executors, and gives the next step real sizes to plan with.
     The table is removed when the driver ends. With ``key``, a result written in few pieces is spread over the cores again.
+    With ``parts``, each value of that column has a folder of its own, so that others need not be read.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=parts)
     drop_at_end(df.sparkSession, path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     return spread(written, key) if key else written

@@ -11,7 +11,7 @@ from passages.operators import concepts, embedding, fulltext, hits
 from passages.operators.ordering import dense_position, int_chunk, next_in_group
 from passages.plans import search
 from passages.queries import bindings
-from passages.sources.tables import read_table, usable_features
+from passages.sources.tables import read_table, stage, usable_features
 
 SECTIONS = [
     ("s1", "core", "Combat Rules", 1, 2, "A wild attack in combat adds two. Combat is deadly."),
@@ -73,6 +73,69 @@ def test_bm25_like_sqlite_on_documents(spark):
     assert all(got[k] == pytest.approx(v, abs=1e-8) for k, v in wanted.items())
 
 
+def corpus(spark, rng, n_sections, n_words=60):
+    """Sections of words whose frequency falls with their number, so that some are everywhere and some nowhere else."""
+    words = [f"w{i:03d}" for i in range(n_words)]
+    shares = 1 / np.arange(1, n_words + 1)
+    rows = []
+    for i in range(n_sections):
+        text = rng.choice(words, size=rng.integers(1, 60), p=shares / shares.sum())
+        rows.append((f"s{i:04d}", f"b{i % 5}", str(text[0]), 1, 1, " ".join(text)))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("limit, first_hits", [(3, 10), (10, 10_000), (10, 1), (500, 10)])
+def test_best_sections_are_those_of_all_scores(spark, limit, first_hits, monkeypatch):
+    """Pruned search equals the full scores, cut at the limit, for all scopes."""
+    rng = np.random.default_rng(limit)
+    index = fulltext.build_text_index(corpus(spark, rng, 300))
+    asked = [" ".join(rng.choice([f"w{i:03d}" for i in range(60)] + ["w", "w0", "w01", "none"], size=rng.integers(1, 12))) for _ in range(25)]
+    asked += ["w000", "w059", "w000 w059 w000", "w-059"]
+    phrases = stage(fulltext.query_phrases(ask(spark, *asked)), "phrases")
+    one = ask(spark, *asked).select("query_id", F.concat(F.lit("g"), F.pmod("query_id", F.lit(2))).alias("scope_id"))
+    books = spark.createDataFrame([("g0", "b0"), ("g0", "b1"), ("g1", "b1"), ("g1", "b4")], "scope_id string, pdf_id string")
+    monkeypatch.setattr(fulltext.contenders, "__defaults__", (limit, first_hits))
+    for scopes in ((None, None), (one, books), (one.select("query_id", F.concat(F.lit("b"), F.pmod("query_id", F.lit(5))).alias("scope_id")), None)):
+        full = fulltext.score_sections(index, phrases, *scopes).collect()
+        want = {}
+        for r in sorted(full, key=lambda r: (r.fts_rank, r.section_id)):
+            want.setdefault(r.query_id, []).append((r.section_id, r.fts_rank))
+        got = {}
+        for r in sorted(fulltext.best_sections(index, phrases, *scopes, limit).collect(), key=lambda r: r.fts_pos):
+            got.setdefault(r.query_id, []).append((r.section_id, r.fts_rank))
+        assert got == {q: rows[:limit] for q, rows in want.items()}
+
+
+def test_few_sections_are_scored_whole(spark):
+    """Sections that only hold words found everywhere are not scored when rare words decide."""
+    rng = np.random.default_rng(9)
+    index = fulltext.build_text_index(corpus(spark, rng, 1_000))
+    asked = [f"w000 w001 w002 w{i:03d}" for i in range(40, 60)]
+    phrases = stage(fulltext.query_phrases(ask(spark, *asked)), "phrases")
+    hits = stage(fulltext.phrase_hits(index, phrases), "hits")
+    scored = fulltext.contenders(*fulltext._weights(index, hits, phrases, None, None), 5, 500).count()
+    met = fulltext.score_sections(index, phrases).count()
+    assert met > 15_000 and scored < met / 10
+
+
+def test_search_reads_the_ranges_of_its_terms(spark, sections):
+    rng = np.random.default_rng(4)
+    index = fulltext.build_text_index(corpus(spark, rng, 400), 8)
+    assert len(index.ranges) > 2
+    few = spark.createDataFrame([("w059",)], "term string")
+    read = fulltext.asked_postings(index, few)
+    plan = read._jdf.queryExecution().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [" in scan and "part" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(term,w059)" in scan
+    every = fulltext.asked_postings(index, index.vocabulary)
+    assert read.select("part").distinct().count() < every.select("part").distinct().count() == len(index.ranges)
+    assert read.count() == index.postings.where("term = 'w059'").count()
+    assert fulltext.asked_postings(index, few.limit(0)).count() == 0
+    hot = index.postings.groupBy("term").agg(F.countDistinct("part").alias("n")).where("n > 1").count()
+    assert hot, "a frequent term lies in several ranges"
+
+
 def hybrid(spark, sections, texts, rewrites=None, limit=10, glossary=(), citations=()):
     asked = ask(spark, *texts).withColumn("game_id", F.lit("g"))
     attached = spark.createDataFrame([("g", "core", "Core", 0)], "game_id string, pdf_id string, pdf_title string, sort_order int")
