@@ -79,18 +79,26 @@ def check_sections(sections: DataFrame, books: DataFrame) -> DataFrame:
     )
 
 
-def replace_sections(stored: DataFrame, offered: DataFrame, books: DataFrame) -> DataFrame:
-    """All sections after a save: an accepted list replaces the book's rows, a rejected one does not.
+def accepted_sections(offered: DataFrame, books: DataFrame) -> DataFrame:
+    """(pdf_id, sort_order, title, start_page, end_page) of the lists without a fault.
 
-    ``stored`` is (pdf_id, sort_order, title, start_page, end_page), ``offered`` the same with
-    ``pos`` for ``sort_order``. Lists for unknown books are rejected.
+    ``offered`` has ``pos`` for ``sort_order``. Lists for unknown books are rejected.
     """
     known = offered.join(books.select("pdf_id"), "pdf_id", "left_semi")
     accepted = check_sections(known, books).where(~F.col("rejected"))
     numbered = dense_position(accepted, ["pdf_id"], {"_piece": int_chunk("pos")}, ["pos"], "sort_order")
-    fresh = numbered.select(
+    return numbered.select(
         "pdf_id", "sort_order", trim_ws(F.col("title")).alias("title"), "start_page", "end_page"
     )
+
+
+def replace_sections(stored: DataFrame, offered: DataFrame, books: DataFrame) -> DataFrame:
+    """All sections after a save: an accepted list replaces the book's rows, a rejected one does not.
+
+    ``stored`` is as ``accepted_sections`` gives it. Where the table is kept as a ``SavedTable``,
+    saving the accepted rows does the same without reading other books.
+    """
+    fresh = accepted_sections(offered, books)
     kept = stored.join(fresh.select("pdf_id").distinct(), "pdf_id", "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh)
 

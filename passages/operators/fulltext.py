@@ -104,15 +104,16 @@ def term_places(title_terms: Column, body_terms: Column) -> Column:
     return let(placed, grouped)
 
 
-def section_entries(sections: DataFrame) -> DataFrame:
+def section_entries(sections: DataFrame, *also: str) -> DataFrame:
     """Everything the index holds of a section, in one row: section_id, pdf_id, n_terms, entries, cells, penalty.
 
-    A text is read once; nothing is shuffled.
+    ``also`` names columns to keep beside. A text is read once; nothing is shuffled.
     """
     content = F.concat_ws("\n", "title", "plain_text")
+    kept = {c: F.col(c) for c in also}
     return section_terms(
-        sections, cells=vector_cells(content), penalty=table_penalty(F.col("plain_text"))
-    ).select(*_SECTION, term_places(F.col("title_terms"), F.col("body_terms")).alias("entries"), "cells", "penalty")
+        sections, **kept, cells=vector_cells(content), penalty=table_penalty(F.col("plain_text"))
+    ).select(*_SECTION, *also, term_places(F.col("title_terms"), F.col("body_terms")).alias("entries"), "cells", "penalty")
 
 
 def posting_rows(entries: DataFrame) -> DataFrame:

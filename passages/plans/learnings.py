@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.functions.text import trim_ws, truncate_words
-from passages.operators.replies import generate, parse_replies
+from passages.operators.hits import attach_section_ids
+from passages.operators.ordering import first_by
+from passages.operators.replies import generate, parse_replies, reply_citations
 from passages.operators.vocabulary import (
     TOP_WORDS, feature_candidates, frequent_words, section_samples, unique_words, word_counts,
 )
 from passages.plans.search import TOOL_RESULTS
+from passages.session import broadcast_if_small
+from passages.sources.saved import exists
 from passages.sources.tables import stage
 
 EXCERPT_WORDS = 800
@@ -141,6 +147,107 @@ def learn_features(
     return stage(kept.select("pdf_id", "feature_id").unionByName(known.select("pdf_id", "feature_id")), "features")
 
 
+def ask_open(
+    facts: DataFrame, wording: Column, keys: list[str], reply: Callable[[str], str], kind: str,
+    manifest: str, batch: int = 1_000,
+) -> DataFrame:
+    """(keys…, parsed): fitting answers to one pass, of which the folder ``manifest`` keeps account.
+
+    Jobs are asked in batches by a hash of their keys, and each batch is written to the manifest before
+    the next one starts. What it holds an answer for is never asked again, so a run that broke off is
+    finished by the next one; calls that failed, and replies that don't fit, are asked again then.
+    """
+    spark = facts.sparkSession
+    kinds = ", ".join(f"`{k}` {facts.schema[k].dataType.simpleString()}" for k in keys)
+    path, schema = f"{manifest}/{kind}", f"{kinds}, parsed string, reason string, batch string"
+
+    def answered() -> DataFrame:
+        if not exists(spark, path):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(path).where("reason is null")
+
+    left = facts.select(*keys, wording.alias("prompt")).join(answered().select(*keys), keys, "left_anti")
+    left = stage(left, f"open-{kind}")
+    batches = -(-left.count() // batch)
+    for i in range(batches):
+        part = left.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == i)
+        raw = generate(part, keys, reply).withColumn("pass", F.lit(kind))
+        read = parse_replies(raw).withColumn("reason", F.coalesce("error", "reason"))
+        read.select(*keys, "parsed", "reason").write.parquet(f"{path}/batch={uuid.uuid4().hex}")
+    return answered().select(*keys, "parsed").dropDuplicates(keys)
+
+
+class Cheatsheet(NamedTuple):
+    """entries: pdf_id, feature_id, definition, origin (stored, model, catalogue)
+    citations: pdf_id, feature_id, pos, section_id, section_title, start_page, end_page
+    left: pdf_id, feature_id of jobs without an entry: the model failed, or nobody could say anything
+    """
+
+    entries: DataFrame
+    citations: DataFrame
+    left: DataFrame
+
+
+def learn_cheatsheet(
+    jobs: DataFrame,
+    facts: DataFrame,
+    stored: DataFrame,
+    stored_citations: DataFrame,
+    features: DataFrame,
+    sections: DataFrame,
+    wording: Column,
+    reply: Callable[[str], str],
+    manifest: str,
+    batch: int = 1_000,
+) -> Cheatsheet:
+    """Cheatsheets after a pass over ``jobs`` (pdf_id, feature_id), which a later run can take up: see ``ask_open``.
+
+    ``facts`` are those of ``cheatsheet_facts``. A job without hits, or whose reply has no definition,
+    gets the catalogue's description; a reply may name another feature of the catalogue, else its own is
+    meant. Citations without a section id get that of the book's section of their title. New entries
+    replace stored ones of their book and feature, with their citations; jobs that failed keep what there was.
+    """
+    both = ["pdf_id", "feature_id"]
+    jobs = stage(jobs.select(*both).distinct().join(features.select("feature_id"), "feature_id", "left_semi").select(*both), "jobs")
+    told = stage(facts.join(jobs, both, "left_semi"), "job-facts")
+    read = stage(ask_open(told, wording, both, reply, "cheatsheet", manifest, batch), "answers")
+    key = F.struct(*both).alias("job")
+    cells = reply_citations(read.select(key, "parsed"), "job", "parsed").withColumnRenamed("feature_id", "_said")
+    said = F.coalesce(F.nullif(trim_ws(F.col("_said")), F.lit("")), F.col("job.feature_id"))
+    cells = stage(cells.withColumn("said", said), "answer-cells")
+    known = broadcast_if_small(features.select(F.col("feature_id").alias("said"), trim_ws(F.col("description")).alias("_told")))
+    heads = cells.groupBy("job").agg(F.min("said").alias("said"), trim_ws(F.coalesce(F.min("definition"), F.lit(""))).alias("_own"))
+    heads = heads.join(known.select("said"), "said", "left_semi")
+    own = broadcast_if_small(features.select("feature_id", trim_ws(F.col("description")).alias("_told")))
+    silent = jobs.join(told.select(*both), both, "left_anti").select(key, F.col("feature_id").alias("said"), F.lit("").alias("_own"))
+    # Without a definition an entry is the catalogue's, under the feature that was asked.
+    written = heads.unionByName(silent.select("said", "job", "_own")).select(
+        "job", "_own", F.when(F.col("_own") != "", F.col("said")).otherwise(F.col("job.feature_id")).alias("feature_id")
+    ).join(own, "feature_id", "left")
+    text = F.when(F.col("_own") != "", F.col("_own")).otherwise(F.coalesce("_told", F.lit("")))
+    origin = F.when(F.col("_own") != "", F.lit("model")).otherwise(F.lit("catalogue"))
+    made = written.select("job", F.col("job.pdf_id").alias("pdf_id"), "feature_id", text.alias("definition"), origin.alias("origin"))
+    # Of two jobs that name one feature, its own job's entry stays.
+    rank = F.struct(F.col("job.feature_id") != F.col("feature_id"), "job")
+    fresh = stage(first_by(made.where("definition <> ''"), both, rank), "fresh-entries")
+
+    cited = cells.where("pos is not null").join(fresh.select("job", *both), "job").withColumn("_pos", F.struct("pos", "section_id"))
+    cited = cited.select(
+        *both, "_pos", F.col("section_id").cast("string").alias("section_id"), "section_title", "start_page", "end_page"
+    )
+    cited = attach_section_ids(cited, sections.withColumn("section_id", F.col("section_id").cast("string")))
+    numbered = cited.withColumn("pos", F.row_number().over(Window.partitionBy(*both).orderBy("_pos")) - 1).drop("_pos")
+    columns = ["pos", "section_id", "section_title", "start_page", "end_page"]
+    kept = stored.join(fresh.select(*both), both, "left_anti").select(*both, "definition", F.lit("stored").alias("origin"))
+    kept_cited = stored_citations.join(fresh.select(*both), both, "left_anti")
+    casts = {"pos": F.col("pos").cast("int"), "section_id": F.col("section_id").cast("string"),
+             "start_page": F.col("start_page").cast("bigint"), "end_page": F.col("end_page").cast("bigint")}
+    citations = kept_cited.withColumns(casts).select(*both, *columns).unionByName(numbered.withColumns(casts).select(*both, *columns))
+    entries = kept.unionByName(fresh.select(*both, "definition", "origin"))
+    left = jobs.join(fresh.select(*both).union(fresh.select("job.pdf_id", "job.feature_id")), both, "left_anti")
+    return Cheatsheet(stage(entries, "cheatsheet"), stage(citations, "citations"), left)
+
+
 def rebuild_plan(
     requests: DataFrame, books: DataFrame, detected: DataFrame, cheatsheet: DataFrame
 ) -> DataFrame:

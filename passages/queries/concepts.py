@@ -12,7 +12,8 @@ from passages.queries.bindings import (
 )
 from passages.queries.registry import query
 from passages.queries.search import GLOSSARY_SCOPED_SQL, game_glossary, match_sql
-from passages.sources.tables import read_table, stage, synonym_rows, usable_features
+from passages.sources.saved import read_word_tables, write_word_tables
+from passages.sources.tables import new_folder, read_table, stage, synonym_rows, usable_features
 
 STOP_SQL = ", ".join(f"'{w}'" for w in vocabulary.STOPWORDS)
 
@@ -42,6 +43,14 @@ def word_frequency(spark, folder):
     return vocabulary.frequent_words(counts(spark, folder), synonym_rows(b.catalogue(spark)))
 
 
+@query("word_tables_tsv", with_sql(SECTIONS_SQL, SYNONYMS_SQL, COUNTS_SQL, FREQUENT_SQL) + "SELECT pdf_id, word, n AS count FROM frequent")
+def word_tables_tsv(spark, folder):
+    """Every book's word table written as tab-separated text and read back."""
+    path = new_folder(spark, "word-tables")
+    write_word_tables(vocabulary.frequent_words(counts(spark, folder), synonym_rows(b.catalogue(spark))), path)
+    return read_word_tables(spark, path)
+
+
 @query("unique_tokens", with_sql(SECTIONS_SQL, SYNONYMS_SQL, COUNTS_SQL)
        + "SELECT pdf_id, count(*) AS unique_tokens FROM counts GROUP BY ALL")
 def unique_tokens(spark, folder):

@@ -12,9 +12,10 @@ from passages.queries import bindings as b
 from passages.queries.bindings import (
     PAGES_SQL, SECTIONS_SQL, collapse_sql, embed_words_sql, fields_sql, fnv_sql, terms_sql, trim_sql, with_sql,
 )
-from passages.queries.registry import query
+from passages.queries.registry import ORACLES, query
 from passages.queries.texts import normalize_sql
-from passages.sources.tables import read_table, stage
+from passages.sources.saved import SavedTable
+from passages.sources.tables import new_folder, read_table, stage
 
 PAGE_COUNT = 50
 
@@ -163,6 +164,20 @@ def toc_replace(spark, folder):
     return contents.replace_sections(stored, offered_lists(spark, folder), order_books(spark, folder))
 
 
+@query("toc_saved", ORACLES["toc_replace"])
+def toc_saved(spark, folder):
+    """The same save into a table kept by books: only the folders of the books that change are written."""
+    one = F.lit(1).cast("int")
+    stored = read_table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("pdf_id"), F.lit(0).cast("bigint").alias("sort_order"),
+        F.col("c_name").alias("title"), one.alias("start_page"), one.alias("end_page"),
+    )
+    saved = SavedTable(new_folder(spark, "saved-sections"), "pdf_id")
+    saved.create(stored)
+    saved.save(contents.accepted_sections(offered_lists(spark, folder), order_books(spark, folder)))
+    return saved.read(spark, "pdf_id bigint, sort_order bigint, title string, start_page int, end_page int")
+
+
 @query("validate_library", """SELECT 'game' AS kind, c_custkey AS id,
 CASE WHEN trim(name) = '' THEN 'name is required'
      WHEN strlen(trim(name)) > 120 THEN 'name must be at most 120 characters' END AS fault

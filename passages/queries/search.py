@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passages.functions.ranking import (
     TITLE_STOPWORDS, is_tabular, table_penalty, text_lines, title_boost,
 )
-from passages.functions.text import embed_words, snippet
+from passages.functions.text import embed_words, fields, snippet
 from passages.functions.vectors import cosine, fnv1a
 from passages.operators import embedding
 from passages.operators.concepts import definition_queries, expand_queries, matched_features
@@ -449,6 +449,48 @@ def hybrid_embedded(spark, folder):
     return rounded_hits(hybrid_hits(spark, folder, embed=embed))
 
 
+# A stand-in for a rewriter: the first words of the next question, a blank reply to every fourth, none to the last.
+def _unquoted_list(expr: str) -> str:
+    return (
+        f"list_filter(list_transform({fields_sql(expr)}, "
+        """lambda w: regexp_replace(w, '^["'']+|["'']+\\z', '', 'g')), lambda w: w <> '')"""
+    )
+
+
+_both_words = f"list_concat({_unquoted_list('query_text')}, {_unquoted_list('keywords')})"
+REWRITTEN_SQL = f"""replies AS (
+SELECT g.query_id, CASE WHEN n.item_id % 4 <> 0 THEN array_to_string(list_slice({fields_sql('n.text')}, 1, 3), ' ') ELSE '' END AS keywords
+FROM game_questions g JOIN benchmark n ON n.item_id = CAST(split_part(g.query_id, '/', 2) AS BIGINT) + 1),
+asked AS (
+SELECT query_id, game_id, query_text, CASE WHEN coalesce(keywords, '') = '' THEN query_text ELSE
+array_to_string(list_filter(words, lambda w, i: list_position(list_transform(words, lambda x: lower(x)), lower(w)) = i), ' ') END AS rewritten
+FROM (SELECT g.query_id, game_id, {trim_sql('query_text')} AS query_text, keywords, {_both_words} AS words
+      FROM game_questions g LEFT JOIN replies r USING (query_id)))"""
+HYBRID_REWRITTEN_SQL = (
+    HYBRID_SQL.replace(SCOPED_QUESTIONS_SQL, REWRITTEN_SQL)
+    .replace("query_text || ' ' || query_text AS both_text", "query_text || ' ' || rewritten AS both_text")
+    .replace(
+        expand_sql("asked", "scoped_glossary", "g.game_id = q.game_id"),
+        expand_sql("asked", "scoped_glossary", "g.game_id = q.game_id").replace("query_text", "rewritten"),
+    )
+    .replace("e.fts_text <> e.query_text AS query_rewritten", "(e.rewritten <> e.query_text OR e.fts_text <> e.rewritten) AS query_rewritten")
+)
+
+
+@query("hybrid_rewritten", HYBRID_REWRITTEN_SQL + HITS_OUT)
+def hybrid_rewritten(spark, folder):
+    """Search with a rewriter's replies merged into the questions."""
+    following = read_table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("next_id"), F.array_join(F.slice(fields(F.col("text")), 1, 3), ", ").alias("words")
+    )
+    asked = b.game_questions(spark, folder).select("query_id")
+    numbered = asked.withColumn("next_id", F.split("query_id", "/")[1].cast("bigint") + 1)
+    reply = F.concat(F.lit('"'), F.col("words"), F.lit('"\nand more'))
+    raw = F.when(F.col("next_id") % 4 != 0, reply).otherwise(F.lit(' ""'))
+    rewrites = numbered.join(following, "next_id").select("query_id", raw.alias("raw"))
+    return rounded_hits(hybrid_hits(spark, folder, rewrites=rewrites))
+
+
 @query("expand_query", with_sql(
     SECTIONS_SQL, ATTACHED_SQL, GAME_QUESTIONS_SQL, CITED_SQL, SYNONYMS_SQL, GLOSSARY_SCOPED_SQL,
     match_sql("game_questions", "query_text", "widened", "scoped_glossary", "AND g.game_id = q.game_id"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passages.functions.status import is_active, progress_percent
+from passages.operators.fulltext import best_sections, query_phrases
 from passages.operators.library import game_states
+from passages.queries import bindings as b
 from passages.queries.bindings import SECTIONS_SQL, count_words_sql, terms_sql, with_sql
 from passages.queries.books import COMMANDS_SQL, STATES_SQL, game_commands
-from passages.queries.registry import query
+from passages.queries.registry import ORACLES, query
 from passages.queries.search import weights_sql
 from passages.queries.texts import PERCENT_SQL, PROGRESS_SQL, progress
 from passages.streaming import jobs
@@ -31,6 +33,20 @@ def stream_index(spark, folder):
     )
 
 
+@query("stream_search", ORACLES["bm25_rank"])
+def stream_search(spark, folder):
+    """Full-text ranking over the index that the stream of documents has built."""
+    texts = jobs.read_changes(spark, folder, "documents").select(
+        F.col("doc_id").alias("section_id"), F.col("source").alias("pdf_id"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("plain_text"),
+        F.col("doc_id").alias("seq"),
+    )
+    path = jobs.new_log(spark, "index")
+    index = jobs.open_index(jobs.index_sections(texts, path), path)
+    ranked = best_sections(index, query_phrases(b.questions(spark, folder)))
+    return ranked.withColumn("fts_rank", F.round("fts_rank", 6))
+
+
 @query("stream_progress", with_sql(PROGRESS_SQL, """latest AS (
 SELECT *, CAST(CASE WHEN total <= 0 THEN 1 ELSE total END AS DOUBLE) AS whole FROM (
 SELECT *, row_number() OVER (PARTITION BY pdf_id ORDER BY ts DESC, event_id DESC) AS nth FROM progress) WHERE nth = 1)""")

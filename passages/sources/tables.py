@@ -26,13 +26,19 @@ def stage(df: DataFrame, name: str, key: str | None = None, parts: str | None =
     The table is removed when the driver ends. With ``key``, a result written in few pieces is spread over the cores again.
     With ``parts``, each value of that column has a folder of its own, so that others need not be read.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path, partitionBy=parts)
-    drop_at_end(df.sparkSession, path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     return spread(written, key) if key else written
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder in the shared place that is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    return path
+
+
 def drop_at_end(spark: SparkSession, path: str) -> None:
     """Have the file system that holds ``path`` remove it when the driver's session with it ends."""
     jvm = spark.sparkContext._jvm

@@ -8,18 +8,17 @@ with ``compact``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.functions.text import count_words
-from passages.operators.embedding import vector_cells
-from passages.operators.fulltext import with_terms
+from passages.operators.fulltext import TextIndex, posting_rows, section_entries
 from passages.operators.library import game_marks
 from passages.operators.ordering import latest_by
-from passages.session import shared_dir
+from passages.session import broadcast_if_small
+from passages.sources.saved import exists
+from passages.sources.tables import drop_at_end, new_folder, stage
 
 
 def read_changes(spark, folder: str, table: str) -> DataFrame:
@@ -33,8 +32,11 @@ def read_changes(spark, folder: str, table: str) -> DataFrame:
     )
 
 
-def run_to_log(changes: DataFrame, log: str, mode: str = "append", prepare=None) -> DataFrame:
-    """Run a stream over what is there now and return its change log, with ``batch_id``."""
+def run_to_log(changes: DataFrame, log: str, mode: str = "append", prepare=None, also=None) -> DataFrame:
+    """Run a stream over what is there now and return its change log, with ``batch_id``.
+
+    ``prepare`` makes a batch's rows; ``also`` is given the rows as written, and the batch's number.
+    """
     spark = changes.sparkSession
     shape = None
 
@@ -43,6 +45,8 @@ def run_to_log(changes: DataFrame, log: str, mode: str = "append", prepare=None)
         rows = prepare(batch) if prepare else batch
         shape = rows.schema
         rows.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        if also:
+            also(spark.read.schema(shape).parquet(f"{log}/batch_id={batch_id}"), batch_id)
 
     stream = (
         changes.writeStream.outputMode(mode)
@@ -64,7 +68,11 @@ def _empty(changes: DataFrame) -> DataFrame:
 
 
 def new_log(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Folder for a log that is removed, with its checkpoint and segments, when the driver ends."""
+    path = new_folder(spark, name)
+    for part in ("checkpoint", "postings", "vocabulary"):
+        drop_at_end(spark, f"{path}-{part}")
+    return path
 
 
 def current(log: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
@@ -80,23 +88,79 @@ def compact(log: DataFrame, keys: list[str], path: str) -> None:
 def index_sections(texts: DataFrame, log: str) -> DataFrame:
     """Index arriving section texts (section_id, pdf_id, title, plain_text, seq); the last by seq wins.
 
-    Each batch is reduced to the last text per section and written with its terms, word count and
-    vector cells. What of it holds now, whatever batch it came in, is read with ``current_index``.
+    Each batch is a segment of the index: the last text per section with its word count and vector
+    cells in the log itself, and beside it the batch's postings, sorted by term, and its vocabulary.
+    What holds now, whatever batch it came in, is read with ``current_index`` and searched with
+    ``open_index``. A replayed batch overwrites its own segment.
     """
 
     def prepare(batch: DataFrame) -> DataFrame:
         last = latest_by(batch, ["section_id"], F.col("seq"))
-        content = F.concat_ws("\n\n", "title", "plain_text")
-        last = last.withColumn("vector", vector_cells(content))
         words = last.withColumn("n_words", F.size(count_words(F.col("plain_text"))))
-        return with_terms(words)
+        held = section_entries(words, "seq", "n_words")
+        return held.withColumn("vector", F.col("cells")).drop("cells")
+
+    def segment(rows: DataFrame, batch_id: int) -> None:
+        _write_segment(rows, log, batch_id)
+
+    return run_to_log(texts, log, prepare=prepare, also=segment)
 
-    return run_to_log(texts, log, prepare=prepare)
+
+def _write_segment(rows: DataFrame, log: str, batch_id: int) -> None:
+    postings = posting_rows(rows).repartitionByRange("term", "section_id").sortWithinPartitions("term", "section_id")
+    postings.write.mode("overwrite").parquet(f"{log}-postings/batch_id={batch_id}")
+    terms = rows.select(F.explode(F.transform("entries", lambda e: e["term"])).alias("term")).distinct()
+    terms.write.mode("overwrite").parquet(f"{log}-vocabulary/batch_id={batch_id}")
 
 
 def current_index(log: DataFrame) -> DataFrame:
-    """Latest text of each section: the highest seq, the later batch among equals. Search can read its terms."""
-    return current(log, ["section_id"], F.struct("seq", "batch_id"))
+    """Latest state of each section: the highest seq, the later batch among equals."""
+    newest = _newest(log)
+    return log.join(newest, ["section_id", "batch_id"]).drop("batch_id", "entries")
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    """(section_id, batch_id) of the segment that holds each section's present state; texts don't move."""
+    return log.groupBy("section_id").agg(F.max_by("batch_id", F.struct("seq", "batch_id")).alias("batch_id"))
+
+
+def open_index(log: DataFrame, path: str) -> TextIndex:
+    """The segments of the log in folder ``path`` as one index to search.
+
+    Rows of sections that a newer segment holds are hidden by their (section, segment); there are as
+    many as texts were replaced, until ``compact_index`` folds the segments. Sizes and counts are
+    those of the present texts. The vocabulary may hold words of hidden rows, which find nothing.
+    """
+    spark = log.sparkSession
+    newest = stage(_newest(log), "newest")
+    hidden = stage(log.select("section_id", "batch_id").join(newest, ["section_id", "batch_id"], "left_anti"), "hidden")
+    postings = _read_parts(spark, f"{path}-postings", posting_rows(log).schema)
+    postings = postings.join(broadcast_if_small(hidden), ["section_id", "batch_id"], "left_anti").drop("batch_id")
+    vocabulary = _read_parts(spark, f"{path}-vocabulary", T.StructType([T.StructField("term", T.StringType())]))
+    live = log.join(newest, ["section_id", "batch_id"])
+    size = live.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean")).first()
+    cells = live.select("section_id", "n_terms", F.col("vector").alias("cells"), "penalty")
+    return TextIndex(
+        postings, stage(vocabulary.select("term").distinct(), "vocabulary"), stage(cells, "cells"), size["n"], size["mean"] or 0.0
+    )
+
+
+def _read_parts(spark, path: str, schema: T.StructType) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
+
+
+def compact_index(log: DataFrame, path: str) -> None:
+    """Write the present state as the one segment of a new log in folder ``path``."""
+    live = stage(log.join(_newest(log), ["section_id", "batch_id"]).drop("batch_id"), "live")
+    live.write.mode("overwrite").parquet(f"{path}/batch_id=0")
+    _write_segment(live, path, 0)
+
+
+def read_log(spark, path: str, like: DataFrame) -> DataFrame:
+    """A log from its folder, with the columns of ``like``."""
+    return spark.read.schema(like.schema).parquet(path)
 
 
 def progress_log(progress: DataFrame, log: str) -> DataFrame:
