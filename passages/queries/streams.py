@@ -72,14 +72,15 @@ def stream_running(spark, folder):
 @query("stream_session", """SELECT user_id AS conv_id, event_type AS section_id, min(event_id) AS prio FROM events GROUP BY ALL""")
 def stream_session(spark, folder):
     found = jobs.read_changes(spark, folder, "events").select(
-        F.col("user_id").alias("conv_id"), F.col("event_type").alias("section_id"), F.col("event_id").alias("prio")
-    )
-    log = jobs.session_log(found, jobs.new_log(spark, "session"))
-    return jobs.current(log, ["conv_id", "section_id"])
+        F.col("user_id").alias("conv_id"), F.col("event_type").alias("section_id"), F.col("event_id").alias("prio"),
+        F.col("ts").alias("at"),
+    )
+    log = jobs.session_log(jobs.new_finds(found), jobs.new_log(spark, "session"))
+    return jobs.current(log, ["conv_id", "section_id"], -F.col("prio"))
 
 
 @query("stream_messages", "SELECT conv_id, arg_max(text, turn) AS message FROM conversations WHERE role = 'user' GROUP BY ALL")
 def stream_messages(spark, folder):
     turns = jobs.read_changes(spark, folder, "conversations")
     log = jobs.message_log(turns, jobs.new_log(spark, "messages"))
-    return jobs.current(log, ["conv_id"])
+    return jobs.current(log, ["conv_id"], F.col("turn")).select("conv_id", "message")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passages.functions.text import count_words
+from passages.functions.text import count_words, is_blank
 from passages.operators.fulltext import TextIndex, posting_rows, section_entries
 from passages.operators.library import game_marks
 from passages.operators.ordering import latest_by
@@ -88,8 +88,8 @@ def compact(log: DataFrame, keys: list[str], path: str) -> None:
 def index_sections(texts: DataFrame, log: str) -> DataFrame:
     """Index arriving section texts (section_id, pdf_id, title, plain_text, seq); the last by seq wins.
 
-    Each batch is a segment of the index: the last text per section with its word count and vector
-    cells in the log itself, and beside it the batch's postings, sorted by term, and its vocabulary.
+    Each batch is a segment of the index: the last text per section with its terms, word count and
+    vector cells in the log itself, and beside it the batch's postings, sorted by term, and its vocabulary.
     What holds now, whatever batch it came in, is read with ``current_index`` and searched with
     ``open_index``. A replayed batch overwrites its own segment.
     """
@@ -97,7 +97,7 @@ def index_sections(texts: DataFrame, log: str) -> DataFrame:
     def prepare(batch: DataFrame) -> DataFrame:
         last = latest_by(batch, ["section_id"], F.col("seq"))
         words = last.withColumn("n_words", F.size(count_words(F.col("plain_text"))))
-        held = section_entries(words, "seq", "n_words")
+        held = section_entries(words, "seq", "title", "plain_text", "n_words")
         return held.withColumn("vector", F.col("cells")).drop("cells")
 
     def segment(rows: DataFrame, batch_id: int) -> None:
@@ -178,14 +178,38 @@ def game_log(commands: DataFrame, log: str) -> DataFrame:
     return run_to_log(game_marks(commands), log, "update")
 
 
+def new_finds(found: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Stream of finds (conv_id, section_id, prio, at) without those that were delivered before.
+
+    A find is remembered until the watermark, ``delay`` behind the newest ``at``, has passed it, so
+    the state holds no more than ``delay`` brings. What comes later than that is left out.
+    """
+    seen = ["conv_id", "section_id", "prio"]
+    return found.withWatermark("at", delay).dropDuplicatesWithinWatermark(seen)
+
+
 def session_log(found: DataFrame, log: str) -> DataFrame:
-    """First find of each section per conversation (conv_id, section_id, prio)."""
-    first = found.groupBy("conv_id", "section_id").agg(F.min("prio").alias("prio"))
-    return run_to_log(first, log, "update")
+    """First find of each section per conversation (conv_id, section_id, prio), batch by batch.
+
+    No state is kept between batches: each logs the first finds among its own, and the least ``prio``
+    of the log is the first of all. Read it with ``current(log, keys, -prio)``.
+    """
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("conv_id", "section_id").agg(F.min("prio").alias("prio"))
+
+    return run_to_log(found, log, prepare=prepare)
 
 
 def message_log(turns: DataFrame, log: str) -> DataFrame:
-    """Last user message per conversation."""
-    users = turns.where("role = 'user'")
-    last = users.groupBy("conv_id").agg(F.max_by("text", "turn").alias("message"))
-    return run_to_log(last, log, "update")
+    """Last user message per conversation (conv_id, turn, message), batch by batch; blank ones don't count.
+
+    As with ``session_log`` no state is kept; read it with ``current(log, ["conv_id"], turn)``.
+    """
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        last = batch.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("m"))
+        return last.select("conv_id", "m.turn", F.col("m.text").alias("message"))
+
+    said = turns.where((F.col("role") == "user") & ~is_blank(F.col("text")))
+    return run_to_log(said.select("conv_id", "turn", "text"), log, prepare=prepare)

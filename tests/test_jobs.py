@@ -1,13 +1,18 @@
 """Contents, assembly, metadata, library, replies and streaming on small fixtures."""
 
+import datetime
 import json
+import random
+import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import replies as text_replies
-from passages.operators import assembly, contents, library, meta, ordering, replies, vocabulary
-from passages.plans import imports
+from passages.operators import assembly, contents, fulltext, hits, library, meta, ordering, replies, vocabulary
+from passages.plans import imports, learnings
+from passages.sources.saved import SavedTable, read_word_tables, write_word_tables
 from passages.streaming import jobs
 
 
@@ -171,3 +176,202 @@ def test_latest_and_first(spark, rows):
     df = frame(spark, [("a", 1, "x"), ("a", 2, None), ("b", 1, "z")], "k string, seq int, v string")
     assert rows(ordering.latest_by(df, ["k"], F.col("seq"))) == [("a", 2, None), ("b", 1, "z")]
     assert rows(ordering.first_by(df, ["k"], F.col("seq"))) == [("a", 1, "x"), ("b", 1, "z")]
+
+
+TEXTS = "section_id int, pdf_id string, title string, plain_text string, seq int"
+
+
+def arrivals(spark, tmp_path):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+
+    def arrive(*given):
+        frame(spark, list(given), TEXTS).coalesce(1).write.mode("append").parquet(source)
+        return jobs.index_sections(spark.readStream.schema(TEXTS).parquet(source), log)
+
+    return arrive, log
+
+
+def scores(index, asked):
+    found = fulltext.score_sections(index, fulltext.query_phrases(asked)).collect()
+    return sorted((r.query_id, r.section_id, r.pdf_id, r.fts_rank) for r in found)
+
+
+def test_live_index_is_the_index_of_what_holds_now(spark, tmp_path):
+    """Three batches, one of them out of seq order, against an index built at once from the latest texts."""
+    arrive, path = arrivals(spark, tmp_path)
+    arrive((1, "a", "Wild Magic", "old words of fire", 5), (2, "a", "Rules", "fire and water", 1), (3, "b", "Gone", "water water", 1))
+    arrive((1, "a", "Late", "a late arrival of fire", 2), (3, "b", "Gone", "stone and wood", 2))
+    log = arrive((4, "b", "New", "wild fire in the wood", 1), (2, "a", "Rules", "fire", 3), (2, "a", "Rules", "no fire", 2))
+    holds = [(1, "a", "Wild Magic", "old words of fire", 5), (2, "a", "Rules", "fire", 3), (3, "b", "Gone", "stone and wood", 2), (4, "b", "New", "wild fire in the wood", 1)]
+    asked = frame(spark, [(0, "fire"), (1, "water"), (2, "wild fi"), (3, "wood stone late"), (4, "wild-fire")], "query_id int, query_text string")
+    want = scores(fulltext.build_text_index(frame(spark, holds, TEXTS)), asked)
+    assert want and scores(jobs.open_index(log, path), asked) == want
+    state = {r.section_id: (r.plain_text, r.seq) for r in jobs.current_index(log).collect()}
+    assert state == {s: (text, seq) for s, _, _, text, seq in holds}
+    folded = str(tmp_path / "folded")
+    jobs.compact_index(log, folded)
+    assert scores(jobs.open_index(jobs.read_log(spark, folded, log), folded), asked) == want
+    # A batch that is written again leaves the same index.
+    segment = spark.read.parquet(f"{path}/batch_id=1")
+    jobs._write_segment(segment, path, 1)
+    assert scores(jobs.open_index(log, path), asked) == want
+
+
+def test_empty_live_index(spark, tmp_path):
+    source = str(tmp_path / "in")
+    frame(spark, [], TEXTS).write.parquet(source)
+    path = str(tmp_path / "log")
+    log = jobs.index_sections(spark.readStream.schema(TEXTS).parquet(source), path)
+    asked = frame(spark, [(0, "fire")], "query_id int, query_text string")
+    assert scores(jobs.open_index(log, path), asked) == []
+
+
+def test_chat_state_ends(spark, tmp_path):
+    """Finds delivered twice count once, late ones are left out, and old ones are forgotten."""
+    schema = "conv_id int, section_id string, prio int, at timestamp"
+    source = str(tmp_path / "in")
+    at = lambda minute: datetime.datetime(2026, 1, 1, 10, minute)
+
+    def arrive(*given):
+        frame(spark, list(given), schema).coalesce(1).write.mode("append").parquet(source)
+        finds = jobs.new_finds(spark.readStream.schema(schema).parquet(source), "5 minutes")
+        stream = finds.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check"))
+        run = stream.outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination()
+        return run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    first = arrive(*[(1, f"s{i}", i, at(0)) for i in range(20)], (1, "s0", 0, at(0)))
+    again = arrive((1, "s1", 1, at(0)), (2, "new", 1, at(1)), (1, "far", 9, at(40)))
+    last = arrive((1, "s2", 2, at(0)), (3, "x", 1, at(41)))
+    assert first == 20 and again < 5 and last < 5
+    got = [(r.conv_id, r.section_id) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted([*[(1, f"s{i}") for i in range(20)], (2, "new"), (1, "far"), (3, "x")])
+
+
+def test_last_message_over_batches(spark, tmp_path, rows):
+    schema = "conv_id int, turn int, role string, text string"
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+
+    def arrive(*given):
+        frame(spark, list(given), schema).coalesce(1).write.mode("append").parquet(source)
+        return jobs.message_log(spark.readStream.schema(schema).parquet(source), log)
+
+    arrive((1, 3, "user", "third"), (1, 4, "assistant", "no"), (2, 1, "user", "one"))
+    found = arrive((1, 1, "user", "first"), (2, 2, "user", " \n"), (3, 1, "system", "x"))
+    assert rows(jobs.current(found, ["conv_id"], F.col("turn")), "conv_id", "message") == [(1, "third"), (2, "one")]
+
+
+def test_saves_touch_their_own_groups_only(spark, tmp_path, rows):
+    saved = SavedTable(str(tmp_path / "saved"), "book", 8)
+    schema = "book string, n bigint, word string"
+    saved.create(frame(spark, [(f"b{i}", n, "old") for i in range(40) for n in range(3)], schema))
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "saved").rglob("*.parquet")}
+    before = files()
+    fresh = frame(spark, [("b1", 0, "new"), ("b1", 1, "new"), ("b99", 0, "new")], schema)
+    for _ in range(2):  # a save that is run again changes nothing
+        saved.save(fresh, frame(spark, [("b2",)], "book string"))
+        got = rows(saved.read(spark, schema))
+        want = [(f"b{i}", n, "old") for i in range(40) for n in range(3) if i not in (1, 2)]
+        assert got == sorted([*want, ("b1", 0, "new"), ("b1", 1, "new"), ("b99", 0, "new")], key=repr)
+    untouched = {f for f in before if f in files()}
+    folders = {f.parent.name for f in before}
+    assert len(folders) == 8 and len({f.parent.name for f in untouched}) >= 5
+    assert all(files()[f] == before[f] for f in untouched)
+    saved.save(frame(spark, [], schema), saved.read(spark, schema).select("book"))
+    assert rows(saved.read(spark, schema)) == []
+    saved.save(fresh)
+    assert len(rows(saved.read(spark, schema))) == 3
+
+
+def test_word_tables_as_text(spark, tmp_path):
+    words = frame(spark, [("a/b", "TRAIT", 3, False), ("a/b", "BENNY", 9, True), ("a/b", "ÄRA", 7, False), ("c", "x2", 1, False)],
+                  "pdf_id string, word string, n bigint, forced boolean")
+    write_word_tables(words, str(tmp_path / "tsv"))
+    texts = {f.parent.name: f.read_text() for f in (tmp_path / "tsv").rglob("*.csv")}
+    assert len(texts) == 2 and "word\tcount\nÄRA\t7\nTRAIT\t3\nBENNY\t9\n" in texts.values()
+    got = {tuple(r) for r in read_word_tables(spark, str(tmp_path / "tsv")).collect()}
+    assert got == {("a/b", "TRAIT", 3), ("a/b", "BENNY", 9), ("a/b", "ÄRA", 7), ("c", "x2", 1)}
+
+
+def cheatsheet_inputs(spark):
+    features = frame(spark, [(f, f.upper(), f" About {f} ", ["q"], ["s"]) for f in ("f", "g", "h")] + [("mute", "M", " ", [], [])],
+                     "feature_id string, name string, description string, questions array<string>, synonyms array<string>")
+    excerpt = "array<struct<rank:int,section_id:string,section_title:string,start_page:int,end_page:int,text:string>>"
+    facts = frame(spark, [(p, f, [(1, "s1", "Combat", 1, 2, "text")]) for p in ("a", "b") for f in ("f", "g", "mute")],
+                  f"pdf_id string, feature_id string, excerpts {excerpt}")
+    jobs_ = frame(spark, [(p, f) for p in ("a", "b") for f in ("f", "g", "h", "mute", "unknown")], "pdf_id string, feature_id string")
+    stored = frame(spark, [("a", "f", "old"), ("a", "x", "kept")], "pdf_id string, feature_id string, definition string")
+    cited = frame(spark, [("a", "f", 0, "s9", "Old", 1, 1), ("a", "x", 0, "s8", "X", 2, 2)],
+                  "pdf_id string, feature_id string, pos int, section_id string, section_title string, start_page int, end_page int")
+    sections = frame(spark, [("s1", "a", " combat", 0), ("s2", "a", "Combat", 3), ("s3", "b", "Magic", 0)],
+                     "section_id string, pdf_id string, title string, sort_order int")
+    return jobs_, facts, stored, cited, features, sections
+
+
+def test_cheatsheet_pass_is_taken_up(spark, tmp_path):
+    """A run that breaks off half-way is finished by the next one, which asks only what is open."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    broken = tmp_path / "broken"
+    broken.touch()
+
+    def reply(prompt):
+        (asked / f"{prompt}-{uuid.uuid4().hex}").touch()
+        book, feature = prompt.split("|")
+        if book == "b" and broken.exists():
+            raise SystemExit("the worker is lost")
+        if prompt == "b|g":
+            raise TimeoutError("no answer")
+        title = "Combat" if book == "a" else "None such"
+        return json.dumps({"feature_id": None, "definition": "" if feature == "mute" else f" {prompt} ", "citations": [{"section_title": title}]})
+
+    def run():
+        return learnings.learn_cheatsheet(
+            *cheatsheet_inputs(spark), F.concat_ws("|", "pdf_id", "feature_id"), reply, str(tmp_path / "manifest"), batch=1
+        )
+
+    counts = lambda: Counter(f.name.rsplit("-", 1)[0] for f in asked.iterdir())
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark makes of a lost worker
+        run()
+    answered = {p.replace("|", "|") for p in counts() if p.startswith("a")}
+    broken.unlink()
+    made = run()
+    assert all(n == 1 for p, n in counts().items() if p in answered)
+    assert {p for p in counts()} == {f"{b}|{f}" for b in "ab" for f in ("f", "g", "mute")}
+    entries = {(r.pdf_id, r.feature_id): (r.definition, r.origin) for r in made.entries.collect()}
+    assert entries == {
+        ("a", "f"): ("a|f", "model"), ("a", "g"): ("a|g", "model"), ("a", "h"): ("About h", "catalogue"), ("a", "x"): ("kept", "stored"),
+        ("b", "f"): ("b|f", "model"), ("b", "h"): ("About h", "catalogue"),
+    }
+    cited = sorted((r.pdf_id, r.feature_id, r.pos, r.section_id, r.section_title) for r in made.citations.collect())
+    assert cited == [("a", "f", 0, "s2", "Combat"), ("a", "g", 0, "s2", "Combat"), ("a", "x", 0, "s8", "X"), ("b", "f", 0, None, "None such")]
+    left = sorted((r.pdf_id, r.feature_id) for r in made.left.collect())
+    assert left == [("a", "mute"), ("b", "g"), ("b", "mute")]
+    before = counts()
+    run()
+    assert {p for p, n in counts().items() if n > before[p]} == {"b|g"}
+
+
+def test_citations_are_cut_before_questions_meet_them(spark):
+    """With a limit the first sections of all are given, and no feature hands on more than the limit."""
+    rng = random.Random(5)
+    features = [f"f{i}" for i in range(4)]
+    cited = [(f"b{b}", f, p, rng.randint(0, 60), "", 0, 0) for b in range(3) for f in features for p in range(30)]
+    citations = frame(spark, cited, "pdf_id string, feature_id string, pos int, section_id int, section_title string, start_page int, end_page int")
+    sections = frame(spark, [(i, f"b{i % 3}", "t", 1, 1, " " if i % 7 == 0 else f"text {i}") for i in range(61)],
+                     "section_id int, pdf_id string, title string, start_page int, end_page int, plain_text string")
+    sheet = frame(spark, [(f"b{b}", f, "d" if (b, f) != (1, "f2") else "") for b in range(3) for f in features], "pdf_id string, feature_id string, definition string")
+    attached = frame(spark, [("g", "b2", 0), ("g", "b0", 1), ("h", "b1", 0)], "game_id string, pdf_id string, sort_order int")
+    asked = frame(spark, [(i, "gh"[i % 2]) for i in range(12)], "query_id int, game_id string")
+    matched = frame(spark, [(i, features[i % 4]) for i in range(9)] + [(3, "f0")], "query_id int, feature_id string")
+    given = (asked, matched, sheet, citations, sections, attached)
+    want = {}
+    whole = hits.citation_hits(*given).collect()
+    for r in sorted(whole, key=lambda r: (r.pdf_order, r.feature_id, r.pos, r.section_id)):
+        want.setdefault(r.query_id, []).append((r.section_id, r.feature_id, r.snippet))
+    for limit in (1, 5):
+        got = {}
+        for r in sorted(hits.citation_hits(*given, limit).collect(), key=lambda r: (r.pdf_order, r.feature_id, r.pos, r.section_id)):
+            got.setdefault(r.query_id, []).append((r.section_id, r.feature_id, r.snippet))
+        assert got == {q: rows[:limit] for q, rows in want.items()}
+        assert sum(map(len, got.values())) <= 12 * limit < len(whole)
