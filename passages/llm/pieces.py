@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 MARK = "▁"
 # Characters of text in a block, unless one document has more.
-BLOCK = 3 << 23
+BLOCK = 3 << 22
 # A chunk's ids as 32-bit numbers, and what they decode to if that is not the chunk itself.
 Piece = tuple[bytes, str | None]
 _CHUNK = re.compile(" *[^ ]+| +$")

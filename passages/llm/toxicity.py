@@ -2,8 +2,9 @@
 
 The kernel compares two chunks (words, or letters spaced out into single characters) by the character
 subsequences they share. Gaps are allowed and weigh less the longer they are, so an insult with
-letters put in between is still close to the insult. A sentence is as toxic as its worst chunk; a
-text is judged by its worst chunk and by the next ones, since one chance likeness says less than several.
+letters put in between is still close to the insult. A text is looked at in windows of a fixed number of
+chunks. A window is judged by its worst chunk and by the next two, since one chance likeness says less
+than several, and a text by its worst window, so that no amount of harmless text around an insult hides it.
 
 Training takes sentences labelled as their documents are. In a toxic document only some sentences are
 toxic, so the toxic examples are the chunks that distinct toxic sentences have significantly more
@@ -47,11 +48,13 @@ TOXIC_CHUNKS = 2_000
 LANDMARKS = 96
 # Least share of toxic ones among the sentences of a toxic chunk.
 PURITY = 0.9
-# Next chunks of a text that its score depends on: this many, or one in so many of a long text.
+# Chunks of a window, how far windows are apart, and the next chunks that count beside the worst one.
+WINDOW = 300
+STEP = 150
 LOOKED_AT = 2
-PER_CHUNKS = 150
-# Decisions on chunks that a task remembers.
-REMEMBERED = 500_000
+# Decisions on chunks that a task remembers, and rows of chunks it hands on at once.
+REMEMBERED = 150_000
+HANDED_ON = 50_000
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS + START + END)}
 _OTHER = CODES - 1
@@ -90,6 +93,15 @@ def _pieces(word: str) -> list[str]:
     return [word[i : i + WIDEST] for i in range(0, len(word) - WIDEST // 2, WIDEST // 2)]
 
 
+def _counted(words: dict[str, float]) -> dict[str, float]:
+    """Counts of the pieces of marked words, those of equal pieces added up."""
+    counts: dict[str, float] = {}
+    for word, n in sorted(words.items()):
+        for piece in _pieces(marked(word)):
+            counts[piece] = counts.get(piece, 0.0) + n
+    return counts
+
+
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, codes) of the words of each length that has subsequences, some thousand at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -156,12 +168,17 @@ def features(word: str) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """weights of subsequences and bias decide on a chunk; slopes and shift turn a text's decisions into a score."""
+    """weights of subsequences and bias decide on a chunk; slopes and shift turn a text's decisions into a score.
+
+    The weights are the sum of the landmarks' features, each times its factor.
+    """
 
     weights: np.ndarray
     bias: float
     slopes: tuple[float, ...] = (1.0, 0.0)
     shift: float = 0.0
+    landmarks: tuple[str, ...] = ()
+    factors: tuple[float, ...] = ()
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -176,9 +193,9 @@ class ToxicityModel:
         return np.maximum.reduceat(values, starts) if len(values) else values
 
     def worst(self, texts: Iterable[str | None]) -> np.ndarray:
-        """(decision of the worst chunk, mean of the next ones) of each text.
+        """(decision of the worst chunk, mean of the next two) of each text's worst window.
 
-        There are more next ones in a longer text. A single chunk stands for them too, the bias for none.
+        A single chunk stands for the next ones too, the bias for a text without any.
         """
         out = []
         for some in _portions(texts):
@@ -195,9 +212,18 @@ class ToxicityModel:
         if not chunks:
             return self.bias, self.bias
         found = np.fromiter(map(self.known.__getitem__, chunks), float, len(chunks))
-        count = 1 + max(LOOKED_AT, len(found) // PER_CHUNKS)
-        top = np.sort(np.partition(found, -count)[-count:] if len(found) > count else found)
-        return top[-1], top[:-1].mean() if len(top) > 1 else top[-1]
+        if len(found) > WINDOW:
+            starts = np.arange(0, len(found) - STEP, STEP)
+            places = starts[:, None] + np.arange(WINDOW)[None, :]
+            found = np.append(found, -np.inf)[np.minimum(places, len(found))]
+        else:
+            found = found[None, :]
+        count = 1 + LOOKED_AT
+        top = np.sort(np.partition(found, -count, axis=1)[:, -count:] if found.shape[1] > count else found, axis=1)
+        worst = top[:, -1]
+        after = top[:, :-1].mean(axis=1) if top.shape[1] > 1 else worst
+        at = int(np.argmax(worst + after))
+        return worst[at], after[at]
 
     def score(self, decisions: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(decisions @ np.array(self.slopes) + self.shift, -30, 30)))
@@ -270,10 +296,10 @@ def _landmarks(toxic: list[str], toxic_weight: np.ndarray, harmless: list[str],
 
 def fit(toxic: dict[str, float], harmless: dict[str, float], landmarks: int = LANDMARKS) -> ToxicityModel:
     """Machine that tells toxic chunks from harmless ones; both are given with their counts."""
-    # Of a long chunk the beginning is looked at, as it cannot be known which part is meant.
-    cut = lambda words: {marked(w)[:WIDEST]: n for w, n in sorted(words.items())}
-    bad = cut(toxic)
-    good = {w: n for w, n in cut(harmless).items() if w not in bad}
+    bad, good = _counted(toxic), _counted(harmless)
+    # A piece of words of both kinds is toxic if nearly all of them are.
+    bad = {p: n for p, n in bad.items() if n >= PURITY * (n + good.get(p, 0.0))}
+    good = {p: n for p, n in good.items() if p not in bad}
     if not bad:
         return ToxicityModel(np.zeros(CODES**ORDER), -1.0, shift=-3.0)
     marks = _landmarks(list(bad), np.sqrt(list(bad.values())), list(good), landmarks)
@@ -281,7 +307,7 @@ def fit(toxic: dict[str, float], harmless: dict[str, float], landmarks: int = LA
     kernel = np.stack([weigh(marks, t) for t in tables], axis=1)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    grown = [(v[:WIDEST], n) for w, n in bad.items() for v in with_insertions(w)]
+    grown = [(p, n) for w, n in bad.items() for v in with_insertions(w) for p in _pieces(v)]
     words = [v for v, _ in grown] + list(good)
     points = np.stack([weigh(words, t) for t in tables], axis=1) @ root
     labels = np.concatenate([np.ones(len(grown)), -np.ones(len(good))])
@@ -289,23 +315,29 @@ def fit(toxic: dict[str, float], harmless: dict[str, float], landmarks: int = LA
     for own in (labels > 0, labels < 0):
         weights[own] /= max(weights[own].sum(), 1e-9)
     normal, bias = _fit_line(points, labels, weights)
-    return ToxicityModel(np.tensordot(root @ normal, np.stack(tables), axes=1), bias)
+    factors = root @ normal
+    weights = np.tensordot(factors, np.stack(tables), axes=1)
+    return ToxicityModel(weights, bias, landmarks=tuple(marks), factors=tuple(factors.tolist()))
 
 
 def _sentence_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, sentence, chunk): the distinct chunks of every sentence, which is given by its hash."""
+    def packed() -> pa.RecordBatch:
+        columns = [pa.array(toxic, pa.int32()), pa.array(sentences, pa.int64()), pa.array(chunks, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["toxic", "sentence", "chunk"])
+
     for batch in batches:
         toxic, sentences, chunks = [], [], []
-        for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for sentence in _SENTENCE_END.split(text or ""):
+        for label, text in zip(*batch.columns, strict=True):
+            for sentence in _SENTENCE_END.split(text.as_py() or ""):
                 found = {c for c in map(clean, chunks_of(sentence)) if len(c) >= ORDER}
-                toxic += [label] * len(found)
+                toxic += [label.as_py()] * len(found)
                 sentences += [xxhash.xxh64_intdigest(sentence.strip()) >> 1] * len(found)
                 chunks += found
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(toxic, pa.int32()), pa.array(sentences, pa.int64()), pa.array(chunks, pa.string())],
-            ["toxic", "sentence", "chunk"],
-        )
+                if len(chunks) >= HANDED_ON:
+                    yield packed()
+                    toxic, sentences, chunks = [], [], []
+        yield packed()
 
 
 def with_insertions(word: str) -> list[str]:
@@ -376,6 +408,19 @@ def decisions(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text:
     return rows.mapInArrow(judge, schema).withColumnRenamed("key", key)
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns as they are, that the model does not call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.worst(t.as_py() for t in batch.column(at))
+            yield batch.filter(pa.array(shared.value.score(found) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score, predicted) of every row; a null text counts as empty."""
     found = decisions(docs, model, key, text)

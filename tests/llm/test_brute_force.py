@@ -1,6 +1,7 @@
 """Operators and pipeline against brute-force versions, the library itself, or held-out labels."""
 
 import hashlib
+import itertools
 import random
 import re
 from zlib import crc32
@@ -10,11 +11,12 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from compare import connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passages.llm import embeddings, pieces, secrets, simhash, substrings
-from passages.llm.queries import QUERIES, held_out
+from passages.llm import embeddings, pieces, secrets, simhash, substrings, toxicity
+from passages.llm.queries import ORACLES, QUERIES, held_out
 from passages.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -190,7 +192,7 @@ def test_insults_with_gaps():
 
 def test_pipeline_stage_by_stage(spark, texts, tmp_path):
     """Each stage's rows follow from its operator's decisions on its own input."""
-    docs = read_table(spark, SF, "documents")
+    docs, source = read_table(spark, SF, "documents"), None
     for name, work in corpus_pipeline.STAGES:
         out = work(spark, docs, SF)
         out.write.parquet(str(tmp_path / name))
@@ -198,13 +200,9 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
         before, rows = {r.doc_id: r for r in docs.collect()}, {r.doc_id: r for r in after.collect()}
         assert rows.keys() <= before.keys() and len(rows) == after.count()
         if name == "simhash":
-            prints = {i: plain_fingerprint(r.text) for i, r in before.items()}
             sets = {i: five_words(r.text) for i, r in before.items()}
-            links = [
-                (a, b) for a in prints for b in prints
-                if a < b and (prints[a] ^ prints[b]).bit_count() <= 7 and (prints[a] == prints[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-            ]
-            assert rows.keys() == set(smallest_reachable(sorted(prints), links).values())
+            links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+            assert rows.keys() == set(smallest_reachable(sorted(sets), links).values())
         elif name == "secrets":
             assert rows.keys() == before.keys()
             found = secrets.find_secrets(docs).where("size(base_spans) + size(entropy_spans) > 0").collect()
@@ -214,9 +212,74 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
         elif name == "pieces":
             sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
             assert rows.keys() == before.keys() and all(list(rows[i].ids) == sp.encode(before[i].text) for i in rows)
+        elif name == "toxicity":
+            model = toxicity.train(docs, read_table(spark, SF, "labels").where(~held_out()))
+            assert all(rows[i] == before[i] for i in rows)
+            assert rows.keys() == {i for i, r in before.items() if plain_score(model, r.text) < 0.5}
         else:
-            assert len(rows) < len(before) and all(rows[i] == before[i] for i in rows)
-        docs = after
+            duck = connect(SF)
+            duck.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{source}/*.parquet'")
+            clean = duck.execute(f"SELECT doc_id FROM ({ORACLES['op4_decontamination']}) WHERE NOT contaminated").fetchall()
+            assert rows.keys() == {i for (i,) in clean} and all(rows[i] == before[i] for i in rows)
+        docs, source = after, tmp_path / name
+
+
+def plain_score(model, text):
+    """Score of the worst window: its worst chunk and the mean of the next two, read off the sorted decisions."""
+    chunks = toxicity.chunks_of(text or "")
+    values = model.decide([toxicity.marked(toxicity.clean(c)) for c in chunks]).tolist() or [model.bias]
+    pairs = []
+    for start in range(0, max(1, len(values) - toxicity.STEP), toxicity.STEP) if len(values) > toxicity.WINDOW else [0]:
+        top = sorted(values[start : start + toxicity.WINDOW], reverse=True)[:3]
+        pairs.append((top[0], sum(top[1:]) / len(top[1:]) if top[1:] else top[0]))
+    best = max(pairs, key=sum)
+    return float(model.score(np.array([best]))[0])
+
+
+def plain_kernel(one, two):
+    """Subsequence kernel by listing all of them."""
+    def held(word):
+        found = {}
+        codes = [toxicity._CODE.get(c, toxicity._OTHER) for c in word]
+        for at in itertools.combinations(range(len(word)), toxicity.ORDER):
+            part = tuple(codes[i] for i in at)
+            found[part] = found.get(part, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return found
+
+    def times(x, y):
+        return sum(v * y.get(k, 0.0) for k, v in x.items())
+
+    x, y = held(one), held(two)
+    return times(x, y) / np.sqrt(times(x, x) * times(y, y)) if x and y else 0.0
+
+
+def test_one_weight_per_subsequence_is_the_kernel_machine():
+    harmless = ["garden", "window", "people", "evening", "morning", "idiom", "order", "modern", "mother"]
+    model = toxicity.fit({"idiot": 50.0, "moron": 40.0, "unbelievablyidioticperson": 9.0}, {w: 30.0 for w in harmless})
+    for word in ["idiot", "idixot", "mother", "mo", "möron", "é%", "abracadabra"]:
+        chunk = toxicity.marked(word)
+        want = sum(f * plain_kernel(chunk, m) for f, m in zip(model.factors, model.landmarks, strict=True)) + model.bias
+        assert abs(model.decide([chunk])[0] - want) < 1e-9
+    pieces_of = toxicity._pieces(toxicity.marked("a" * 20 + "idiot" + "b" * 20))
+    assert len(pieces_of) > 2 and model.decide([toxicity.marked("a" * 20 + "idiot" + "b" * 20)])[0] == max(model.decide(pieces_of))
+
+
+def test_harmless_text_does_not_hide_an_insult():
+    harmless = ["garden", "window", "people", "evening", "morning", "idiom", "order", "modern", "mother"]
+    model = toxicity.fit({"idiot": 50.0, "moron": 40.0}, {w: 30.0 for w in harmless})
+    model.slopes, model.shift = (1.0, 1.0), 0.0
+    insult, rng = "you idiot moron idiot", random.Random(6)
+    scores = []
+    for n in (0, 50, 500, 5_000):
+        lines = [" ".join(rng.choices(harmless, k=8)) + "." for _ in range(n)]
+        scores += [model.worst([" ".join([insult, *lines])])[0].sum(), model.worst([" ".join([*lines, insult])])[0].sum()]
+    assert min(scores) >= scores[0] - 1e-9
+
+
+def test_endings_of_long_words_are_learnt():
+    harmless = {w: 30.0 for w in ["gardenersgardening", "windowlesswindowcases", "extraordinarygarden", "morning"]}
+    model = toxicity.fit({"extraordinaryidiot": 20.0, "windowlesswindowmoron": 20.0}, harmless)
+    assert model.decide([toxicity.marked("extraordinaryidiot")])[0] > 0 > model.decide([toxicity.marked("extraordinarygarden")])[0]
 
 
 def test_pipeline_keeps_one_of_repeated_rows(spark):
@@ -254,6 +317,19 @@ def test_cut_repeat_within_sentences(spark):
     assert got[2].n_removed > 0 and kept[:40] == other[2].split() and kept[-40:] == other[3].split() and len(kept) <= 80 + 51 - 20
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", "x"), (2, "one two three four five six", "x"), (3, "seven eight nine ten", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumns(
+        {c: F.lit("x") for c in ("count", "row", "name", "hash", "score", "source", "n_chars")}
+    )
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns and [r.row for r in kept.collect()] == ["x", "x"]
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_contaminated):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 3
+        assert stage(spark, docs.where("doc_id < 0"), SF).collect() == []
+
+
 def test_near_copies_at_the_limit_are_found(spark):
     """Recall of links of the stage against exact five-word similarity, for pairs of 0.8 to 0.9."""
     rng = random.Random(11)
