@@ -10,15 +10,14 @@ from passages.llm.pieces import encode_documents
 from passages.llm.queries import held_out, piece_model
 from passages.llm.secrets import find_secrets, redact
 from passages.llm.simhash import simhash_components
-from passages.llm.toxicity import toxicity, train
+from passages.llm.toxicity import train, without_toxic
 from passages.sources.tables import read_table, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from the labelled documents of ``docs``."""
     model = train(docs, read_table(spark, sf_dir, "labels").where(~held_out()))
-    whole = docs.select(F.struct("*").alias("row"), "text")
-    return toxicity(whole, model, "row").where("predicted = 0").select("row.*")
+    return without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +26,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Links are wider than the default, to find copies with several changes: a similarity of at least 0.8
     on five-word shingles, sought among texts that share a MinHash band or differ in up to 7 bits.
     """
-    named = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
-    groups = simhash_components(named, "row", radius=7, count=4, least=0.8).groupBy("row", "component_id").count()
-    heads = groups.where("row = component_id").select("row", "count")
-    kept = named.join(heads, "row").drop("row")
+    name = F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("name")
+    named = docs.select(F.struct("*").alias("row"), "text", name)
+    groups = simhash_components(named, "name", radius=7, count=4, least=0.8).groupBy("name", "component_id").count()
+    heads = groups.where("name = component_id").select("name", "count")
+    kept = named.select("row", "name").join(heads, "name")
     # Only rows that are repeated as a whole are compared with each other.
-    once = kept.where("count = 1").drop("count")
-    return once.unionByName(kept.where("count > 1").drop("count").dropDuplicates(["doc_id", "text"]))
+    once = kept.where("count = 1").select("row")
+    again = kept.where("count > 1").select("row", F.struct("row.doc_id", "row.text").alias("name")).dropDuplicates(["name"])
+    return once.unionByName(again.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
