@@ -166,6 +166,42 @@ def features(word: str) -> np.ndarray:
     return table
 
 
+class Landmarks:
+    """Kernel values with a few chunks. Only the subsequences that occur in one of them are held."""
+
+    def __init__(self, words: list[str]):
+        held = []
+        for word in words:
+            number, value = np.zeros(0, np.int64), np.zeros(0)
+            for _, codes in _by_length([word]):
+                numbers, weights = _subsequences(codes)
+                number, at = np.unique(numbers[0], return_inverse=True)
+                value = np.bincount(at, weights / np.sqrt(self_kernel(codes)[0]))
+            held.append((number, value))
+        self.numbers = np.unique(np.concatenate([n for n, _ in held])) if held else np.zeros(0, np.int64)
+        self.rows = np.zeros((len(words), len(self.numbers) + 1))
+        for row, (number, value) in zip(self.rows, held, strict=True):
+            row[np.searchsorted(self.numbers, number)] = value
+        self.places = np.full(CODES**ORDER, len(self.numbers), np.int32)
+        self.places[self.numbers] = np.arange(len(self.numbers))
+
+    def likeness(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel of each word with each landmark."""
+        out = np.zeros((len(words), len(self.rows)))
+        for some, codes in _by_length(words):
+            number, weights = _subsequences(codes)
+            places, norms = self.places[number], np.sqrt(self_kernel(codes))
+            for j, row in enumerate(self.rows):
+                out[some, j] = row[places] @ weights / norms
+        return out
+
+    def weights(self, factors: np.ndarray) -> np.ndarray:
+        """One weight per subsequence: the sum of the landmarks' features, each times its factor."""
+        table = np.zeros(CODES**ORDER)
+        table[self.numbers] = (factors @ self.rows)[:-1]
+        return table
+
+
 @dataclass
 class ToxicityModel:
     """weights of subsequences and bias decide on a chunk; slopes and shift turn a text's decisions into a score.
@@ -303,21 +339,20 @@ def fit(toxic: dict[str, float], harmless: dict[str, float], landmarks: int = LA
     if not bad:
         return ToxicityModel(np.zeros(CODES**ORDER), -1.0, shift=-3.0)
     marks = _landmarks(list(bad), np.sqrt(list(bad.values())), list(good), landmarks)
-    tables = [features(w) for w in marks]
-    kernel = np.stack([weigh(marks, t) for t in tables], axis=1)
+    held = Landmarks(marks)
+    kernel = held.likeness(marks)
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     grown = [(p, n) for w, n in bad.items() for v in with_insertions(w) for p in _pieces(v)]
     words = [v for v, _ in grown] + list(good)
-    points = np.stack([weigh(words, t) for t in tables], axis=1) @ root
+    points = held.likeness(words) @ root
     labels = np.concatenate([np.ones(len(grown)), -np.ones(len(good))])
     weights = np.sqrt([n for _, n in grown] + list(good.values()))
     for own in (labels > 0, labels < 0):
         weights[own] /= max(weights[own].sum(), 1e-9)
     normal, bias = _fit_line(points, labels, weights)
     factors = root @ normal
-    weights = np.tensordot(factors, np.stack(tables), axes=1)
-    return ToxicityModel(weights, bias, landmarks=tuple(marks), factors=tuple(factors.tolist()))
+    return ToxicityModel(held.weights(factors), bias, landmarks=tuple(marks), factors=tuple(factors.tolist()))
 
 
 def _sentence_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

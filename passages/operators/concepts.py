@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passages.functions.text import distinct_ignoring_case, fields, let, trim_ws, unseen
 from passages.operators.ordering import first_by
-from passages.session import broadcast_if_small
+from passages.session import BROADCAST_ROWS, broadcast_if_small
 
 WORD = r"[\p{L}\p{N}]+"
 EDGE = r"[^\p{L}\p{N}]"
@@ -30,15 +30,20 @@ def _meet(texts: DataFrame, wanted: DataFrame, on: str, scope: list[str]) -> Dat
     """Pairs of texts (key…, _text, _offers) and wanted rows that share an offer.
 
     A small catalogue is intersected with each text's offers first, so a text is repeated only for
-    what may be found in it. A larger one meets the bare keys, which are then joined to the texts.
+    what may be found in it. One of up to the broadcast bounds is sent to the texts: an offer is
+    looked up where its text is, and nothing but the pairs found goes on. Only a larger one is
+    shuffled, with the bare keys of the texts, which are joined to the texts afterwards.
     """
     keys = [c for c in texts.columns if c not in ("_text", "_offers")]
     if wanted.limit(INTERSECT_ROWS + 1).count() <= INTERSECT_ROWS:
         known = wanted.agg(F.collect_set(on)).scalar()
         offered = texts.select(*keys, "_text", F.explode(F.array_intersect("_offers", known)).alias(on))
         return offered.join(F.broadcast(wanted), [on, *scope])
+    sent = broadcast_if_small(wanted, BROADCAST_ROWS)
+    if sent is not wanted:
+        return texts.select(*keys, "_text", F.explode("_offers").alias(on)).join(sent, [on, *scope])
     bare = texts.select(*keys, F.explode("_offers").alias(on))
-    pairs = bare.join(broadcast_if_small(wanted), [on, *scope])
+    pairs = bare.join(wanted, [on, *scope])
     return pairs.join(texts.drop("_offers", *scope), [k for k in keys if k not in scope])
 
 

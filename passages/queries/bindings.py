@@ -12,7 +12,7 @@ from passages.functions.text import WS, accent_table
 from passages.operators.fulltext import TextIndex, build_text_index
 from passages.operators.ordering import dense_position, int_chunk
 from passages.session import broadcast_if_small
-from passages.sources.tables import CATALOGUE_SCHEMA, read_table, spread, stage, usable_features
+from passages.sources.tables import CATALOGUE_SCHEMA, changed_at, read_table, spread, stage, usable_features
 
 # A small catalogue over words of the documents: function words of their languages, one phrase of
 # several words each, one feature no text names, one without a name of its own and one named as its id.
@@ -49,12 +49,15 @@ def sections(spark: SparkSession, folder: str) -> DataFrame:
     return spread(rows, "section_id")
 
 
-_indexes: dict[tuple[str, str], TextIndex] = {}
+_indexes: dict[tuple[str, str, int], TextIndex] = {}
 
 
 def text_index(spark: SparkSession, folder: str) -> TextIndex:
-    """Index of the sections, built by the first search of a session and read by the later ones."""
-    key = (spark.sparkContext.applicationId, folder)
+    """Index of the sections, built by the first search of a session and read by the later ones.
+
+    A table that was written anew is indexed anew.
+    """
+    key = (spark.sparkContext.applicationId, folder, changed_at(spark, f"{folder}/documents.parquet"))
     if key not in _indexes:
         _indexes[key] = build_text_index(sections(spark, folder))
     return _indexes[key]

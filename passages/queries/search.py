@@ -196,9 +196,8 @@ def rebuild_vectors(spark, folder):
     texts = indexed.select(
         "section_id", "pdf_id", F.concat_ws("\n\n", "title", "plain_text").alias("text")
     )
-    vectors = embedding.dense_vectors(texts, "section_id", "text").join(
-        texts.select("section_id", "pdf_id"), "section_id"
-    )
+    key = F.struct("section_id", "pdf_id").alias("key")
+    vectors = embedding.dense_vectors(texts.select(key, "text"), "key", "text").select("key.*", "embedding")
     filled = F.filter("embedding", lambda x: x > 0)
     return vectors.select(
         "section_id",
@@ -247,10 +246,9 @@ FROM q JOIN d USING (bucket) GROUP BY ALL)""")
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, section_id) AS spot FROM sims)
 WHERE spot <= 10""")
 def knn(spark, folder):
-    texts = b.sections(spark, folder).select(
-        "section_id", F.concat_ws("\n\n", "title", "plain_text").alias("text")
-    )
-    vectors = embedding.dense_vectors(texts, "section_id", "text")
+    """Neighbours among the vectors that the index holds."""
+    cells = b.text_index(spark, folder).cells
+    vectors = cells.select("section_id", embedding.dense_cells(F.col("cells")).alias("embedding"))
     asked = embedding.dense_vectors(b.questions(spark, folder), "query_id", "query_text")
     found = embedding.nearest(vectors.withColumnRenamed("section_id", "key"), asked, 10)
     return found.select(

@@ -14,6 +14,7 @@ from passages.queries.registry import ORACLES, query
 from passages.queries.search import weights_sql
 from passages.queries.texts import PERCENT_SQL, PROGRESS_SQL, progress
 from passages.streaming import jobs
+from passages.streaming.running import running_log
 
 
 @query("stream_index", with_sql(SECTIONS_SQL, weights_sql("sections", "section_id", "title || chr(10) || chr(10) || plain_text", "w"))
@@ -69,11 +70,22 @@ def stream_running(spark, folder):
     return game_states(jobs.current(log, ["game_id"]))
 
 
+@query("stream_library", with_sql(COMMANDS_SQL, """last_starts AS (
+SELECT *, 'lib' || game_id % 4 AS library_id, row_number() OVER (PARTITION BY game_id % 4 ORDER BY started DESC NULLS LAST) AS nth FROM marks)""")
+    + """SELECT library_id, started AS seq, CASE WHEN started IS NOT NULL AND NOT coalesce(halted > started, false) THEN game_id END AS game_id
+FROM last_starts WHERE nth = 1""")
+def stream_library(spark, folder):
+    """The game that runs in each of four libraries, kept as state of the stream."""
+    commands = game_commands(jobs.read_changes(spark, folder, "events"))
+    named = commands.withColumn("library_id", F.concat(F.lit("lib"), F.col("game_id") % 4))
+    return jobs.current(running_log(named, jobs.new_log(spark, "libraries")), ["library_id"])
+
+
 @query("stream_session", """SELECT user_id AS conv_id, event_type AS section_id, min(event_id) AS prio FROM events GROUP BY ALL""")
 def stream_session(spark, folder):
     found = jobs.read_changes(spark, folder, "events").select(
         F.col("user_id").alias("conv_id"), F.col("event_type").alias("section_id"), F.col("event_id").alias("prio"),
-        F.col("ts").alias("at"),
+        F.col("ts").cast("timestamp").alias("at"),
     )
     log = jobs.session_log(jobs.new_finds(found), jobs.new_log(spark, "session"))
     return jobs.current(log, ["conv_id", "section_id"], -F.col("prio"))

@@ -39,6 +39,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last written, as its file system counts."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getModificationTime()
+
+
 def drop_at_end(spark: SparkSession, path: str) -> None:
     """Have the file system that holds ``path`` remove it when the driver's session with it ends."""
     jvm = spark.sparkContext._jvm

@@ -14,6 +14,7 @@ from passages.operators import assembly, contents, fulltext, hits, library, meta
 from passages.plans import imports, learnings
 from passages.sources.saved import SavedTable, read_word_tables, write_word_tables
 from passages.streaming import jobs
+from passages.streaming.running import running_log
 
 
 def frame(spark, rows, schema):
@@ -375,3 +376,19 @@ def test_citations_are_cut_before_questions_meet_them(spark):
             got.setdefault(r.query_id, []).append((r.section_id, r.feature_id, r.snippet))
         assert got == {q: rows[:limit] for q, rows in want.items()}
         assert sum(map(len, got.values())) <= 12 * limit < len(whole)
+
+
+def test_running_game_is_kept_over_restarts(spark, tmp_path):
+    """Commands in any order, in several runs that each go on from the checkpoint."""
+    schema = "library_id string, game_id bigint, seq bigint, kind string"
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+
+    def arrive(*given):
+        frame(spark, list(given), schema).coalesce(1).write.mode("append").parquet(source)
+        found = running_log(spark.readStream.schema(schema).parquet(source), log)
+        return {r.library_id: (r.seq, r.game_id) for r in jobs.current(found, ["library_id"]).collect()}
+
+    assert arrive(("a", 1, 1, "start"), ("a", 2, 3, "start"), ("b", 1, 2, "stop"), ("a", 1, 4, "stop")) == {"a": (3, 2), "b": (None, None)}
+    assert arrive(("a", 3, 2, "start"), ("b", 1, 1, "start"), ("a", 2, 5, "look")) == {"a": (3, 2), "b": (1, None)}
+    assert arrive(("a", 2, 6, "archive"), ("c", 7, 1, "start"), ("b", 1, 9, "start")) == {"a": (3, None), "b": (9, 1), "c": (1, 7)}
+    assert arrive(("a", 3, 8, "stop"), ("a", 3, 7, "start")) == {"a": (7, None), "b": (9, 1), "c": (1, 7)}

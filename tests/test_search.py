@@ -177,9 +177,10 @@ def test_citation_bonus(spark, sections):
     assert lifted["s2"] == plain["s2"]
 
 
-@pytest.mark.parametrize("bound", [concepts.INTERSECT_ROWS, -1])
-def test_concepts(spark, rows, bound, monkeypatch):
+@pytest.mark.parametrize("bound, sent", [(concepts.INTERSECT_ROWS, 1000), (-1, 1000), (-1, 0)])
+def test_concepts(spark, rows, bound, sent, monkeypatch):
     monkeypatch.setattr(concepts, "INTERSECT_ROWS", bound)
+    monkeypatch.setattr(concepts, "BROADCAST_ROWS", sent)
     texts = ask(spark, "A skill check!", "skill checks", "skill-check", "[x] save now", "my Tests")
     synonyms = spark.createDataFrame(
         [("skill_check", "skill check"), ("save", "[x] save"), ("odd", "!")], "feature_id string, synonym string"
@@ -189,6 +190,17 @@ def test_concepts(spark, rows, bound, monkeypatch):
     assert rows(found) == [(0, "skill_check"), (3, "save"), (4, "trait")]
 
 
+def test_ten_thousand_phrases_without_a_shuffle(spark):
+    """Texts meet a large catalogue where they are; what goes on is what was found."""
+    phrases = spark.range(10_000).select(
+        F.concat(F.lit("f"), F.pmod("id", F.lit(50))).alias("feature_id"), F.concat(F.lit("word"), "id", F.lit(" next"), "id").alias("synonym")
+    )
+    texts = spark.range(300).select("id", F.concat(F.lit("so word"), "id", F.lit(" next"), "id", F.lit(" and word"), F.col("id") + 1).alias("text"))
+    found = concepts.phrase_matches(texts, "id", "text", phrases)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
+    assert sorted(r.id for r in found.collect()) == list(range(300))
+
+
 def test_last_catalogue_row_wins(spark, rows):
     given = [(0, "a", "x", "", [], ["1"]), (1, "a", "y", "", [], ["2"]), (2, "", "z", "", [], [])]
     features = spark.createDataFrame(given, f"pos int, {bindings.CATALOGUE_SCHEMA}")
@@ -210,6 +222,36 @@ def test_nearest_is_exact(spark, block):
         embedding.nearest(left, right, 0)
 
 
+def test_nearest_with_ties_blanks_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "SENT", 1)
+    held = [(i, [float(i % 3), 1.0]) for i in range(20)] + [(30, [0.0, 0.0]), (31, [1.0]), (32, []), (33, None)]
+    asked = [(0, [1.0, 1.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.5]), (3, [2.0])]
+    left = spark.createDataFrame(held, "key int, embedding array<double>")
+    right = spark.createDataFrame(asked, "query_id int, embedding array<double>")
+
+    def similar(x, y):
+        x = x if x and len(x) == len(y) else [0.0] * len(y)
+        length = np.linalg.norm(x) * np.linalg.norm(y)
+        return round(float(np.dot(x, y) / length), 9) if length else 0.0
+
+    got = embedding.nearest(left, right, 9, 4).collect()
+    for q, y in asked:
+        want = sorted((-similar(x, y), key) for key, x in held)[:9]
+        assert [(-r.similarity, r.key) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
+
+
+def test_far_blocks_are_skipped():
+    rng = np.random.default_rng(3)
+    centres = embedding._unit(rng.normal(size=(20, 16)))
+    asked = embedding._unit(centres[:5] + 0.02 * rng.normal(size=(5, 16)))
+    best = embedding.BestNeighbours(list(range(5)), asked, 3)
+    for c in centres:
+        points = embedding._unit(c + 0.02 * rng.normal(size=(50, 16)))
+        middle = embedding._unit(points.sum(axis=0, keepdims=True))[0]
+        best.add(list(range(50)), points, middle, float(np.arccos(np.clip(points @ middle, -1, 1)).max()))
+    assert best.skipped > 3 * best.multiplied
+
+
 def test_merge_keeps_primary_first(spark):
     listed = [(1, 0, 0, "a"), (1, 1, 0, "a"), (1, 1, 1, "b"), (1, 1, 2, ""), (1, 1, 3, "c")]
     df = spark.createDataFrame(listed, "query_id int, prio int, pos int, section_id string")
