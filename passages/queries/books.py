@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from passages.operators import library, ordering
 from passages.queries.bindings import with_sql
-from passages.queries.registry import query
-from passages.sources.tables import read_table
+from passages.queries.registry import ORACLES, query
+from passages.sources.saved import SavedTable
+from passages.sources.tables import new_folder, read_table
 
 # Suppliers are books, nations games; a supplier is attached to its nation.
 
@@ -130,6 +131,19 @@ def attach_list(spark, folder):
     return library.attach_lists(lists, known, orders.select(F.col("o_orderkey").alias("game_id")))
 
 
+@query("attach_saved", f"""WITH accepted AS ({ORACLES["attach_list"]})
+SELECT * FROM accepted UNION ALL SELECT o_orderkey, o_custkey, CAST(0 AS INTEGER) FROM orders WHERE o_orderkey NOT IN (SELECT game_id FROM accepted)""")
+def attach_saved(spark, folder):
+    """The same lists saved over a list of one book per game; refused lists leave their game as it was."""
+    stored = read_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("game_id"), F.col("o_custkey").alias("pdf_id"), F.lit(0).cast("int").alias("sort_order")
+    )
+    saved = SavedTable(new_folder(spark, "saved-lists"), "game_id")
+    saved.create(stored)
+    saved.save(attach_list(spark, folder).select("game_id", "pdf_id", F.col("sort_order").cast("int").alias("sort_order")))
+    return saved.read(spark, "game_id bigint, pdf_id bigint, sort_order int")
+
+
 UPSERT_SQL = """changes AS (
 SELECT c_custkey AS pdf_id, c_name AS title, '/books/' || c_custkey AS file_path, CAST(NULL AS INTEGER) AS page_count,
        CAST('' AS VARCHAR) AS index_status, CAST(-1 AS BIGINT) AS seq FROM customer

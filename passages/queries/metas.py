@@ -9,7 +9,8 @@ from passages.queries import bindings as b
 from passages.queries.bindings import ATTACHED_SQL, CITED_SQL, SECTIONS_SQL, SYNONYMS_SQL, with_sql
 from passages.queries.registry import query
 from passages.queries.search import REQUESTS_SQL, feature_requests
-from passages.sources.tables import read_table
+from passages.sources.saved import SavedTable
+from passages.sources.tables import new_folder, read_table, stage
 
 # One stored JSON text per part: half in the present form, half in the earlier one, a few broken.
 NEW_JSON_SQL = """'{"features":["' || p_type || '"," ' || p_brand || ' ","","' || p_type || '"],"glossary":[{"feature_id":" ' || p_type
@@ -154,6 +155,20 @@ def meta_roundtrip(spark, folder):
     return flat_meta(written.select("pdf_id", meta.parse_meta(F.col("raw")).alias("meta")))
 
 
+@query("meta_saved", with_sql(STORED_SQL, META_ROWS_SQL) + FLAT_SQL)
+def meta_saved(spark, folder):
+    """Written as JSON over an empty one for each book, half of the books at a time, and read again."""
+    written = parsed_metas(spark, folder).select("pdf_id", meta.meta_json(F.col("meta")).alias("raw"))
+    written = stage(written, "metas")
+    saved = SavedTable(new_folder(spark, "saved-metas"), "pdf_id")
+    saved.create(written.withColumn("raw", F.lit("{}")))
+    half = F.pmod(F.xxhash64("pdf_id"), F.lit(2))
+    for i in range(2):
+        saved.save(written.where(half == i))
+    kept = saved.read(spark, f"pdf_id {written.schema['pdf_id'].dataType.simpleString()}, raw string")
+    return flat_meta(kept.select("pdf_id", meta.parse_meta(F.col("raw")).alias("meta")))
+
+
 # ---- flat parts over the cited sections of the books ----------------------------------------------
 
 PARTS_SQL = with_sql(SECTIONS_SQL, ATTACHED_SQL, CITED_SQL, SYNONYMS_SQL, REQUESTS_SQL)
