@@ -23,6 +23,24 @@ THUMBNAIL_READY = 8.0
 QUIET_PHASES = ["idle", "done", "error"]
 NAME_BYTES = 120
 
+# What a phase is called while it runs, and the faults of what is saved.
+THUMBNAIL_TEXT = "Rendering thumbnail"
+SECTION_TEXT = "Indexing section: "
+GLOSSARY_TEXT = "Extracting glossary (LLM %d/%d)"
+FEATURES_TEXT = "Detecting features (LLM %d/%d)"
+SHEET_ENTRY_TEXT = "Building cheatsheet: %s (%d/%d)"
+SHEET_DONE_TEXT = "Cheatsheet complete (%d/%d)"
+SHEET_TEXT = "Building cheatsheet entries (%d/%d)"
+FINAL_TEXT = "Finishing up"
+DONE_TEXT = "Complete"
+NO_TITLE = "title is required"
+NO_PATH = "file path is required"
+NO_NAME = "name is required"
+LONG_NAME = "name must be at most %d characters"
+LOW_START = "start page must be at least 1"
+LOW_END = "end page must be >= start page"
+BEYOND = "page range exceeds document page count (%d)"
+
 
 def progress_percent(phase: Column, current: Column, total: Column) -> Column:
     whole = F.when(total <= 0, F.lit(1)).otherwise(total)
@@ -47,18 +65,18 @@ def progress_message(phase: Column, current: Column, total: Column, label: Colum
     whole = F.when(total <= 0, F.lit(1)).otherwise(total)
     clamped = F.least(F.greatest(current, F.lit(0)), whole)
     sheet = (
-        F.when(label != "", F.format_string("Building cheatsheet: %s (%d/%d)", label, clamped, whole))
-        .when(clamped >= whole, F.format_string("Cheatsheet complete (%d/%d)", whole, whole))
-        .otherwise(F.format_string("Building cheatsheet entries (%d/%d)", clamped, whole))
+        F.when(label != "", F.format_string(SHEET_ENTRY_TEXT, label, clamped, whole))
+        .when(clamped >= whole, F.format_string(SHEET_DONE_TEXT, whole, whole))
+        .otherwise(F.format_string(SHEET_TEXT, clamped, whole))
     )
     return (
-        F.when(phase == "thumbnail", F.lit("Rendering thumbnail"))
-        .when(phase == "sections", F.concat(F.lit("Indexing section: "), label))
-        .when(phase == "glossary_llm", F.format_string("Extracting glossary (LLM %d/%d)", current, whole))
-        .when(phase == "features_llm", F.format_string("Detecting features (LLM %d/%d)", current, whole))
+        F.when(phase == "thumbnail", F.lit(THUMBNAIL_TEXT))
+        .when(phase == "sections", F.concat(F.lit(SECTION_TEXT), label))
+        .when(phase == "glossary_llm", F.format_string(GLOSSARY_TEXT, current, whole))
+        .when(phase == "features_llm", F.format_string(FEATURES_TEXT, current, whole))
         .when(phase == "cheatsheet_llm", sheet)
-        .when(phase == "finalize", F.lit("Finishing up"))
-        .when(phase == "done", F.lit("Complete"))
+        .when(phase == "finalize", F.lit(FINAL_TEXT))
+        .when(phase == "done", F.lit(DONE_TEXT))
         .otherwise(label)
     )
 
@@ -87,24 +105,24 @@ def format_time(ts: Column) -> Column:
 def section_fault(title: Column, start: Column, end: Column, page_count: Column) -> Column:
     """First rule a contents section breaks, or null."""
     return (
-        F.when(trim_ws(title) == "", F.lit("title is required"))
-        .when(start < 1, F.lit("start page must be at least 1"))
-        .when(end < start, F.lit("end page must be >= start page"))
+        F.when(trim_ws(title) == "", F.lit(NO_TITLE))
+        .when(start < 1, F.lit(LOW_START))
+        .when(end < start, F.lit(LOW_END))
         .when(
             (page_count > 0) & ((start > page_count) | (end > page_count)),
-            F.format_string("page range exceeds document page count (%d)", page_count),
+            F.format_string(BEYOND, page_count),
         )
     )
 
 
 def name_fault(name: Column) -> Column:
     bare = trim_ws(name)
-    return F.when(bare == "", F.lit("name is required")).when(
-        F.octet_length(bare) > NAME_BYTES, F.lit(f"name must be at most {NAME_BYTES} characters")
+    return F.when(bare == "", F.lit(NO_NAME)).when(
+        F.octet_length(bare) > NAME_BYTES, F.lit(LONG_NAME % NAME_BYTES)
     )
 
 
 def document_fault(title: Column, path: Column) -> Column:
-    return F.when(trim_ws(title) == "", F.lit("title is required")).when(
-        trim_ws(path) == "", F.lit("file path is required")
+    return F.when(trim_ws(title) == "", F.lit(NO_TITLE)).when(
+        trim_ws(path) == "", F.lit(NO_PATH)
     )
