@@ -242,18 +242,16 @@ def near_components(
     if check:
         # Texts that failed against an entry's first one are held against a few others.
         crowds = stage(table.join(first.where(F.col("n") > CROWD).select("entry"), "entry"), "simhash-crowds")
-        for n in range(1, HEADS):
-            grouped = crowds.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-                "entry", "fingerprint", F.coalesce("component", "fingerprint").alias("group")
-            )
-            heads = grouped.groupBy("entry").agg(
-                F.min_by(F.struct("fingerprint", "group"), F.xxhash64("fingerprint", F.lit(n))).alias("head")
-            )
-            a = F.col("head.fingerprint")
-            more = grouped.join(heads, "entry").where((F.col("group") != F.col("head.group")) & near(fp, a))
-            more = check(more.select(F.least(fp, a).alias("a"), F.greatest(fp, a).alias("b")).distinct())
-            stars = stars.union(stage(more, "simhash-stars"))
-            joined = stage(component_of(stars), "simhash-joined")
+        grouped = crowds.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+            "entry", "fingerprint", F.coalesce("component", "fingerprint").alias("group")
+        )
+        picked = [F.min_by(F.struct("fingerprint", "group"), F.xxhash64("fingerprint", F.lit(n))).alias(f"_{n}") for n in range(1, HEADS)]
+        heads = grouped.groupBy("entry").agg(*picked)
+        heads = heads.select("entry", F.explode(F.array(*[f"_{n}" for n in range(1, HEADS)])).alias("head"))
+        a = F.col("head.fingerprint")
+        more = grouped.join(heads, "entry").where((F.col("group") != F.col("head.group")) & near(fp, a))
+        more = check(more.select(F.least(fp, a).alias("a"), F.greatest(fp, a).alias("b")).distinct())
+        joined = stage(component_of(stars.union(stage(more, "simhash-stars"))), "simhash-joined")
     known = prints.join(
         joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).select("fingerprint", F.coalesce("component", "fingerprint").alias("group"), *(["bands"] if check else []))
