@@ -23,6 +23,7 @@ CANDIDATES = 100
 SCORE_DIGITS = 9
 # Hits of the phrases that set a query's threshold, and what rounding may take from it.
 FIRST_HITS = 5_000
+SCORE_ALL = 200_000_000
 MARGIN = 1e-7
 
 _SECTION = ["section_id", "pdf_id", "n_terms"]
@@ -317,10 +318,16 @@ def best_sections(
 ) -> DataFrame:
     """Best sections of each query with ``fts_pos`` counted from 1; ties go to the lower id.
 
-    Arguments as for ``score_sections``; only sections that may be among the best are scored.
+    Arguments as for ``score_sections``. Where the queries' phrases have more than ``SCORE_ALL`` hits in
+    all, only sections that may be among the best are scored; fewer are summed up in one pass, which
+    is quicker then and gives the same.
     """
     hits = stage(phrase_hits(index, phrases), "hits")
-    scored = contenders(*_weights(index, hits, phrases, asked_in, scope_books), limit).select(
+    parts, placed, weights = _weights(index, hits, phrases, asked_in, scope_books)
+    weights = stage(weights, "weights")
+    met = weights.agg(F.coalesce(F.sum("n_with"), F.lit(0))).first()[0]
+    found = contenders(parts, placed, weights, limit) if met > SCORE_ALL else _summed(placed, weights)
+    scored = found.select(
         "query_id", "section_id", "pdf_id", F.round(-F.col("score"), SCORE_DIGITS).alias("fts_rank")
     )
     return top_rows(scored, ["query_id"], [F.col("fts_rank"), F.col("section_id")], limit, "fts_pos")

@@ -95,6 +95,7 @@ def test_best_sections_are_those_of_all_scores(spark, limit, first_hits, monkeyp
     one = ask(spark, *asked).select("query_id", F.concat(F.lit("g"), F.pmod("query_id", F.lit(2))).alias("scope_id"))
     books = spark.createDataFrame([("g0", "b0"), ("g0", "b1"), ("g1", "b1"), ("g1", "b4")], "scope_id string, pdf_id string")
     monkeypatch.setattr(fulltext.contenders, "__defaults__", (limit, first_hits))
+    monkeypatch.setattr(fulltext, "SCORE_ALL", 0)
     for scopes in ((None, None), (one, books), (one.select("query_id", F.concat(F.lit("b"), F.pmod("query_id", F.lit(5))).alias("scope_id")), None)):
         full = fulltext.score_sections(index, phrases, *scopes).collect()
         want = {}
