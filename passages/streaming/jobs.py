@@ -18,18 +18,16 @@ from passages.operators.library import game_marks
 from passages.operators.ordering import latest_by
 from passages.session import broadcast_if_small
 from passages.sources.saved import exists
-from passages.sources.tables import drop_at_end, new_folder, stage
+from passages.sources.tables import drop_at_end, is_folder, new_folder, stage
 
 
 def read_changes(spark, folder: str, table: str) -> DataFrame:
-    """Stream of one of the given parquet tables."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", 64)
-        .parquet(folder)
-    )
+    """Stream of one of the given parquet tables, kept as one file or as a folder of files."""
+    path = f"{folder}/{table}.parquet"
+    changes = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64)
+    if is_folder(spark, path):
+        return changes.parquet(path)
+    return changes.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def run_to_log(changes: DataFrame, log: str, mode: str = "append", prepare=None, also=None) -> DataFrame:

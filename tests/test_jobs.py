@@ -394,3 +394,10 @@ def test_running_game_is_kept_over_restarts(spark, tmp_path):
     assert arrive(("a", 3, 2, "start"), ("b", 1, 1, "start"), ("a", 2, 5, "look")) == {"a": (3, 2), "b": (1, None)}
     assert arrive(("a", 2, 6, "archive"), ("c", 7, 1, "start"), ("b", 1, 9, "start")) == {"a": (3, None), "b": (9, 1), "c": (1, 7)}
     assert arrive(("a", 3, 8, "stop"), ("a", 3, 7, "start")) == {"a": (7, None), "b": (9, 1), "c": (1, 7)}
+
+
+def test_stream_of_a_table_in_several_files(spark, rows, tmp_path):
+    for table, n in (("turns", 7), ("turn", 2)):
+        spark.range(n).repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    log = jobs.run_to_log(jobs.read_changes(spark, str(tmp_path), "turns"), jobs.new_log(spark, "turns"))
+    assert rows(log, "id") == [(i,) for i in range(7)]
