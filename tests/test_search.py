@@ -107,6 +107,26 @@ def test_best_sections_are_those_of_all_scores(spark, limit, first_hits, monkeyp
         assert got == {q: rows[:limit] for q, rows in want.items()}
 
 
+def test_shared_phrases_are_summed_once(spark):
+    """Queries widened alike share bundles, some lack a phrase or ask it twice; scores are those of single phrases."""
+    rng = np.random.default_rng(3)
+    index = fulltext.build_text_index(corpus(spark, rng, 300))
+    shared = [f"w{i:03d}" for i in range(10, 40)]
+    asked = [" ".join([f"w{i % 7:03d}", *(w for w in shared if w != f"w{i + 9:03d}"), *(["w021"] if i % 5 == 0 else [])]) for i in range(20)]
+    phrases = stage(fulltext.query_phrases(ask(spark, *asked)), "phrases")
+    one = ask(spark, *asked).select("query_id", F.lit("g0").alias("scope_id"))
+    books = spark.createDataFrame([("g0", "b0"), ("g0", "b1")], "scope_id string, pdf_id string")
+    hits = stage(fulltext.phrase_hits(index, phrases), "hits")
+    for scopes in ((None, None), (one, books)):
+        _, placed, weights = fulltext._weights(index, hits, phrases, *scopes)
+        bundles = fulltext.bundle_phrases(stage(weights, "weights"), index.n_sections)
+        assert bundles.askers.count() < weights.count() / 3
+        want = {(r.query_id, r.section_id): round(r.score, 9) for r in fulltext._summed(placed, weights).collect()}
+        parts = fulltext._weights(index, hits, phrases, *scopes)[0]
+        got = fulltext._summed_by_bundle(parts, bundles, scopes[1]).collect()
+        assert {(r.query_id, r.section_id): round(r.score, 9) for r in got} == want
+
+
 def test_few_sections_are_scored_whole(spark):
     """Sections that only hold words found everywhere are not scored when rare words decide."""
     rng = np.random.default_rng(9)
