@@ -291,3 +291,12 @@ def test_next_over_many_pieces(spark):
     df = spark.range(0, 500).select((F.col("id") * 37).alias("n"), F.lit("hot").alias("g"))
     found = next_in_group(df, ["g"], "n", "after", 64).orderBy("n").collect()
     assert [r["after"] for r in found] == [n * 37 for n in range(1, 500)] + [None]
+
+
+def test_snippets_read_flat_texts(spark):
+    """The join of sections and terms carries texts that are flat already; none is made flat per pair."""
+    from conftest import SMALL
+
+    from passages.queries import QUERIES
+
+    assert "plain_text" not in QUERIES["snippet"](spark, SMALL)._jdf.queryExecution().toString()
