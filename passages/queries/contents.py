@@ -15,7 +15,7 @@ from passages.queries.bindings import (
 from passages.queries.registry import ORACLES, query
 from passages.queries.texts import normalize_sql
 from passages.sources.saved import SavedTable
-from passages.sources.tables import new_folder, read_table, stage
+from passages.sources.tables import new_folder, read_table, spread, stage
 
 PAGE_COUNT = 50
 
@@ -37,9 +37,8 @@ def contents_lines(spark, folder):
         .when(F.col("p_type") == "LARGE", F.concat(F.lit("  "), size, F.lit("  ")))
         .otherwise(F.concat("p_name", F.lit(" ..... "), size))
     )
-    return read_table(spark, folder, "part").select(
-        F.col("p_brand").alias("pdf_id"), F.col("p_partkey").alias("pos"), line.alias("line")
-    )
+    parts = spread(read_table(spark, folder, "part"), "p_partkey")
+    return parts.select(F.col("p_brand").alias("pdf_id"), F.col("p_partkey").alias("pos"), line.alias("line"))
 
 
 def contents_books(spark, folder):
