@@ -168,24 +168,28 @@ def meta_json(meta: Column) -> Column:
     return F.to_json(meta)
 
 
-def glossary_rows(metas: DataFrame, meta: str = "meta") -> DataFrame:
-    entries = metas.select("pdf_id", F.inline(F.col(f"{meta}.glossary")))
-    return entries.select("pdf_id", "feature_id", F.explode("terms").alias("term"))
+def part_rows(metas: DataFrame, meta: str = "meta") -> DataFrame:
+    """(pdf_id, part, feature_id, text, cited) of every feature, term, entry and citation.
 
-
-def feature_rows(metas: DataFrame, meta: str = "meta") -> DataFrame:
-    return metas.select("pdf_id", F.explode(F.col(f"{meta}.features")).alias("feature_id"))
-
-
-def cheatsheet_rows(metas: DataFrame, meta: str = "meta") -> DataFrame:
-    entries = metas.select("pdf_id", F.inline(F.col(f"{meta}.cheatsheet")))
-    return entries.select("pdf_id", "feature_id", "definition")
-
-
-def citation_rows(metas: DataFrame, meta: str = "meta") -> DataFrame:
-    entries = metas.select("pdf_id", F.inline(F.col(f"{meta}.cheatsheet")))
-    placed = entries.select("pdf_id", "feature_id", F.posexplode("citations").alias("pos", "c"))
-    return placed.select("pdf_id", "feature_id", "pos", "c.*")
+    ``text`` is the term or the entry's definition, ``cited`` the citation. One pass: a meta is made once,
+    whatever it is computed from, and all its rows come from it.
+    """
+    parts = F.col(meta)
+
+    def row(part: str, feature: Column, text: Column = F.lit(""), cited: Column | None = None) -> Column:
+        cited = F.lit(None).cast(CITATION) if cited is None else cited
+        return F.struct(F.lit(part).alias("part"), feature.alias("feature_id"), text.alias("text"), cited.alias("cited"))
+
+    terms = F.transform(parts["glossary"], lambda g: F.transform(g["terms"], lambda t: row("term", g["feature_id"], t)))
+    entries = F.transform(
+        parts["cheatsheet"],
+        lambda e: F.concat(
+            F.array(row("entry", e["feature_id"], e["definition"])),
+            F.transform(e["citations"], lambda c: row("citation", e["feature_id"], cited=c)),
+        ),
+    )
+    features = F.transform(parts["features"], lambda f: row("feature", f))
+    return metas.select("pdf_id", F.inline(F.concat(features, F.flatten(terms), F.flatten(entries))))
 
 
 def merge_glossaries(existing: DataFrame, updated: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from passages.queries.bindings import ATTACHED_SQL, CITED_SQL, SECTIONS_SQL, SYN
 from passages.queries.registry import query
 from passages.queries.search import REQUESTS_SQL, feature_requests
 from passages.sources.saved import SavedTable
-from passages.sources.tables import new_folder, read_table, stage
+from passages.sources.tables import new_folder, read_table, spread, stage
 
 # One stored JSON text per part: half in the present form, half in the earlier one, a few broken.
 NEW_JSON_SQL = """'{"features":["' || p_type || '"," ' || p_brand || ' ","","' || p_type || '"],"glossary":[{"feature_id":" ' || p_type
@@ -51,7 +51,8 @@ def stored_metas(spark, folder):
         .when(F.col("p_size") > 25, old)
         .otherwise(new)
     )
-    return read_table(spark, folder, "part").select(F.col("p_partkey").alias("pdf_id"), raw.alias("raw"))
+    parts = spread(read_table(spark, folder, "part"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("pdf_id"), raw.alias("raw"))
 
 
 def parsed_metas(spark, folder):
@@ -100,18 +101,10 @@ UNION ALL SELECT pdf_id, 'citation', feature_id, section_id || '|' || section_ti
 
 
 def flat_meta(metas):
-    zero = F.lit(0).cast("int").alias("page")
-
-    def part(rows, name, value, page=zero):
-        return rows.select("pdf_id", F.lit(name).alias("part"), "feature_id", value.alias("value"), page)
-
-    cited = F.concat_ws("|", "section_id", "section_title", F.col("end_page").cast("string"))
-    return (
-        part(meta.feature_rows(metas), "feature", F.lit(""))
-        .unionByName(part(meta.glossary_rows(metas), "term", F.col("term")))
-        .unionByName(part(meta.cheatsheet_rows(metas), "entry", F.col("definition")))
-        .unionByName(part(meta.citation_rows(metas), "citation", cited, F.col("start_page").alias("page")))
-    )
+    cited = F.concat_ws("|", "cited.section_id", "cited.section_title", F.col("cited.end_page").cast("string"))
+    value = F.when(F.col("part") == "citation", cited).otherwise(F.col("text"))
+    page = F.coalesce("cited.start_page", F.lit(0))
+    return meta.part_rows(metas).select("pdf_id", "part", "feature_id", value.alias("value"), page.alias("page"))
 
 
 @query("normalize_meta", with_sql(STORED_SQL, META_ROWS_SQL) + FLAT_SQL)

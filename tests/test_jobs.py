@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from passages.functions import replies as text_replies
 from passages.operators import assembly, contents, fulltext, hits, library, meta, ordering, replies, vocabulary
 from passages.plans import imports, learnings
+from passages.queries import QUERIES
+from passages.queries import contents as queries_contents
+from passages.queries import metas as queries_metas
 from passages.sources.saved import SavedTable, read_word_tables, write_word_tables
+from passages.sources.tables import spread
 from passages.streaming import jobs
 from passages.streaming.running import running_log
 
@@ -23,6 +27,7 @@ def frame(spark, rows, schema):
 
 ENTRIES = "pdf_id string, pos long, title string, start_page int"
 BOOKS = "pdf_id string, page_count int"
+SMALL = "/root/testdata/sf0.001"
 SPANS = "section_id int, pdf_id string, title string, start_page int, end_page int, sort_order int"
 
 
@@ -104,6 +109,39 @@ def test_meta_forms(spark):
     assert got[3].features == [] and got[4].cheatsheet == []
 
 
+def test_meta_rows_come_from_one_pass(spark, rows):
+    raw = frame(spark, [(1, LEGACY), (2, CURRENT), (3, "oops")], "pdf_id int, raw string")
+    got = meta.part_rows(raw.select("pdf_id", meta.parse_meta(F.col("raw")).alias("meta")))
+    assert rows(got.select("pdf_id", "part", "feature_id", "text", "cited.section_title", "cited.start_page")) == [
+        (1, "citation", "c", "", "S", 3), (1, "entry", "c", "C", None, None), (1, "feature", "benny", "", None, None),
+        (1, "term", "b", "A", None, None), (1, "term", "b", "Z", None, None), (2, "citation", "f", "", "T", 4),
+        (2, "entry", "f", "d", None, None), (2, "feature", "a", "", None, None), (2, "feature", "b", "", None, None),
+        (2, "term", "g", "Two", None, None), (2, "term", "g", "one", None, None),
+    ]
+    for name in ("normalize_meta", "meta_roundtrip"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1, plan
+
+
+def pieces(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_rows_in_one_piece_are_spread(spark):
+    """Many pieces of which one holds all rows, as a file with one row group gives them."""
+    held = spark.range(0, 64000, 1, 16).where("id < 4000")
+    assert held.rdd.getNumPartitions() >= 8 and pieces(held) == [4000]
+    assert len(pieces(spread(held, "id"))) >= 8
+    even = spark.range(0, 4000, 1, 8)
+    assert spread(even, "id") is even
+    assert spread(spark.range(0), "id").count() == 0
+
+
+@pytest.mark.parametrize("made", [queries_contents.contents_lines, queries_metas.stored_metas])
+def test_heavy_lines_of_a_small_table_are_spread(spark, made):
+    assert len(pieces(made(spark, SMALL))) >= 8
+
+
 REPLIES = [
     ('{"features": ["a", "b"]}', ["a", "b"]),
     ('```json\n{"features": ["a"]}\n```', ["a"]),
