@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 import uuid
 from collections import Counter
 
@@ -10,13 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import replies as text_replies
-from passages.operators import assembly, contents, fulltext, hits, library, meta, ordering, replies, vocabulary
+from passages.operators import assembly, concepts, contents, fulltext, hits, library, meta, ordering, replies, reports, vocabulary
 from passages.plans import imports, learnings
 from passages.queries import QUERIES
 from passages.queries import contents as queries_contents
 from passages.queries import metas as queries_metas
 from passages.sources.saved import SavedTable, read_word_tables, write_word_tables
-from passages.sources.tables import spread
+from passages.sources.tables import spread, stage
 from passages.streaming import jobs
 from passages.streaming.running import running_log
 
@@ -418,6 +419,53 @@ def test_citations_are_cut_before_questions_meet_them(spark):
         assert sum(map(len, got.values())) <= 12 * limit < len(whole)
 
 
+def cited_library(spark):
+    """Two games of three books, four features with entries of 30 citations each, and twelve questions."""
+    rng = random.Random(6)
+    names = [f"f{i}" for i in range(4)]
+    cells = "pdf_id string, feature_id string, pos int, section_id int, section_title string, start_page int, end_page int"
+    cited = [(f"b{b}", f, p, rng.randint(0, 60), f"T{p}é", p, p % 3) for b in range(3) for f in names for p in range(30)]
+    entries = [(f"b{b}", f, f"about {f}\n" if (b, f) != (1, "f2") else "") for b in range(3) for f in names]
+    attached = [("g", "b2", "Two", 0), ("g", "b0", "", 0), ("h", "b1", "One", 1)]
+    return {
+        "asked": frame(spark, [(i, "gh"[i % 2]) for i in range(12)], "query_id int, game_id string"),
+        "matched": frame(spark, [(i, names[i % 4]) for i in range(9)] + [(3, "f0")], "query_id int, feature_id string"),
+        "sheet": frame(spark, entries, "pdf_id string, feature_id string, definition string"),
+        "citations": frame(spark, cited, cells),
+        "features": frame(spark, [("f0", "Name"), ("f1", " ")], "feature_id string, name string"),
+        "attached": frame(spark, attached, "game_id string, pdf_id string, pdf_title string, sort_order int"),
+    }
+
+
+def test_cheatsheet_digests_are_those_of_the_blocks(spark):
+    given = cited_library(spark)
+    parts = [given[k] for k in ("attached", "sheet", "citations", "features")]
+    shown = hits.feature_filter(given["asked"], given["matched"], given["sheet"].select("feature_id").distinct())
+    shown = shown.join(given["asked"], "query_id")
+    blocks = reports.cheatsheet_blocks(shown, given["matched"], reports.cheatsheet_entries(*parts))
+    want = {r.query_id: r.digest for r in blocks.select("query_id", F.md5("block").alias("digest")).collect()}
+    digests = reports.cheatsheet_digests(shown, given["matched"], reports.cheatsheet_lines(*parts))
+    assert {r.query_id: r.digest for r in digests.collect()} == want
+    # Query 9 is shown all of game h; query 5 only f1 of it, query 2 is of the other game; book b1 has no f2.
+    assert len(want) == 12 and len(set(want.values())) > 4
+
+
+def test_pairs_of_question_and_citation_are_not_moved(spark, rows, monkeypatch):
+    given, written = cited_library(spark), []
+    monkeypatch.setattr(hits, "stage", lambda df, name: written.append(df.columns) or stage(df, name))
+    sections = frame(spark, [(i, f"b{i % 3}", "t", 1, 1, f"text {i}") for i in range(61)],
+                     "section_id int, pdf_id string, title string, start_page int, end_page int, plain_text string")
+    found = hits.citation_hits(*[given[k] for k in ("asked", "matched", "sheet", "citations")], sections, given["attached"])
+    assert written and not any({"query_id", "section_id"} <= set(columns) for columns in written)
+    pairs = concepts.cited_sections(given["matched"], given["citations"])
+    for df in (found, pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*query_id", plan), plan
+        assert len(set(rows(df, "query_id", "section_id"))) == df.count()
+    both = given["matched"].join(given["citations"], "feature_id").select("query_id", "section_id").distinct()
+    assert rows(pairs) == rows(both)
+
+
 def test_running_game_is_kept_over_restarts(spark, tmp_path):
     """Commands in any order, in several runs that each go on from the checkpoint."""
     schema = "library_id string, game_id bigint, seq bigint, kind string"
