@@ -16,7 +16,9 @@ those of all links.
 
 Links that are checked on the texts are sought more widely, as 64 bits do not tell a similarity of
 0.8 from much lower ones. Their nodes are distinct texts, and texts also meet in one more table per
-band of MinHash values, whatever their fingerprints.
+band of MinHash values, whatever their fingerprints. Each has a sketch, the number of its shingles and
+the parity of those in each of 128 parts. Two texts differ in at least as many shingles as parities,
+so most pairs that only met by chance are known not to be links where they meet.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(packed.view(">i8")[0])
 
 
-def outline(text: bytes, size: int = 5) -> tuple[int, list[int]]:
-    """Hash of a text's words, and a negative number for each band of MinHash values of its distinct shingles.
+def outline(text: bytes, size: int = 5) -> tuple[int, list[int], tuple[int, int, int]]:
+    """Hash of a text's words, a negative number for each band of MinHash values of its distinct shingles, and their sketch.
 
     Words are those of ``fingerprint``, shingles those of ``alike``.
     """
@@ -93,32 +95,55 @@ def outline(text: bytes, size: int = 5) -> tuple[int, list[int]]:
     starts = np.concatenate([[0], ends + 1])[: max(1, len(words) - size + 1)].tolist()
     ends = ends[size - 1 :].tolist() if words else [0]
     least = np.full(BANDS * VALUES, (1 << 64) - 1, np.uint64)
+    seen = []
     for at in range(0, len(starts), PIECE >> 5):
         cuts = map(slice, starts[at : at + (PIECE >> 5)], ends[at : at + (PIECE >> 5)])
         digests = map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED))
         hashes = np.fromiter(digests, np.uint64)
+        seen.append(hashes)
         least = np.minimum(least, ((hashes[:, None] ^ _XORS) * _FACTORS).min(axis=0))
     bands = [
         (xxhash.xxh64_intdigest(band.tobytes(), n) >> 1) - (1 << 63) for n, band in enumerate(least.reshape(BANDS, VALUES))
     ]
-    return _signed(xxhash.xxh64_intdigest(joined, SEED + 1)), bands
+    return _signed(xxhash.xxh64_intdigest(joined, SEED + 1)), bands, _sketch(np.unique(np.concatenate(seen)))
+
+
+def _sketch(hashes: np.ndarray) -> tuple[int, int, int]:
+    """Number of the given distinct hashes, and whether each of 128 parts holds an odd number of them."""
+    odd = np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    low, high = np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+    return len(hashes), low, high
+
+
+def may_reach(x: Column, y: Column, least: float) -> Column:
+    """False only where texts with these sketches have less than the share ``least`` of their shingles in common.
+
+    With n and m shingles, of which d are in one text only, that share is (n + m - d) / (n + m + d).
+    """
+    odd = F.bit_count(x["low"].bitwiseXOR(y["low"])) + F.bit_count(x["high"].bitwiseXOR(y["high"]))
+    differ = F.greatest(odd, F.abs(x["n"] - y["n"]))
+    return differ * (1 + least) <= (x["n"] + y["n"]) * (1 - least) + 1e-6
 
 
 def outlines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
-    """(key, fingerprint, bands) of every row, where fingerprint is a struct with the hash of the text's words."""
+    """(key, fingerprint, bands, sketch) of every row, where fingerprint is a struct with the hash of the text's words."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
             found = [outline(t) for t in texts]
             prints = pa.array([fingerprint(t, size) for t in texts], pa.int64())
-            nodes = pa.StructArray.from_arrays([prints, pa.array([h for h, _ in found], pa.int64())], ["fingerprint", "hash"])
-            bands = pa.array([b for _, b in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, bands], ["key", "fingerprint", "bands"])
+            nodes = pa.StructArray.from_arrays([prints, pa.array([h for h, _, _ in found], pa.int64())], ["fingerprint", "hash"])
+            bands = pa.array([b for _, b, _ in found], pa.list_(pa.int64()))
+            sketches = [pa.array([s[i] for _, _, s in found], pa.int64()) for i in range(3)]
+            sketches = pa.StructArray.from_arrays(sketches, ["n", "low", "high"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, bands, sketches], ["key", "fingerprint", "bands", "sketch"])
 
     node = T.StructType([T.StructField("fingerprint", T.LongType()), T.StructField("hash", T.LongType())])
-    schema = T.StructType(
-        [T.StructField("key", docs.schema[key].dataType), T.StructField("fingerprint", node), T.StructField("bands", T.ArrayType(T.LongType()))]
-    )
+    sketch = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "low", "high")])
+    schema = T.StructType([
+        T.StructField("key", docs.schema[key].dataType), T.StructField("fingerprint", node),
+        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", sketch),
+    ])
     pairs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return pairs.mapInArrow(fold, schema).withColumnRenamed("key", key)
 
@@ -209,12 +234,13 @@ def _shingles(words: Column, size: int) -> Column:
 
 
 def near_components(
-    prints: DataFrame, radius: int = 4, count: int = 3, entry_rows: int = 4096, check: Check | None = None
+    prints: DataFrame, radius: int = 4, count: int = 3, entry_rows: int = 4096, check: Check | None = None, least: float = 0.0
 ) -> DataFrame:
     """(fingerprint, root) for every fingerprint; links join those within ``radius`` bits.
 
-    With ``check``, ``prints`` are those of ``outlines``: (fingerprint, bands). A link is then also
-    sought between texts that share a band, and every link has to be among the pairs (a, b, …) that it keeps.
+    With ``check``, ``prints`` are those of ``outlines``: (fingerprint, bands, sketch). A link is then also
+    sought between texts that share a band, and every link has to be among the pairs (a, b, …) that it keeps;
+    it keeps none whose sketches show a similarity below ``least``.
 
     ``prints`` has distinct, non-null fingerprints. root is the smallest fingerprint reachable by
     links. With N fingerprints the tables have about N / 2^(64/count) rows an entry, so ``count``
@@ -254,34 +280,37 @@ def near_components(
         joined = stage(component_of(stars.union(stage(more, "simhash-stars"))), "simhash-joined")
     known = prints.join(
         joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
-    ).select("fingerprint", F.coalesce("component", "fingerprint").alias("group"), *(["bands"] if check else []))
+    ).select("fingerprint", F.coalesce("component", "fingerprint").alias("group"), *(["bands", "sketch"] if check else []))
     known = stage(known, "simhash-known")
 
-    lookups = known.select("fingerprint", "group", F.explode("bands").alias("entry")) if check else None
+    also = ["sketch"] if check else []
+    lookups = known.select("fingerprint", "group", *also, F.explode("bands").alias("entry")) if check else None
     for n, (shift, width, r) in enumerate(cut):
         moves = F.explode(F.array(*[F.lit(_signed(m << shift)) for m in ball(width, r)]))
-        moved = known.select("fingerprint", "group", moves.alias("move"))
+        moved = known.select("fingerprint", "group", *also, moves.alias("move"))
         own = moved.select(
-            "fingerprint", "group", _entry(bits(fp).bitwiseXOR(F.col("move")), n, shift, width).alias("entry")
+            "fingerprint", "group", *also, _entry(bits(fp).bitwiseXOR(F.col("move")), n, shift, width).alias("entry")
         )
         lookups = own if lookups is None else lookups.unionAll(own)
-    rows = known.select(fp.alias("other"), F.col("group").alias("other_group"), entries)
+    beside = [F.col(c).alias(f"other_{c}") for c in ("group", *also)]
+    rows = known.select(fp.alias("other"), *beside, entries)
 
     hot = broadcast_if_small(
         first.where(F.col("n") > entry_rows).select("entry", F.ceil(F.col("n") / entry_rows).alias("blocks"))
     )
     blocks = F.coalesce("blocks", F.lit(1))
     rows = rows.join(hot, "entry", "left").select(
-        "entry", "other", "other_group", F.pmod(F.xxhash64("other"), blocks).cast("int").alias("block")
+        "entry", "other", "other_group", *[f"other_{c}" for c in also], F.pmod(F.xxhash64("other"), blocks).cast("int").alias("block")
     )
     lookups = lookups.join(hot, "entry", "left").select(
-        "entry", "fingerprint", "group", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block")
+        "entry", "fingerprint", "group", *also, F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block")
     )
     matches = (
         lookups.join(rows, ["entry", "block"])
         .where(fp < F.col("other"))
         .where(F.col("group") != F.col("other_group"))
         .where(near(fp, F.col("other")))
+        .where(may_reach(F.col("sketch"), F.col("other_sketch"), least) if check else F.lit(True))
         .select(fp.alias("a"), F.col("other").alias("b"), "group", "other_group")
     )
     matches = check(matches.distinct()) if check else matches
@@ -305,11 +334,11 @@ def simhash_components(
     """
     find = fingerprints if least is None else outlines
     found = stage(find(docs, key, text, size), "simhash-prints")
-    aggs = [F.min(key).alias("first"), *([] if least is None else [F.first("bands").alias("bands")])]
+    aggs = [F.min(key).alias("first"), *([] if least is None else [F.first(c).alias(c) for c in ("bands", "sketch")])]
     firsts = stage(found.groupBy("fingerprint").agg(*aggs), "simhash-distinct")
     check = None if least is None else alike(docs, found, key, text, least)
     roots = stage(
-        near_components(firsts.drop("first"), radius, count, check=check).join(firsts, "fingerprint"), "simhash-roots"
+        near_components(firsts.drop("first"), radius, count, check=check, least=least or 0.0).join(firsts, "fingerprint"), "simhash-roots"
     )
     heads = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(heads, "root").select("fingerprint", "component_id")

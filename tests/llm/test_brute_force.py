@@ -362,3 +362,25 @@ def test_texts_of_equal_fingerprint_are_checked(spark):
     assert len({plain_fingerprint(t) for _, t in rows[:2]}) == 1
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF).collect()
     assert {r.doc_id for r in kept} == {1, 2}
+
+
+def test_sketches_leave_no_link_out(spark):
+    """Every pair of a similarity of 0.8 passes the sketches; most others, which only share some lines, do not."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for n in range(80):
+        words = base[: int(rng.integers(2, 121))] if n % 4 == 0 else list(base)
+        for at in rng.integers(0, len(words), int(rng.integers(0, 12))):
+            words[at] = f"x{n}-{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    sketches = [simhash.outline(t.encode())[2] for t in texts]
+    assert [s[0] for s in sketches] == [len(s) for s in sets]
+    held = spark.createDataFrame([(i, s) for i, s in enumerate(sketches)], "id int, sketch struct<n: bigint, low: bigint, high: bigint>")
+    pairs = held.alias("x").join(held.alias("y"), F.col("x.id") < F.col("y.id"))
+    told = pairs.select("x.id", "y.id", simhash.may_reach(F.col("x.sketch"), F.col("y.sketch"), 0.8)).collect()
+    links = {(i, j) for i, j, _ in told if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    passed = {(i, j) for i, j, may in told if may}
+    assert links and links <= passed
+    assert len(passed - links) < 0.1 * (len(told) - len(links))
