@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passages import session
-from passages.operators import concepts, embedding, fulltext, hits
+from passages.operators import concepts, embedding, fulltext, hits, scoring, tokens
 from passages.operators.ordering import dense_position, int_chunk, next_in_group
 from passages.plans import search
 from passages.queries import bindings
@@ -300,3 +300,46 @@ def test_snippets_read_flat_texts(spark):
     from passages.queries import QUERIES
 
     assert "plain_text" not in QUERIES["snippet"](spark, SMALL)._jdf.queryExecution().toString()
+
+
+def scopes_of(spark, asked):
+    one = ask(spark, *asked).select("query_id", F.concat(F.lit("g"), F.pmod("query_id", F.lit(2))).alias("scope_id"))
+    books = spark.createDataFrame([("g0", "b0"), ("g0", "b1"), ("g1", "b1"), ("g1", "b4")], "scope_id string, pdf_id string")
+    by_book = one.select("query_id", F.concat(F.lit("b"), F.pmod("query_id", F.lit(5))).alias("scope_id"))
+    return (None, None), (one, books), (by_book, None)
+
+
+@pytest.mark.parametrize("limit, cells", [(3, 1 << 20), (40, 64)])
+def test_matrix_scores_are_those_of_all_rows(spark, limit, cells, monkeypatch):
+    """Sections are scored where they lie, in blocks of any size, and summed and pruned rows never come up."""
+    rng = np.random.default_rng(limit)
+    index = fulltext.build_text_index(corpus(spark, rng, 200).unionByName(corpus(spark, np.random.default_rng(limit), 50).withColumn("section_id", F.concat(F.lit("copy"), "section_id"))))
+    asked = [" ".join(rng.choice([f"w{i:03d}" for i in range(60)] + ["w", "w0", "none"], size=rng.integers(1, 12))) for _ in range(20)]
+    asked += ["w000", "w059 w059", "none", "w-059"]
+    phrases = stage(fulltext.query_phrases(ask(spark, *asked)), "phrases")
+    monkeypatch.setattr(scoring, "MATRIX", cells)
+    monkeypatch.setattr(fulltext, "bundle_phrases", None)
+    for scopes in scopes_of(spark, asked):
+        want: dict = {}
+        for r in sorted(fulltext.score_sections(index, phrases, *scopes).collect(), key=lambda r: (r.fts_rank, r.section_id)):
+            want.setdefault(r.query_id, []).append((r.section_id, r.pdf_id, r.fts_rank))
+        got: dict = {}
+        for r in sorted(fulltext.best_sections(index, phrases, *scopes, limit).collect(), key=lambda r: r.fts_pos):
+            got.setdefault(r.query_id, []).append((r.section_id, r.pdf_id, r.fts_rank))
+        assert got == {q: own[:limit] for q, own in want.items()}
+
+
+def test_phrases_are_counted_in_whole_sections(spark):
+    """Terms that begin with a phrase are counted where their section lies, as the postings say it."""
+    rng = np.random.default_rng(5)
+    index = fulltext.build_text_index(corpus(spark, rng, 80))
+    phrases = stage(fulltext.query_phrases(ask(spark, "w w00 w01 none w059", "w-000 w000-w001")), "phrases")
+    one = phrases.where("n_words = 1").select("phrase").distinct().toArrow()["phrase"].combine_chunks()
+    terms = F.transform("entries", lambda e: F.struct(e["term"].alias("term"), F.size(e["places"]).alias("n")))
+    rows = tokens.from_tokens(index.entries.select("section_id", terms.alias("t")), {"hits": ("t", tokens.HITS, tokens.prefix_counts(one))}, 500)
+    assert "Exchange" not in rows._jdf.queryExecution().toString()
+    want = {(r.section_id, r.phrase, r.f) for r in fulltext.phrase_hits(index, phrases).collect()}
+    listed = rows.select("section_id", F.inline("hits")).collect()
+    assert {tuple(r) for r in listed} == {w for w in want if " " not in w[1]}
+    both = fulltext.section_hits(index, phrases).select("section_id", F.inline("hits")).collect()
+    assert len(both) == len(want) and {tuple(r) for r in both} == want
