@@ -14,10 +14,12 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 MARK = "▁"
 # Characters of text in a block, unless one document has more.
 BLOCK = 3 << 22
+# Distinct chunks that are made Python objects at once.
+SLICE = 1 << 16
 # A chunk's ids as 32-bit numbers, and what they decode to if that is not the chunk itself.
 Piece = tuple[bytes, str | None]
 _CHUNK = re.compile(" *[^ ]+| +$")
@@ -100,8 +104,8 @@ def encode_documents(
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for number, _, texts in _blocks(batches, block):
-            lists = _by_bucket(set(chain.from_iterable(map(chunks_of, texts))), buckets)
-            packed = [_pack(chunks=pa.array(chunks, pa.string())) for chunks in lists.values()]
+            lists = distinct_chunks(texts, buckets).lists()
+            packed = [_pack(chunks=chunks) for chunks in lists.values()]
             yield _rows(part=[part] * len(lists), number=[number] * len(lists), bucket=list(lists), packed=packed)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,29 +126,13 @@ def encode_documents(
             yield _rows(part=[part], number=[number], bucket=[-1], packed=[held])
 
     def assemble(own: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, ids, decoded = [], [], []
-        for packed in own["packed"].to_pylist():
-            held = _unpack(packed)
-            keys.append(held["key"].combine_chunks())
-            texts = held["text"]
-            # Texts are cut twice, as the chunks of a whole block would need much more memory than its texts.
-            lists = _by_bucket(set(chain.from_iterable(chunks_of(t.as_py()) for t in texts)), buckets)
-            table: dict[str, Piece] = {}
-            for bucket, answer in zip(answers["bucket"].to_pylist(), answers["packed"], strict=True):
-                _take(table, lists.get(bucket, []), answer.as_py())
-            # Blocks are cut by the order of the rows. Should that have changed when the rows were read
-            # again, some answers are for other chunks, and what is missing is segmented here.
-            _add(table, model, chain.from_iterable(lists.values()))
-            for text in texts:
-                chunks = chunks_of(text.as_py())
-                found = [table[c] for c in chunks]
-                ids.append(b"".join([f[0] for f in found]))
-                decoded.append(" ".join([c if f[1] is None else f[1] for c, f in zip(chunks, found, strict=True)]))
-        ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
-        flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        whole = pa.concat_arrays(keys) if keys else pa.array([], key_type)
-        return pa.table({"key": whole, "ids": listed, "decoded": pa.array(decoded, pa.string())})
+        replies = dict(zip(answers["bucket"].to_pylist(), answers["packed"], strict=True))
+        made = [pa.table([pa.array([], t) for t in (key_type, pa.list_(pa.int32()), pa.string())], ["key", "ids", "decoded"])]
+        for packed in own["packed"]:
+            held = _unpack(packed.as_py())
+            ids, decoded = assembled(model, held["text"], replies, buckets)
+            made.append(pa.table({"key": held["key"], "ids": ids, "decoded": decoded}))
+        return pa.concat_tables(made)
 
     schema = "part int, number int, bucket int, packed binary"
     asked = rows.mapInArrow(offer, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -180,12 +168,56 @@ def _rows(**columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(columns))
 
 
-def _by_bucket(chunks: set[str], buckets: int) -> dict[int, list[str]]:
-    """Chunks of each bucket in order."""
-    lists: dict[int, list[str]] = {}
-    for chunk in sorted(chunks):
-        lists.setdefault(crc32(chunk.encode()) % buckets, []).append(chunk)
-    return lists
+class Chunks(NamedTuple):
+    """Chunks of a block's texts on Arrow columns, as a Python object for each would need many times the texts' memory.
+
+    known: the distinct chunks by bucket, those of a bucket in order
+    bucket: of each of them
+    places: every chunk of the texts, as its place among the distinct ones
+    ends: where each text's chunks end, from 0 on
+    """
+
+    known: pa.Array
+    bucket: np.ndarray
+    places: np.ndarray
+    ends: np.ndarray
+
+    def lists(self) -> dict[int, pa.Array]:
+        """Distinct chunks of each bucket."""
+        held, starts = np.unique(self.bucket, return_index=True)
+        sizes = np.diff(starts, append=len(self.bucket))
+        return {b: self.known.slice(a, n) for b, a, n in zip(held.tolist(), starts.tolist(), sizes.tolist(), strict=True)}
+
+
+def distinct_chunks(texts: Iterable[str], buckets: int) -> Chunks:
+    lists = [pa.array(chunks_of(t), pa.string()) for t in texts]
+    ends = np.cumsum([0, *map(len, lists)])
+    coded = pa.chunked_array(lists, pa.string()).combine_chunks().dictionary_encode()
+    del lists
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    in_order = coded.dictionary.take(pa.array(order))
+    slices = (in_order.slice(at, SLICE).cast(pa.binary()).to_pylist() for at in range(0, len(in_order), SLICE))
+    bucket = np.fromiter((crc32(c) % buckets for c in chain.from_iterable(slices)), np.int32, len(in_order))
+    dealt = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order[dealt]] = np.arange(len(order), dtype=np.int32)
+    return Chunks(in_order.take(pa.array(dealt)), bucket[dealt], place[coded.indices.to_numpy()], ends)
+
+
+def assembled(model: str, texts: pa.ChunkedArray, answers: dict[int, pa.Scalar], buckets: int) -> tuple[pa.Array, pa.Array]:
+    """Ids and decoded text of every text of a block, from the answers to its distinct chunks by bucket."""
+    # Texts are cut twice, as the chunks of a whole block would need much more memory than its texts.
+    held = distinct_chunks((t.as_py() for t in texts), buckets)
+    found = [_taken(model, chunks, answers.get(bucket)) for bucket, chunks in held.lists().items()]
+    if not found:
+        empty = pa.array([[] for _ in texts], pa.list_(pa.int32()))
+        return empty, pa.array([""] * len(texts), pa.string())
+    ids, decoded = (pa.concat_arrays(column) for column in zip(*found, strict=True))
+    places = pa.array(held.places)
+    each = ids.take(places)
+    ends = each.offsets.to_numpy()[held.ends]
+    words = pa.ListArray.from_arrays(pa.array(held.ends, pa.int32()), decoded.take(places))
+    return pa.ListArray.from_arrays(pa.array(ends), each.values), pc.binary_join(words, " ")
 
 
 def _answer(chunks: list[str], table: dict[str, Piece]) -> bytes:
@@ -201,16 +233,20 @@ def _answer(chunks: list[str], table: dict[str, Piece]) -> bytes:
     )
 
 
-def _take(table: dict[str, Piece], chunks: list[str], answer: bytes) -> None:
-    """Add an answer to the table if it is for exactly these chunks."""
-    held = _unpack(answer)
-    if held.num_rows != len(chunks) or not chunks or held["check"][0].as_py() != _check(chunks):
-        return
-    lists = held["ids"].combine_chunks()
-    ends = (lists.offsets.to_numpy() * 4).tolist()
-    flat = lists.flatten().to_numpy().astype(np.int32).tobytes()
-    ids = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    table.update(zip(chunks, zip(ids, held["changed"].to_pylist(), strict=True), strict=True))
+def _taken(model: str, chunks: pa.Array, answer: pa.Scalar | None) -> tuple[pa.Array, pa.Array]:
+    """Ids of each chunk and what they decode to, from an answer if it is for exactly these chunks.
+
+    Blocks are cut by the order of the rows. Should that have changed when the rows were read again,
+    some answers are for other chunks, and what is missing is segmented here.
+    """
+    asked = chunks.to_pylist()
+    held = None if answer is None else _unpack(answer.as_py())
+    if held is None or held.num_rows != len(asked) or held["check"][0].as_py() != _check(asked):
+        table: dict[str, Piece] = {}
+        _add(table, model, asked)
+        held = _unpack(_answer(asked, table))
+    ids = held["ids"].combine_chunks().cast(pa.list_(pa.int32()))
+    return ids, pc.coalesce(held["changed"].combine_chunks(), chunks)
 
 
 def _check(chunks: list[str]) -> int:

@@ -1,0 +1,34 @@
+"""Memory of putting a block's pieces together."""
+
+import tracemalloc
+
+import pyarrow as pa
+import pytest
+
+sentencepiece = pytest.importorskip("sentencepiece")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from passages.llm import pieces  # noqa: E402
+
+MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
+BUCKETS = 64
+
+
+def test_a_block_of_distinct_chunks_stays_on_columns():
+    given = [" ".join(f"w{n:x}" for n in range(i, i + 1_000)) for i in range(0, 100_000, 1_000)]
+    lists = pieces.distinct_chunks(given, BUCKETS).lists()
+    answers = {}
+    for bucket, chunks in lists.items():
+        table = {}
+        pieces._add(table, MODEL, chunks.to_pylist())
+        answers[bucket] = pa.scalar(pieces._answer(chunks.to_pylist(), table), pa.binary())
+    texts = pa.chunked_array([pa.array([*given, "", "  a ", given[0]], pa.large_string())])
+    tracemalloc.start()
+    ids, decoded = pieces.assembled(MODEL, texts, answers, BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = sp.encode(texts.to_pylist())
+    assert ids.to_pylist() == want and decoded.to_pylist() == sp.decode(want)
+    # A list, a table entry and an object of ids for each chunk took some 250 bytes.
+    assert peak < 100 * 100_000, peak
