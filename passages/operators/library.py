@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from passages.functions.status import document_fault, name_fault
 from passages.functions.text import trim_ws
 from passages.operators.ordering import latest_by
+from passages.session import broadcast_if_small
+from passages.sources.tables import pieces_of, stage
 
 ALL, ACTIVE, ARCHIVED = "all", "active", "archived"
 
@@ -69,13 +71,17 @@ def attach_lists(lists: DataFrame, books: DataFrame, games: DataFrame) -> DataFr
     ``lists`` is (game_id, pdf_ids). A list is refused as a whole if the game is unknown, an id is
     blank or repeated, or a book is unknown.
     """
-    known = lists.join(games.select("game_id"), "game_id", "left_semi")
+    entries = lists.agg(F.coalesce(F.sum(F.greatest(F.size("pdf_ids"), F.lit(1))), F.lit(0))).first()[0]
+    pieces = pieces_of(lists.sparkSession, entries, games.count(), books.count())
+    known = lists.repartition(pieces, "game_id").join(games.select("game_id").repartition(pieces, "game_id"), "game_id", "left_semi")
     rows = known.select("game_id", F.posexplode("pdf_ids").alias("sort_order", "pdf_id"))
     blank = F.coalesce(F.col("pdf_id").cast("string"), F.lit("")) == ""
-    faulty = rows.where(blank).select("game_id")
-    repeated = rows.groupBy("game_id", "pdf_id").count().where("count > 1").select("game_id")
-    unknown = rows.join(books.select("pdf_id"), "pdf_id", "left_anti").select("game_id")
-    refused = faulty.unionAll(repeated).unionAll(unknown).distinct()
+    # Each book is looked up once, in however many lists it stands.
+    named = rows.select("pdf_id").repartition(pieces, "pdf_id").distinct()
+    strange = stage(named.join(books.select("pdf_id").repartition(pieces, "pdf_id"), "pdf_id", "left_anti"), "strange")
+    marked = rows.join(broadcast_if_small(strange.withColumn("_strange", F.lit(True))), "pdf_id", "left")
+    faults = marked.groupBy("game_id", "pdf_id").agg(F.count(F.lit(1)).alias("n"), F.max(blank | F.col("_strange").isNotNull()).alias("bad"))
+    refused = faults.where("n > 1 or bad").select("game_id").repartition(pieces, "game_id").distinct()
     return rows.join(refused, "game_id", "left_anti").select("game_id", "pdf_id", "sort_order")
 
 

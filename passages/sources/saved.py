@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.sources.tables import stage
+from passages.sources.tables import pieces_of, stage
 
 BUCKETS = 64
 _PART = "_bucket"
@@ -56,7 +56,9 @@ class SavedTable:
         if not touched:
             return
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-        old = self._stored(spark, schema).where(F.col(_PART).isin(touched)).join(keys, self.key, "left_anti")
+        stored = self._stored(spark, schema).where(F.col(_PART).isin(touched))
+        pieces = pieces_of(spark, stored.count(), keys.count())
+        old = stored.repartition(pieces, self.key).join(keys.repartition(pieces, self.key), self.key, "left_anti")
         merged = stage(old.select(*rows.columns).unionByName(rows), "saved-rows")
         filled = {r[0] for r in self._dealt(merged).select(_PART).distinct().collect()}
         self._write(self._dealt(merged), partitionOverwriteMode="dynamic")
