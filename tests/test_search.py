@@ -343,3 +343,32 @@ def test_phrases_are_counted_in_whole_sections(spark):
     assert {tuple(r) for r in listed} == {w for w in want if " " not in w[1]}
     both = fulltext.section_hits(index, phrases).select("section_id", F.inline("hits")).collect()
     assert len(both) == len(want) and {tuple(r) for r in both} == want
+
+
+def test_snippets_seek_only_terms_that_a_text_may_hold(spark, rows, monkeypatch):
+    from passages.operators import snippets
+    from passages.operators.snippets import Finder, book_term_snippets
+
+    text = "Öl und Wasser. " * 20 + "Zum  Schluß\tein Ölfaß; İstanbul a.b … Ende"
+    sections = spark.createDataFrame(
+        [(1, "x", text), (2, "x", "kurz und gut"), (3, "y", text), (4, None, text), (5, "x", None), (6, "z", text), (None, "x", text)],
+        "section_id long, pdf_id string, plain_text string",
+    )
+    words = ["wasser", "Schluß", "faß", "İstanbul", "a.b", "e", "ß ein", "nirgends", " ende", "", None]
+    terms = spark.createDataFrame([(p, w) for p in ("x", "y", None) for w in words] + [("x", "wasser")], "pdf_id string, term string")
+    made = rows(book_term_snippets(sections, terms))
+    assert len(made) == 4 * 12 + 11 and {r[0] for r in made} == {1, 2, 3, 5, None}
+    monkeypatch.setattr(snippets, "broadcast_if_small", lambda df: df)
+    assert made == rows(book_term_snippets(sections, terms))
+
+    sought = []
+
+    class Text(str):
+        def find(self, term, *at):
+            sought.append(term)
+            return super().find(term, *at)
+
+    many = [f"wort{i}" for i in range(1000)]
+    finder = Finder([*many, "a"])
+    assert finder.places(Text("ein wort7 und wort12"), many) == {"wort7": 4, "wort1": 14, "wort12": 14}
+    assert len(sought) < 10
