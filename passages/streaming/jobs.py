@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passages.functions.text import count_words, is_blank
-from passages.operators.fulltext import TextIndex, posting_rows, section_entries
+from passages.operators.fulltext import TextIndex, listed_terms, posting_rows, section_entries, whole_sections
 from passages.operators.library import game_marks
 from passages.operators.ordering import latest_by
 from passages.session import broadcast_if_small
@@ -93,7 +93,7 @@ def index_sections(texts: DataFrame, log: str) -> DataFrame:
     """
 
     def prepare(batch: DataFrame) -> DataFrame:
-        last = latest_by(batch, ["section_id"], F.col("seq"))
+        last = _last_texts(batch)
         words = last.withColumn("n_words", F.size(count_words(F.col("plain_text"))))
         held = section_entries(words, "seq", "title", "plain_text", "n_words")
         return held.withColumn("vector", F.col("cells")).drop("cells")
@@ -104,17 +104,28 @@ def index_sections(texts: DataFrame, log: str) -> DataFrame:
     return run_to_log(texts, log, prepare=prepare, also=segment)
 
 
+def _last_texts(batch: DataFrame) -> DataFrame:
+    """The last text of each section by seq. Only texts of sections that come several times, or without a seq, are moved."""
+    seqs = batch.groupBy(F.col("section_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"), F.count("seq").alias("m"))
+    repeated = stage(seqs.where("n > 1 or m < n").select("_id"), "repeated")
+    if not repeated.head(1):
+        return batch
+    sent, same = broadcast_if_small(repeated), F.col("section_id").eqNullSafe(F.col("_id"))
+    again = latest_by(batch.join(sent, same, "left_semi"), ["section_id"], F.col("seq"))
+    return batch.join(sent, same, "left_anti").unionByName(again)
+
+
 def _write_segment(rows: DataFrame, log: str, batch_id: int) -> None:
     postings = posting_rows(rows).repartitionByRange("term", "section_id").sortWithinPartitions("term", "section_id")
     postings.write.mode("overwrite").parquet(f"{log}-postings/batch_id={batch_id}")
-    terms = rows.select(F.explode(F.transform("entries", lambda e: e["term"])).alias("term")).distinct()
+    terms = rows.select(F.explode(listed_terms()).alias("term")).distinct()
     terms.write.mode("overwrite").parquet(f"{log}-vocabulary/batch_id={batch_id}")
 
 
 def current_index(log: DataFrame) -> DataFrame:
     """Latest state of each section: the highest seq, the later batch among equals."""
     newest = _newest(log)
-    return log.join(newest, ["section_id", "batch_id"]).drop("batch_id", "entries")
+    return log.join(newest, ["section_id", "batch_id"]).drop("batch_id", "terms", "ends", "places")
 
 
 def _newest(log: DataFrame) -> DataFrame:
@@ -132,14 +143,21 @@ def open_index(log: DataFrame, path: str) -> TextIndex:
     spark = log.sparkSession
     newest = stage(_newest(log), "newest")
     hidden = stage(log.select("section_id", "batch_id").join(newest, ["section_id", "batch_id"], "left_anti"), "hidden")
+    sent = broadcast_if_small(hidden)
     postings = _read_parts(spark, f"{path}-postings", posting_rows(log).schema)
-    postings = postings.join(broadcast_if_small(hidden), ["section_id", "batch_id"], "left_anti").drop("batch_id")
+    postings = postings.join(sent, ["section_id", "batch_id"], "left_anti").drop("batch_id")
     vocabulary = _read_parts(spark, f"{path}-vocabulary", T.StructType([T.StructField("term", T.StringType())]))
-    live = log.join(newest, ["section_id", "batch_id"])
+    # What is hidden is little, so texts, entries and vectors stay where they were written.
+    live = log.where("section_id is not null").join(sent, ["section_id", "batch_id"], "left_anti")
     size = live.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean")).first()
     cells = live.select("section_id", "n_terms", F.col("vector").alias("cells"), "penalty")
     return TextIndex(
-        postings, stage(vocabulary.select("term").distinct(), "vocabulary"), stage(cells, "cells"), size["n"], size["mean"] or 0.0
+        postings,
+        stage(vocabulary.select("term").distinct(), "vocabulary"),
+        stage(cells, "cells") if sent is hidden else cells,
+        size["n"],
+        size["mean"] or 0.0,
+        entries=whole_sections(live),
     )
 
 

@@ -257,6 +257,18 @@ def test_live_index_is_the_index_of_what_holds_now(spark, tmp_path):
     assert scores(jobs.open_index(log, path), asked) == want
 
 
+def test_texts_that_come_once_stay_where_they_are(spark, tmp_path, rows):
+    once = frame(spark, [(1, "a", "One", "fire", 1), (2, "a", "Two", "water", 1)], TEXTS)
+    assert "Exchange" not in jobs._last_texts(once)._jdf.queryExecution().toString()
+    odd = frame(spark, [(1, "a", "One", "fire", 1), (2, "a", "Two", "water", 1), (2, "a", "Two", "ice", 3), (3, "a", "T", "x", None), (None, "a", "N", "y", 1), (None, "a", "N", "z", 2)], TEXTS)
+    assert rows(jobs._last_texts(odd)) == rows(ordering.latest_by(odd, ["section_id"], F.col("seq")))
+    arrive, path = arrivals(spark, tmp_path)
+    index = jobs.open_index(arrive((1, "a", "One", "fire", 1), (2, "a", "Two", "water", 1)), path)
+    for held in (index.cells, index.entries):
+        plan = held._jdf.queryExecution().sparkPlan().toString()
+        assert held.count() == 2 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_empty_live_index(spark, tmp_path):
     source = str(tmp_path / "in")
     frame(spark, [], TEXTS).write.parquet(source)

@@ -372,3 +372,31 @@ def test_snippets_seek_only_terms_that_a_text_may_hold(spark, rows, monkeypatch)
     finder = Finder([*many, "a"])
     assert finder.places(Text("ein wort7 und wort12"), many) == {"wort7": 4, "wort1": 14, "wort12": 14}
     assert len(sought) < 10
+
+
+def test_wide_phrases_are_counted_without_a_shuffle(spark, rows):
+    """Phrases that ask for half of an index are counted where sections lie, whether its postings are in ranges or not."""
+    index = fulltext.build_text_index(corpus(spark, np.random.default_rng(6), 80))
+    phrases = stage(fulltext.query_phrases(ask(spark, "w w00 w01 none w059", "w000-w001")), "phrases")
+    want = rows(fulltext.posting_hits(index, phrases))
+    assert len({r[3] for r in want}) > 3 and want == rows(fulltext.phrase_hits(index, phrases))
+    one = phrases.where("n_words = 1")
+    for some in (index, index._replace(ranges=())):
+        found = fulltext.phrase_hits(some, one)
+        assert "Exchange" not in found._jdf.queryExecution().toString()
+        assert rows(found) == [w for w in want if " " not in w[3]]
+
+
+def test_entries_of_odd_texts(spark, rows):
+    """Terms, places and sizes of texts that are null, blank, accented or full of marks."""
+    given = [(1, "a", "Élan vital", "\u00c9lan,  Stra\u00dfe\n\nx x e\u0301"), (2, "a", "", "..."), (3, "b", None, "x"), (4, "b", "x", None), (5, "b", "x", "y-x")]
+    made = fulltext.section_entries(spark.createDataFrame(given, "section_id int, pdf_id string, title string, plain_text string"))
+    listed = rows(made.select("section_id", "n_terms", fulltext.entry_list().alias("e")))
+    found = {s: (n, {t: list(p) for t, p in e}) for s, n, e in listed}
+    assert found == {
+        1: (7, {"e": [7], "elan": [0, 3], "straße": [4], "vital": [1], "x": [5, 6]}),
+        2: (0, {}), 3: (None, {}), 4: (None, {}), 5: (3, {"x": [0, 3], "y": [2]}),
+    }
+    assert {(r.section_id, r.term): (r.f, r.places) for r in fulltext.posting_rows(made).collect()} == {
+        (s, t): (len(p), p) for s, (_, own) in found.items() for t, p in own.items()
+    }
