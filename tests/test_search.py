@@ -385,6 +385,10 @@ def test_wide_phrases_are_counted_without_a_shuffle(spark, rows):
         found = fulltext.phrase_hits(some, one)
         assert "Exchange" not in found._jdf.queryExecution().toString()
         assert rows(found) == [w for w in want if " " not in w[3]]
+    twice = spark.createDataFrame([(1, "a", "w1", "w2 w3"), (1, "a", "w1", "w2 w3"), (None, "a", "w1", "x"), (None, "a", "w1", "y"), (2, "a", "w1", "z")], "section_id int, pdf_id string, title string, plain_text string")
+    index, asked = fulltext.build_text_index(twice), fulltext.query_phrases(ask(spark, "w w1 x z"))
+    found = rows(fulltext.phrase_hits(index, asked))
+    assert found == rows(fulltext.posting_hits(index, asked)) and (1, "a", 3, "w", 6) in found
 
 
 def test_entries_of_odd_texts(spark, rows):
